@@ -22,19 +22,17 @@ def family(address: Column) -> Column:
     return F.when(F.contains(address, F.lit(":")), F.lit(IPV6)).otherwise(F.lit(IPV4))
 
 
-def _quad_number(quad: Column) -> Column:
-    octets = F.split(quad, r"\.")
+def _octets(quad: Column) -> Column:
+    return F.split(quad, r"\.")
+
+
+def _number(octets: Column) -> Column:
     number = F.lit(0).cast("bigint")
     for i in range(4):
         number = number * 256 + F.get(octets, F.lit(i)).try_cast("bigint")
     return number
 
 
-def _ipv4_bits(address: Column) -> Column:
-    # Checked before any conversion: converting garbage gives zeros, not NULL.
-    return F.when(address.rlike(f"^{_QUAD}$"), F.lpad(F.bin(_quad_number(address)), 32, "0"))
-
-
 def _hex_to_bits(digits: Column) -> Column:
     def half(start: int) -> Column:
         return F.lpad(F.conv(F.substring(digits, start, 16), 16, 2), 64, "0")
@@ -51,9 +49,12 @@ def with_address_bits(df: DataFrame, address: str, bits: str = "bits") -> DataFr
     kept = [F.col(f"`{name}`") for name in df.columns]
     text = F.col(f"`{address}`")
 
-    lower = F.when(F.contains(text, F.lit(":")), F.lower(text))
+    is_ipv6 = F.contains(text, F.lit(":"))
+    # Checked before any conversion: converting garbage gives zeros, not NULL.
+    octets = F.when(~is_ipv6 & text.rlike(f"^{_QUAD}$"), _octets(text))
+    lower = F.when(is_ipv6, F.lower(text))
     quad = F.regexp_extract(lower, f":({_QUAD})$", 1)
-    quad_hex = F.lpad(F.hex(_quad_number(quad)), 8, "0")
+    quad_hex = F.lpad(F.hex(_number(_octets(quad))), 8, "0")
     plain = F.when(
         F.contains(lower, F.lit(".")) & (quad != ""),
         F.concat(
@@ -63,28 +64,29 @@ def with_address_bits(df: DataFrame, address: str, bits: str = "bits") -> DataFr
             F.lower(F.substring(quad_hex, 5, 4)),
         ),
     ).otherwise(lower)
-    step = df.select(*kept, plain.alias("_plain"))
+    step = df.select(*kept, octets.alias("_octets"), plain.alias("_plain"))
 
     # Every group as exactly four digits.
     zeros = F.regexp_replace("_plain", "([0-9a-f]+)", "000$1")
     wide = F.regexp_replace(zeros, "[0-9a-f]*([0-9a-f]{4})", "$1")
-    step = step.select(*kept, "_plain", wide.alias("_wide"))
+    step = step.select(*kept, "_octets", "_plain", wide.alias("_wide"))
 
     def side(part: int) -> Column:
         return F.replace(F.split_part("_wide", F.lit("::"), F.lit(part)), F.lit(":"), F.lit(""))
 
-    step = step.select(*kept, "_plain", side(1).alias("_left"), side(2).alias("_right"))
+    step = step.select(
+        *kept, "_octets", "_plain", side(1).alias("_left"), side(2).alias("_right")
+    )
 
     given = F.length("_left") + F.length("_right")
     digits = F.when(F.col("_plain").rlike(_FULL), F.col("_left")).when(
         F.col("_plain").rlike(_SHORTENED) & (given <= 28),
         F.concat("_left", F.expr("repeat('0', 32 - length(_left) - length(_right))"), "_right"),
     )
-    step = step.select(*kept, digits.alias("_digits"))
+    step = step.select(*kept, "_octets", digits.alias("_digits"))
 
-    value = F.when(F.contains(text, F.lit(":")), _hex_to_bits(F.col("_digits"))).otherwise(
-        _ipv4_bits(text)
-    )
+    ipv4 = F.when(F.col("_octets").isNotNull(), F.lpad(F.bin(_number(F.col("_octets"))), IPV4, "0"))
+    value = F.when(is_ipv6, _hex_to_bits(F.col("_digits"))).otherwise(ipv4)
     return computed_once(step, df.columns, **{bits: value})
 
 

@@ -10,7 +10,8 @@ from hitloom.functions.lines import (
     line_tokens,
     normalize_referrer,
     normalize_uri,
-    token_timestamp,
+    timestamp,
+    token_date,
     without_quotes,
 )
 from hitloom.functions.numbers import leading_integer
@@ -43,15 +44,22 @@ def parse_lines(
         return F.get(tokens, F.lit(i))
 
     step = lines.select("*", line_tokens(line).alias("_tokens"))
-    step = step.select(
-        "*", F.when(F.size(tokens) == TOKENS, token_timestamp(token(3))).alias("_ts")
-    )
+    # Each step names what the next one uses more than once.
+    dated = F.size(tokens) == TOKENS
     if strict:
-        step = step.withColumn("_ts", F.when(token(8).rlike("^[0-9]{3}$"), F.col("_ts")))
-    uri = F.when(
-        F.col("_ts").isNotNull(), normalize_uri(without_quotes(token(6)), trailing_only)
+        dated = dated & token(8).rlike("^[0-9]{3}$")
+    step = step.select("*", F.when(dated, token(3)).alias("_stamp"))
+    step = step.select("*", token_date(F.col("_stamp")).alias("_date"))
+    step = step.select("*", timestamp(F.col("_date")).alias("_ts"))
+    step = step.select("*", F.when(F.col("_ts").isNotNull(), without_quotes(token(6))).alias("_uri"))
+    step = computed_once(
+        step,
+        (*kept, value),
+        tokens=tokens,
+        date=F.col("_date"),
+        ts=F.col("_ts"),
+        uri=normalize_uri(F.col("_uri"), trailing_only),
     )
-    step = computed_once(step, (*kept, value), tokens=tokens, ts=F.col("_ts"), uri=uri)
 
     tokens = F.col("tokens")
     ts = F.col("ts")
@@ -63,15 +71,16 @@ def parse_lines(
     status = token(8)
     size = token(9)
     empty = F.lit("")
+    step = step.select("*", without_quotes(token(10)).alias("referrer"))
     return step.select(
         *kept,
-        field(ts.cast("string")).alias("date"),
+        field(F.col("date")).alias("date"),
         F.when(has_address, token(0)).otherwise(empty).alias("remote_ip"),
         field(without_quotes(token(5))).alias("http_method"),
         field(F.col("uri")).alias("request_uri"),
         field(status).alias("status_code"),
         field(size).alias("response_size"),
-        field(normalize_referrer(without_quotes(token(10)), omit, trailing_only)).alias("referrer"),
+        field(normalize_referrer(F.col("referrer"), omit, trailing_only)).alias("referrer"),
         field(without_quotes(token(11))).alias("user_agent"),
         F.when(ts.isNotNull(), empty).otherwise(line).alias("non_default"),
         empty.alias("remote_user"),

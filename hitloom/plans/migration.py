@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.functions.lines import log_timestamp
+from hitloom.functions.lines import log_date, timestamp
 from hitloom.functions.numbers import leading_integer
 from hitloom.functions.once import computed_once
 from hitloom.operators.records import MIGRATION_ASSET_SUFFIXES
@@ -33,8 +33,8 @@ def migrate(legacy: DataFrame) -> DataFrame:
         is_asset = is_asset | F.col("requestURI").endswith(suffix)
     rows = rows.filter(garbled | ~is_asset)
 
-    ts = F.when(~garbled, log_timestamp(F.col("date")))
-    rows = computed_once(rows, rows.columns, ts=ts)
+    rows = rows.select("*", F.when(~garbled, log_date(F.col("date"))).alias("iso"))
+    rows = computed_once(rows, rows.columns, ts=timestamp(F.col("iso")))
     good = F.col("ts").isNotNull()
 
     def field(column: Column) -> Column:
@@ -43,7 +43,7 @@ def migrate(legacy: DataFrame) -> DataFrame:
     whole_row = F.to_json(F.struct(*LEGACY_COLUMNS))
     return rows.select(
         *extra,
-        field(F.col("ts").cast("string")).alias("date"),
+        field(F.col("iso")).alias("date"),
         field(F.col("remoteIP")).alias("remote_ip"),
         field(F.when(method == "", F.lit("Invalid")).otherwise(method)).alias("http_method"),
         field(F.col("requestURI")).alias("request_uri"),
