@@ -24,29 +24,30 @@ def skew_proof_lookup(
 ) -> DataFrame:
     """Append ``output``: the ``value`` that ``lookup`` holds for each row's key, else NULL.
 
-    ``key`` must be unique in ``lookup``, and ``weight`` be the number of rows that carry it. Hot
-    keys are looked up in a broadcast of at most ``1 / HOT_SHARE`` rows. Only rows with other keys
-    meet the rest of the lookup in a shuffle; the answered rows and those without a key are spread
-    evenly by a hash of ``spread_by`` instead of piling up on one key.
+    ``key`` must be unique in ``lookup``, and ``weight`` be the number of rows that carry it; list
+    keys without an answer too, with a NULL ``value``, as they may be hot. Hot keys are looked up in
+    a broadcast of at most ``1 / HOT_SHARE`` rows. Only rows with other keys meet the rest of the
+    lookup in a shuffle; the settled rows and those without a key are spread evenly by a hash of
+    ``spread_by`` instead of piling up on one key.
     """
     total = lookup.agg(F.sum(weight)).scalar()
     is_hot = F.col(weight) >= total * F.lit(HOT_SHARE)
     hot = lookup.filter(is_hot).select(
         F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value"), F.lit(True).alias("_hot")
     )
-    rest = lookup.filter(~is_hot).select(
-        F.col(key).alias("_rest_key"), F.col(value).alias("_rest_value"), F.lit(True).alias("_open_key")
+    rest = lookup.filter(~is_hot & F.col(value).isNotNull()).select(
+        F.col(key).alias("_rest_key"), F.col(value).alias("_rest_value"), F.lit(True).alias("_wanted")
     )
 
     row_key_column: Column = F.col(f"`{row_key}`")
-    answered = rows.join(F.broadcast(hot), row_key_column == F.col("_hot_key"), "left")
+    settled = rows.join(F.broadcast(hot), row_key_column == F.col("_hot_key"), "left")
     is_open = row_key_column.isNotNull() & F.col("_hot").isNull()
     spread = F.xxhash64(*[F.col(f"`{name}`") for name in spread_by])
     key_type = rows.schema[row_key].dataType
-    routed = answered.withColumn("_open", is_open).withColumn(
+    routed = settled.withColumn("_open", is_open).withColumn(
         "_route", F.when(is_open, row_key_column).otherwise(spread.cast(key_type))
     )
-    on = (F.col("_route") == F.col("_rest_key")) & (F.col("_open") == F.col("_open_key"))
+    on = (F.col("_route") == F.col("_rest_key")) & (F.col("_open") == F.col("_wanted"))
     joined = routed.join(rest, on, "left")
     found = F.when(F.col("_hot"), F.col("_hot_value")).otherwise(F.col("_rest_value"))
     return joined.select(*[F.col(f"`{name}`") for name in rows.columns], found.alias(output))

@@ -2,7 +2,8 @@
 
 Range membership is equality of bit prefixes, so nothing here compares every address with every
 range. Lists up to a checked size become hash sets inside the filter itself: rows are labelled where
-they are read, without a shuffle. Longer lists are joined with the distinct addresses.
+they are read, without a shuffle. Longer lists are joined with the distinct addresses, and their
+labels are looked up in a way that hot addresses cannot skew.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.addresses import IPV4, IPV6, family, with_address_bits, with_cidr_parts
 from hitloom.operators.lookups import skew_proof_lookup
+from hitloom.session import scratch_path
 
 # Proxy networks publish tens to a few thousand ranges. A list beyond this size is joined.
 INLINE_LIMIT = 5_000
@@ -58,25 +60,19 @@ def _in_sets(bits: Column, sets: dict[tuple[int, int], list[str]]) -> Column:
     )
 
 
-def trusted_addresses(addresses: DataFrame, known: DataFrame, address: str = "address") -> DataFrame:
-    """The rows of ``addresses`` (one per address) that lie in one of the ``known`` prefixes.
+def label_addresses(addresses: DataFrame, known: DataFrame, address: str = "address") -> DataFrame:
+    """Append ``trusted``, true or NULL, to ``addresses``, which has one row per address.
 
     Each address is expanded by the prefix lengths in use, at most 33 or 129, and equi-joined.
     """
     lengths = known.select("family", "len").distinct()
-    with_bits = with_address_bits(addresses, address).filter(F.col("bits").isNotNull())
-    expanded = with_bits.withColumn("family", F.length("bits")).join(F.broadcast(lengths), "family")
+    valid = with_address_bits(addresses.select(address), address).filter(F.col("bits").isNotNull())
+    expanded = valid.withColumn("family", F.length("bits")).join(F.broadcast(lengths), "family")
     prefixed = expanded.select(
-        *addresses.columns,
-        "family",
-        "len",
-        F.substring(F.col("bits"), F.lit(1), F.col("len")).alias("net_bits"),
-    )
-    return (
-        prefixed.join(known, ["family", "len", "net_bits"], "left_semi")
-        .select(*addresses.columns)
-        .distinct()
+        address, "family", "len", F.substring(F.col("bits"), F.lit(1), F.col("len")).alias("net_bits")
     )
+    inside = prefixed.join(known, ["family", "len", "net_bits"], "left_semi").select(address).distinct()
+    return addresses.join(inside.withColumn("trusted", F.lit(True)), address, "left")
 
 
 def label_trusted(
@@ -93,10 +89,15 @@ def label_trusted(
         label = _in_sets(F.col("_address_bits"), sets)
         return with_bits.select(*requests.columns, label.alias("trusted"))
 
+    # One pass over the requests counts each address; the labels are stored, so that nothing is
+    # worked out again for the parts of the lookup. Hot addresses are known from their counts.
     counted = requests.groupBy(F.col(address).alias("address")).agg(F.count(F.lit(1)).alias("_n"))
-    trusted = trusted_addresses(counted, known).withColumn("_trusted", F.lit(True))
+    spark = requests.sparkSession
+    path = scratch_path(spark, "addresses")
+    label_addresses(counted, known).write.parquet(path)
+    labels = spark.read.parquet(path).filter(F.col("address").isNotNull())
     labelled = skew_proof_lookup(
-        requests, address, trusted, "address", "_trusted", "_n", "trusted", requests.columns
+        requests, address, labels, "address", "trusted", "_n", "trusted", requests.columns
     )
     return labelled.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
@@ -128,7 +129,14 @@ def block_counters(
     per_address = requests.groupBy(F.col(address).alias("address")).agg(
         F.count(F.lit(1)).alias("_requests"), F.sum(size).alias("_bytes")
     )
-    blocked = untrusted_requests(per_address, ranges, "address", inline_limit)
+    known = prefixes(ranges)
+    sets = _inline_sets(known, inline_limit)
+    if sets is None:
+        labelled = label_addresses(per_address, known)
+    else:
+        with_bits = with_address_bits(per_address, "address", "_address_bits")
+        labelled = with_bits.withColumn("trusted", _in_sets(F.col("_address_bits"), sets))
+    blocked = labelled.filter(~F.coalesce("trusted", F.lit(False)))
     return blocked.groupBy(family(F.col("address")).alias("family")).agg(
         F.sum("_requests").alias("requests"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes")
     )
