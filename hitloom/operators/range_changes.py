@@ -54,14 +54,17 @@ def snapshot_differences(snapshots: DataFrame, ranges: DataFrame) -> DataFrame:
     ``ranges`` holds ``source, fetched_at, family, cidr`` of the snapshots. Each range speaks for
     its own snapshot as present, and for the next one as previously present, so a single grouping
     answers all. Grouping includes the snapshot and the range: a source that owns most of the rows
-    is spread out. A snapshot with empty lists still follows and precedes others.
+    is spread out, and copies of a snapshot collapse first. A snapshot with empty lists still
+    follows and precedes others.
     """
     moments = snapshots.select("source", "fetched_at").distinct()
     following = with_neighbor(
         moments, "source", "fetched_at", "fetched_at", "next_at", following=True
     )
-    placed = ranges.select("source", "fetched_at", "family", "cidr").join(
-        following, ["source", "fetched_at"]
+    placed = (
+        ranges.select("source", "fetched_at", "family", "cidr")
+        .distinct()
+        .join(following, ["source", "fetched_at"])
     )
     votes = placed.select(
         "source",

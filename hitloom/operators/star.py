@@ -16,8 +16,10 @@ from hitloom.operators.lookups import skew_proof_lookup
 from hitloom.operators.records import parsed_only
 from hitloom.schema import FACT_FIELDS
 
-# Dimensions of at most this many values are broadcast whole when rows are read back.
-SMALL_DIMENSION = 50_000
+# Dimensions whose values take up at most this many bytes, keys included, are broadcast whole when
+# rows are read back.
+SMALL_DIMENSION = 16 * 1024 * 1024
+KEY_BYTES = 16
 
 
 def value_key(value: Column) -> Column:
@@ -56,7 +58,8 @@ def read_back(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ("l
     The sizes of the eleven dimensions are checked first. Small ones are broadcast; the others go
     through the lookup that splits off hot keys.
     """
-    sizes = {row["dim"]: row["count"] for row in dimensions.groupBy("dim").count().collect()}
+    value_bytes = F.octet_length("value") + KEY_BYTES
+    sizes = dict(dimensions.groupBy("dim").agg(F.sum(value_bytes)).collect())
     rows = fact
     for name in FACT_FIELDS:
         lookup = dimensions.filter(F.col("dim") == name).select("id", "value", "count")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.addresses import family, with_cidr_parts
 from hitloom.functions.once import computed_once
+from hitloom.operators.lookups import skew_proof_lookup
 from hitloom.schema import RANGE_RESPONSE
 
 # Line formats of the config file.
@@ -39,10 +40,15 @@ def snapshot_ranges(snapshots: DataFrame) -> DataFrame:
 
 
 def config_etags(config_lines: DataFrame) -> DataFrame:
-    """The etag of each file: the text after the prefix on its first etag line, else empty."""
-    marked = config_lines.filter(F.col("value").startswith(ETAG_LINE))
-    first = marked.groupBy("file").agg(F.min_by("value", "line_no").alias("value"))
-    return first.select("file", F.split_part("value", F.lit(ETAG_PREFIX), F.lit(2)).alias("etag"))
+    """``file, etag, lines``: the text after the prefix on the first etag line, else NULL."""
+    marked = F.col("value").startswith(ETAG_LINE)
+    files = config_lines.groupBy("file").agg(
+        F.min_by("value", F.when(marked, F.col("line_no"))).alias("value"),
+        F.count(F.lit(1)).alias("lines"),
+    )
+    return files.select(
+        "file", F.split_part("value", F.lit(ETAG_PREFIX), F.lit(2)).alias("etag"), "lines"
+    )
 
 
 def config_ranges(config_lines: DataFrame, letter_start: bool = False) -> DataFrame:
@@ -59,8 +65,7 @@ def config_ranges(config_lines: DataFrame, letter_start: bool = False) -> DataFr
         "file", "line_no", F.replace(second, F.lit(";"), F.lit("")).alias("cidr")
     )
     valid = with_cidr_parts(ranges).filter(F.col("net_bits").isNotNull())
-    # A few rows per file at most one etag: the optimizer broadcasts this side when it is small.
-    etags = config_etags(config_lines)
-    return valid.join(etags, "file", "left").select(
-        "file", "line_no", F.coalesce("etag", F.lit("")).alias("etag"), "family", "cidr"
+    tagged = skew_proof_lookup(
+        valid, "file", config_etags(config_lines), "file", "etag", "lines", "etag", ["line_no", "cidr"]
     )
+    return tagged.select("file", "line_no", F.coalesce("etag", F.lit("")).alias("etag"), "family", "cidr")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hitloom.schema import FACT_FIELDS
 from hitloom.workloads import inputs
 from hitloom.workloads.queries import AS_OF, OMITTED, SECOND_BATCH, TOP_N
 
@@ -61,8 +62,84 @@ def _counts(source: str, name: str = "counts") -> str:
         WHERE value <> '' GROUP BY dim, value)"""
 
 
+# The key hash (64-bit xxHash, seed 42, little-endian words) in plain SQL arithmetic. Texts are ASCII.
+
+# The five primes of the published algorithm, and the seed.
+PRIMES = (
+    11400714785074694791,
+    14029467366897019727,
+    1609587929392839161,
+    9650029242287828579,
+    2870177450012600261,
+)
+SEED = 42
+WRAP = 2**64
+
+
+def _big(x: object) -> str:
+    return f"CAST({x} AS UHUGEINT)"
+
+
+def _mul(x: object, y: object) -> str:
+    return f"({_big(x)} * {_big(y)} % {_big(WRAP)})"
+
+
+def _add(*terms: object) -> str:
+    return f"(({' + '.join(_big(t) for t in terms)}) % {_big(WRAP)})"
+
+
+def _rotate(x: object, n: int) -> str:
+    return f"({_mul(x, 2**n)} + {_big(x)} // {_big(2 ** (64 - n))})"
+
+
+def _xor(x: object, y: object) -> str:
+    return f"xor({_big(x)}, {_big(y)})"
+
+
+def _word(start: str, size: int) -> str:
+    letters = [f"{_big(f'unicode(value[{start} + {i}])')} * {_big(256**i)}" for i in range(size)]
+    return f"({' + '.join(letters)})"
+
+
+def _round(state: object, word: object) -> str:
+    p1, p2 = PRIMES[:2]
+    return _mul(_rotate(_add(state, _mul(word, p2)), 31), p1)
+
+
+def _keys(source: str) -> str:
+    """``keys(value, id)`` for the distinct ``value`` of ``source``. Needs WITH RECURSIVE."""
+    p1, p2, p3, p4, p5 = PRIMES
+    lanes = ("v1", "v2", "v3", "v4")
+    starts = ((SEED + p1 + p2) % WRAP, (SEED + p2) % WRAP, SEED, (SEED - p1) % WRAP)
+    first = ", ".join(f"{_big(x)} AS {lane}" for x, lane in zip(starts, lanes))
+    stripe = ", ".join(_round(lane, _word(f"pos + {8 * i}", 8)) for i, lane in enumerate(lanes))
+    merged = _add(_rotate("v1", 1), _rotate("v2", 7), _rotate("v3", 12), _rotate("v4", 18))
+    for lane in lanes:
+        merged = _add(_mul(_xor(merged, _round(0, lane)), p1), p4)
+    by_word = _add(_mul(_rotate(_xor("h", _round(0, _word("pos", 8))), 27), p1), p4)
+    by_four = _add(_mul(_rotate(_xor("h", _mul(_word("pos", 4), p1)), 23), p2), p3)
+    by_byte = _mul(_rotate(_xor("h", _mul(_word("pos", 1), p5)), 11), p1)
+    return f"""stripes AS (
+        SELECT value, 1 AS pos, {first} FROM (SELECT DISTINCT value FROM {source})
+        UNION ALL SELECT value, pos + 32, {stripe} FROM stripes WHERE pos + 31 <= length(value)),
+    words AS (
+        SELECT value, pos, {_add(f"CASE WHEN length(value) >= 32 THEN {merged} ELSE {_big(SEED + p5)} END", "length(value)")} AS h
+        FROM stripes WHERE pos + 31 > length(value)
+        UNION ALL SELECT value, pos + 8, {by_word} FROM words WHERE pos + 7 <= length(value)),
+    tails AS (
+        SELECT value, CASE WHEN pos + 3 <= length(value) THEN pos + 4 ELSE pos END AS pos,
+            CASE WHEN pos + 3 <= length(value) THEN {by_four} ELSE h END AS h
+        FROM words WHERE pos + 7 > length(value)
+        UNION ALL SELECT value, pos + 1, {by_byte} FROM tails WHERE pos <= length(value)),
+    mixed_1 AS (SELECT value, {_mul(_xor("h", f"h // {_big(2**33)}"), p2)} AS h FROM tails WHERE pos > length(value)),
+    mixed_2 AS (SELECT value, {_mul(_xor("h", f"h // {_big(2**29)}"), p3)} AS h FROM mixed_1),
+    mixed_3 AS (SELECT value, CAST({_xor("h", f"h // {_big(2**32)}")} AS HUGEINT) AS h FROM mixed_2),
+    keys AS (
+        SELECT value, CAST(CASE WHEN h >= {2**63} THEN h - {WRAP} ELSE h END AS BIGINT) AS id FROM mixed_3)"""
+
+
 def _with(*parts: str, select: str) -> str:
-    return "WITH " + ", ".join(parts) + " " + select
+    return "WITH RECURSIVE " + ", ".join(parts) + " " + select
 
 
 LOG = (_lines(), _parsed(), KEPT)
@@ -226,6 +303,20 @@ ORACLES: dict[str, str] = {
             ]
         ),
     ),
+    "star_dims": _with(
+        *COUNTED,
+        _keys("counts"),
+        select="SELECT dim, id, value, count FROM counts JOIN keys USING (value)",
+    ),
+    "star_fact": _with(
+        *COUNTED,
+        _keys("counts"),
+        select="SELECT line_no, "
+        + ", ".join(f"{name}_key.id AS {name}_id" for name in FACT_FIELDS)
+        + " FROM kept "
+        + " ".join(f"LEFT JOIN keys AS {n}_key ON {n}_key.value = kept.{n}" for n in FACT_FIELDS)
+        + " WHERE non_default = ''",
+    ),
     "star_roundtrip": _with(
         *LOG,
         select=f"SELECT line_no, {FIELDS.replace(' non_default,', '')} FROM kept WHERE non_default = ''",

@@ -38,8 +38,10 @@ CONFIG = [
 
 def test_config(spark):
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(CONFIG)], "file string, line_no bigint, value string")
-    assert [tuple(r) for r in config_etags(df).collect()] == [("f", "")]
-    assert [tuple(r) for r in config_etags(df.filter("line_no <> 1")).collect()] == [("f", "e1")]
+    assert [tuple(r) for r in config_etags(df).collect()] == [("f", "", len(CONFIG))]
+    assert [r["etag"] for r in config_etags(df.filter("line_no <> 1")).collect()] == ["e1"]
+    assert [r["etag"] for r in config_etags(df.filter("line_no > 2")).collect()] == [None]
+    assert {r["etag"] for r in config_ranges(df.filter("line_no > 2")).collect()} == {""}
     got = config_ranges(df).orderBy("line_no").collect()
     assert [(r["family"], r["cidr"]) for r in got] == [(32, "10.0.0.0/14"), (128, "2400:cb00::/32")]
     wider = config_ranges(df, letter_start=True).filter("cidr = 'fc00::/7'")
