@@ -320,6 +320,11 @@ def restore_real_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
+def _files_per_trigger(spark: SparkSession) -> int:
+    """Enough files to keep all cores busy, and still more than one batch."""
+    return 3 * spark.sparkContext.defaultParallelism
+
+
 def _landed(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "segments")
     lines = inputs.log_lines(spark, sf_dir)
@@ -331,7 +336,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments on disk, streamed through the parser into stored records."""
     path = scratch_path(spark, "records")
-    incoming = ingest.stream_records(spark, f"{_landed(spark, sf_dir)}/*", max_files_per_trigger=2)
+    incoming = ingest.stream_records(spark, f"{_landed(spark, sf_dir)}/*", max_files_per_trigger=_files_per_trigger(spark))
     fields = incoming.select(*DIMENSIONS, "ts", "status_int", "bytes")
     ingest.start_record_stream(fields, path, f"{path}-checkpoint", interval=None).awaitTermination()
     return spark.read.schema(fields.schema).parquet(path)
@@ -341,6 +346,6 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments on disk, streamed into star tables batch by batch; totals over the batches."""
     path = scratch_path(spark, "star")
-    incoming = ingest.stream_records(spark, f"{_landed(spark, sf_dir)}/*", max_files_per_trigger=2)
+    incoming = ingest.stream_records(spark, f"{_landed(spark, sf_dir)}/*", max_files_per_trigger=_files_per_trigger(spark))
     ingest.start_star_stream(incoming, path, f"{path}-checkpoint", interval=None).awaitTermination()
     return star_tables.stored_totals(spark, path)
