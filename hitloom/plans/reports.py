@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitloom.functions.numbers import unsuccessful
 from hitloom.operators.counts import count_values, top_values
 from hitloom.operators.star import unsuccessful_groups
+from hitloom.plans.star_tables import stored_dimensions, stored_fact, stored_totals
 
 DEFAULT_N = 3
 WINDOW_DAYS = 30
@@ -25,8 +26,9 @@ FIELD_REPORTS = {
 
 
 def window_start(as_of: date | str | None = None) -> Column:
-    """First day of the 30 days before ``as_of``, default today: midnight of that day counts."""
-    day = F.current_date() if as_of is None else F.to_date(F.lit(str(as_of)))
+    """First day of the 30 days before ``as_of``, default today in UTC; midnight of that day counts."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    day = F.to_date(now if as_of is None else F.lit(str(as_of)))
     return F.date_sub(day, WINDOW_DAYS)
 
 
@@ -101,6 +103,20 @@ def run_report(
     return ranked(REPORTS[name](records, n, as_of))
 
 
+def stored_report(
+    spark: SparkSession, path: str, name: str, n: int = DEFAULT_N, as_of: date | str | None = None
+) -> DataFrame:
+    """One report by name from stored star tables. A field report reads the folder of its field only."""
+    _checked(name, n)
+    if name in FIELD_REPORTS:
+        report = top_values(stored_totals(spark, path), FIELD_REPORTS[name], n)
+    else:
+        report = top_unsuccessful_stored(
+            stored_fact(spark, path), stored_dimensions(spark, path), n, as_of
+        )
+    return ranked(report)
+
+
 def run_all_reports(records: DataFrame, n: int = DEFAULT_N, as_of: date | str | None = None) -> DataFrame:
     """All five: ``report, rank, value, count``. The four field reports share one counting pass.
 

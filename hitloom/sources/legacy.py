@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from hitloom.schema import LEGACY, LEGACY_COLUMNS
 
 
-def read_legacy(spark: SparkSession, path: str, source_format: str = "parquet", **options: str) -> DataFrame:
-    """Read a dump of the older table with its declared schema. ``csv`` needs ``header`` as given."""
-    reader = spark.read.schema(LEGACY)
-    if options:
-        reader = reader.options(**options)
-    return reader.format(source_format).load(path)
+def read_legacy(
+    spark: SparkSession, path: str | None = None, source_format: str = "parquet", **options: str
+) -> DataFrame:
+    """Read a dump of the older table with its declared schema, or the table itself without a path.
+
+    The latter is for sources such as ``jdbc``, which bring their own schema; give them the options
+    that split the read.
+    """
+    reader = spark.read.format(source_format).options(**options)
+    if path is not None:
+        return reader.schema(LEGACY).load(path)
+    return reader.load().select(*[F.col(name).cast("string") for name in LEGACY_COLUMNS])
 
 
 def dated_rows(legacy: DataFrame) -> DataFrame:

@@ -409,3 +409,4 @@ ORACLES: dict[str, str] = {
     "stream_ingest": _with(*LOG, select=f"SELECT {FIELDS}, ts, status_int, bytes FROM kept"),
     "stream_counts": _DIM_COUNTS,
 }
+ORACLES["report_stored"] = ORACLES["report_ranked"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,6 +187,17 @@ def top_unsuccessful_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def report_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five reports from stored star tables."""
+    path = _stored_star(spark, _kept(spark, sf_dir))
+    tables = [
+        reports.stored_report(spark, path, name, TOP_N, AS_OF).select(F.lit(name).alias("report"), "*")
+        for name in reports.REPORTS
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _resume_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows up to a day are stored; the whole log is read again and only what follows is kept."""
     kept = _kept(spark, sf_dir)
@@ -336,7 +348,8 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments on disk, streamed through the parser into stored records."""
     path = scratch_path(spark, "records")
-    incoming = ingest.stream_records(spark, f"{_landed(spark, sf_dir)}/*", max_files_per_trigger=_files_per_trigger(spark))
+    segments = f"{_landed(spark, sf_dir)}/*"
+    incoming = ingest.stream_records(spark, segments, max_files_per_trigger=_files_per_trigger(spark))
     fields = incoming.select(*DIMENSIONS, "ts", "status_int", "bytes")
     ingest.start_record_stream(fields, path, f"{path}-checkpoint", interval=None).awaitTermination()
     return spark.read.schema(fields.schema).parquet(path)
@@ -346,6 +359,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments on disk, streamed into star tables batch by batch; totals over the batches."""
     path = scratch_path(spark, "star")
-    incoming = ingest.stream_records(spark, f"{_landed(spark, sf_dir)}/*", max_files_per_trigger=_files_per_trigger(spark))
+    segments = f"{_landed(spark, sf_dir)}/*"
+    incoming = ingest.stream_records(spark, segments, max_files_per_trigger=_files_per_trigger(spark))
     ingest.start_star_stream(incoming, path, f"{path}-checkpoint", interval=None).awaitTermination()
     return star_tables.stored_totals(spark, path)

@@ -33,3 +33,12 @@ def test_migration(spark, tmp_path):
     kept = [json.loads(r["non_default"]) for r in quarantined(migrate(legacy)).collect()]
     assert sorted(k["requestURI"] for k in kept) == ["/a.js", "/bad"]
     assert all(r["remote_ip"] == "" for r in migrate(legacy).filter("non_default <> ''").collect())
+
+
+def test_the_older_table_as_csv(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    spark.createDataFrame([row(), row(userAgent='a "quoted", agent')], LEGACY).write.csv(path, header=True, escape='"')
+    legacy = read_legacy(spark, path, "csv", header="true", escape='"')
+    assert sorted(r["userAgent"] for r in legacy.collect()) == ["UA", 'a "quoted", agent']
+    assert migrate(legacy).filter("non_default = ''").count() == 2
+

@@ -1,3 +1,4 @@
+import datetime
 from collections import Counter
 
 import pytest
@@ -98,6 +99,26 @@ def test_the_window_includes_its_first_midnight(spark, lines_of):
     ]
 
 
+def test_a_stored_field_report_reads_one_field(spark, kept, tmp_path):
+    star_tables.write_batch(kept, str(tmp_path), 0)
+    report = reports.stored_report(spark, str(tmp_path), "top_uris", 3)
+    text = report._jdf.queryExecution().executedPlan().toString()
+    assert "(dim#" in text.split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert report.collect() == reports.run_report(kept, "top_uris", 3).collect()
+
+
+def test_the_default_window_ends_today_in_utc(spark):
+    wanted = datetime.datetime.now(datetime.timezone.utc).date() - datetime.timedelta(days=30)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Pacific/Kiritimati", "Pacific/Pago_Pago"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            (got,) = spark.range(1).select(reports.window_start()).first()
+            assert abs((got - wanted).days) == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_report_names_and_sizes(kept):
     with pytest.raises(ValueError):
         reports.run_report(kept, "nope")
