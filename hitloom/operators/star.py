@@ -81,6 +81,7 @@ def last_row(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ("li
     """Date, address, method and URI of the last fact row that has all four; no row if none has.
 
     The row is picked first, so the dimension table meets four broadcast keys instead of the fact.
+    ``dimensions`` may list a value more than once: stored counts do as they are, without a sum.
     """
     complete = F.lit(True)
     for name in LAST_ROW_FIELDS:

@@ -62,7 +62,10 @@ def stream_log_lines(spark: SparkSession, path: str, max_files_per_trigger: int
 
 
 def land_lines(lines: DataFrame, path: str, value: str = "value", segment: Column | None = None) -> None:
-    """Write lines as text segments, one sub-folder per ``segment`` if it is given."""
+    """Write lines as text segments, one sub-folder per ``segment`` if it is given.
+
+    Lines of a file are in the order of their partition.
+    """
     if segment is None:
         lines.select(F.col(value).alias("value")).write.text(path, lineSep="\n")
         return
