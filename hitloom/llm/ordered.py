@@ -1,0 +1,41 @@
+"""The rows before and after each row in one order over a whole table, without sorting it in one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def with_neighbors(spark: SparkSession, df: DataFrame, order: list, carried: list[str], path: str) -> DataFrame:
+    """Append the structs ``before`` and ``after``: the ``carried`` columns of the rows next in ``order``.
+
+    The table is cut into ranges by sampled bounds and stored at ``path``, so that the ranges stay the same when a task
+    runs again. Windows cover one range each. A range's first and last rows find their neighbours through
+    a window over two rows per range, whose number is that of the partitions and not of the rows.
+    Ties in ``order`` should be broken by its last columns; equal rows may come in any order.
+    """
+    df.repartitionByRange(*order).withColumn("_slot", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    inside = Window.partitionBy("_slot").orderBy(*order)
+    value = F.struct(*[F.col(f"`{c}`") for c in carried])
+    marked = ranged.select(
+        "*", F.lag(value).over(inside).alias("_before"), F.lead(value).over(inside).alias("_after")
+    )
+    firsts = ranged.groupBy("_slot").agg(
+        F.min_by(value, F.struct(*_ascending(order))).alias("_first"),
+        F.max_by(value, F.struct(*_ascending(order))).alias("_last"),
+    )
+    across = Window.orderBy("_slot")
+    edges = firsts.select(
+        "_slot", F.lag("_last").over(across).alias("_edge_before"), F.lead("_first").over(across).alias("_edge_after")
+    )
+    joined = marked.join(F.broadcast(edges), "_slot")
+    return joined.select(
+        *[f"`{c}`" for c in df.columns],
+        F.coalesce("_before", "_edge_before").alias("before"),
+        F.coalesce("_after", "_edge_after").alias("after"),
+    )
+
+
+def _ascending(order: list) -> list:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
