@@ -25,5 +25,33 @@ best AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM numbered LEFT JOIN best USING (n)
+""",
+    "op7_lm": """
+WITH numbered AS (
+    SELECT row_number() OVER () AS n, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents
+),
+tokens AS (
+    SELECT n, unnest(words) AS word, unnest(list_prepend(NULL, words[:-2])) AS before, unnest(range(len(words))) AS place
+    FROM numbered WHERE len(words) > 0
+),
+word_counts AS (SELECT word, count(*) AS c FROM tokens GROUP BY word),
+pair_counts AS (SELECT before, word, count(*) AS c FROM tokens WHERE place > 0 GROUP BY before, word),
+scored AS (
+    SELECT t.n,
+           CAST(round(1000000 * ln(
+               CASE WHEN t.place > 0 AND p.c >= 2 THEN p.c::DOUBLE / b.c
+                    WHEN t.place > 0 THEN 0.4::DOUBLE * w.c / (SELECT count(*) FROM tokens)
+                    ELSE w.c::DOUBLE / (SELECT count(*) FROM tokens) END)) AS BIGINT) AS s
+    FROM tokens t JOIN word_counts w USING (word)
+    LEFT JOIN word_counts b ON t.place > 0 AND b.word = t.before
+    LEFT JOIN pair_counts p ON t.place > 0 AND p.before = t.before AND p.word = t.word
+),
+sums AS (SELECT n, CAST(sum(s) AS BIGINT) AS log_score FROM scored GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(log_score, 0) AS log_score,
+       CASE WHEN len(words) > 0 THEN log_score / len(words) / 1000000 END AS mean_log_score
+FROM numbered LEFT JOIN sums USING (n)
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import fingerprints, html, langid, mixing, packing, urls, warc
+from hitloom.llm import ann, fingerprints, html, langid, lm, mixing, neardup, packing, urls, warc
 from hitloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -119,3 +119,20 @@ def packed_digest(pieces: DataFrame) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprints.with_edits(spark, docs, scratch_path(spark, "fingerprints"))
+
+
+@query
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_query = F.col("vec_id") % 20 == 0
+    return ann.nearest(spark, _read(spark, sf_dir, "embeddings"), scratch_path(spark, "ann"), is_query)
+
+
+@query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.find(spark, docs, scratch_path(spark, "neardup"), size=2)
