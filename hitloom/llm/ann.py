@@ -91,7 +91,7 @@ def represent(rows: DataFrame, pivots: np.ndarray, norm: float) -> DataFrame:
 def _search_block(pivots: int, top: int, wanted: int):
     """Queries against candidates of one block of one inverted file."""
 
-    def search(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         if queries.empty or candidates.empty:
             return empty

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hitloom.llm.columns import back, own
 from hitloom.llm.ordered import with_neighbors
 from hitloom.llm.urls import host_of, path_of
 
@@ -85,7 +86,8 @@ class _Page:
     def close_to(self, name: str, within: tuple[str, ...] = ()) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == name:
-                self.flush()
+                if any(entry[0] in BLOCKS for entry in self.open[i:]):
+                    self.flush()
                 del self.open[i:]
                 return
             if self.open[i][0] in within:
@@ -253,12 +255,11 @@ def extract(
     and are no neighbours of each other. A column ``text`` is replaced; an empty table gives no rows.
     ``folder``, shared by all executors, takes a table of line digests.
     """
-    kept = [F.col(f"`{c}`") for c in pages.columns if c != "text"]
     url, source = F.col(f"`{url_column}`"), F.coalesce(F.col(f"`{html_column}`"), F.lit(""))
-    parsed = pages.select(*kept, F.xxhash64(url).alias("_url"), F.md5(source).alias("_page"), _parse(source).alias("_parsed"))
+    parsed = pages.select(*own(pages, ("text",)), F.xxhash64(url).alias("_url"), F.md5(source).alias("_page"), _parse(source).alias("_parsed"))
     open_pages = parsed.filter(F.size("_parsed.lines") > 0)
     settled = parsed.filter(F.coalesce(F.size("_parsed.lines"), F.lit(0)) <= 0)
-    names = [f"`{c}`" for c in pages.columns if c != "text"]
+    names = back(pages, ("text",))
     near = nearest_pages(spark, pages, folder, url_column, html_column)
     compared = open_pages.join(near, ["_url", "_page"], "left")
     return settled.select(*names, F.coalesce("_parsed.text", F.lit("")).alias("text")).unionByName(

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitloom.llm.columns import back, own
 from hitloom.llm.text import raw_bytes, slices
 
 WINDOW = 128
@@ -241,6 +242,6 @@ def identify(docs: DataFrame, model: Model | None, text_column: str = "text") ->
                 [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
             )
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    found = docs.select(*kept, predict(F.col(f"`{text_column}`")).alias("_found"))
-    return found.select(*[f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")], "_found.lang_pred", "_found.score")
+    names = ("lang_pred", "score")
+    found = docs.select(*own(docs, names), predict(F.col(f"`{text_column}`")).alias("_found"))
+    return found.select(*back(docs, names), "_found.lang_pred", "_found.score")

@@ -88,7 +88,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     block = F.pmod(F.xxhash64(identity, F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     dealt = docs.select(identity.alias("_id"), text.alias("_text"), block.alias("_block")).repartition(F.col("_block"))
 
-    def listed(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def listed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, grams, counts, _ = _block_grams(_as_texts(frame["_text"]))
         at = _ranges(grams, blocks)
         full = [i for i in range(blocks) if at[i] < at[i + 1]]
@@ -101,7 +101,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             }
         )
 
-    def added(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def added(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         grams = [np.frombuffer(x, dtype=np.uint64) for x in frame["grams"]]
         counts = [np.frombuffer(zlib.decompress(x), dtype="<u4") for x in frame["counts"]]
         table, places = np.unique(np.concatenate(grams), return_inverse=True)
@@ -119,7 +119,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     answers = requests.groupBy("part").applyInPandas(added, "part int, block int, totals binary")
     total = docs.agg(F.sum(_jvm_words(text))).first()[0] or 0
 
-    def scored(key, frame: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+    def scored(key: tuple, frame: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         bounds, grams, _, places = _block_grams(_as_texts(frame["_text"]))
         parts = [np.frombuffer(zlib.decompress(x), dtype="<u8") for x in answered.sort_values("part")["totals"]]
         counts = np.concatenate([np.zeros(0, dtype="<u8"), *parts]).astype(np.float64)[places]

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hitloom.llm.columns import back, own
+
 # The weights of sources in order, repeating, and the share of all words to take.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -155,7 +157,7 @@ def mix(
     source = F.col(f"`{source_column}`")
     size = word_count(F.col(f"`{text_column}`"))
     docs.select(
-        *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry], source.alias("source"), size.alias("size"),
+        *own(docs.select(*[f"`{c}`" for c in carry])), source.alias("source"), size.alias("size"),
         F.when(source.isNull(), "null").otherwise(F.concat(F.lit("="), source.cast("string"))).alias("_key"),
         F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in carry if c != text_column], size).alias("_hash"),
     ).withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
@@ -193,8 +195,8 @@ def mix(
             "pass", F.col("taken"), "shard", F.xxhash64("_order", "shard").alias("place")
         )))).alias("draws"),
     )
-    found = rows.select("_row", "size", *[f"c_{c}" for c in carry]).join(drawn, "_row")
-    return found.select(*[F.col(f"`c_{c}`").alias(c) for c in carry], "size", "source_size", "target", "taken", "draws")
+    carried = docs.select(*[f"`{c}`" for c in carry])
+    return rows.drop("source", "_key", "_hash").join(drawn, "_row").select(*back(carried), "size", "source_size", "target", "taken", "draws")
 
 
 def drawn_documents(mixed: DataFrame, text_column: str, columns: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitloom.llm.columns import back, own
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKENS = r"[^./]+"
 
@@ -107,8 +109,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url_c
     """
     names = ("host", "path", "rule", "verdict")
     url = F.col(f"`{url_column}`")
-    kept = [F.col(f"`{name}`") for name in pages.columns if name not in names]
-    split = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"))
+    split = pages.select(*own(pages, names), host_of(url).alias("host"), path_of(url).alias("path"))
     index = RuleIndex(rules, token_counts(split, rules))
 
     @F.pandas_udf("struct<rule string, verdict string>")
@@ -123,4 +124,4 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url_c
             )
 
     judged = split.withColumn("_found", decide("host", "path"))
-    return judged.select(*[f"`{c}`" for c in split.columns], "_found.rule", "_found.verdict")
+    return judged.select(*back(pages, names), "host", "path", "_found.rule", "_found.verdict")

@@ -19,6 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitloom.llm.columns import back, own
 from hitloom.operators.lookups import skew_proof_lookup
 
 # Fixed values of the format.
@@ -133,17 +134,16 @@ def mark_revisits(rows: DataFrame, id_column: str, payload_column: str, least_by
     largest id are all responses. Payloads that own many rows are looked up in a small broadcast.
     """
     digest = F.sha1(F.col(f"`{payload_column}`"))
-    keyed = rows.withColumn("_digest", F.when(F.octet_length(f"`{payload_column}`") >= least_bytes, digest))
+    identity = F.col(f"`{id_column}`").alias("_id")
+    keyed = rows.select(*own(rows, ("record_type", "refers_to")), identity, F.when(F.octet_length(f"`{payload_column}`") >= least_bytes, digest).alias("_digest"))
     largest = keyed.filter("_digest is not null").groupBy("_digest").agg(
-        F.max(f"`{id_column}`").alias("_largest"), F.count("*").alias("_rows")
+        F.max("_id").alias("_largest"), F.count("*").alias("_rows")
     )
     answers = largest.withColumn("_answer", F.when(F.col("_rows") > 1, F.struct("_largest")))
-    marked = skew_proof_lookup(keyed, "_digest", answers, "_digest", "_answer", "_rows", "_original", [id_column])
-    own = F.col(f"`{id_column}`")
-    revisits = F.col("_original").isNotNull() & ~own.eqNullSafe(F.col("_original._largest"))
-    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("record_type", "refers_to")]
+    marked = skew_proof_lookup(keyed, "_digest", answers, "_digest", "_answer", "_rows", "_original", ["_id"])
+    revisits = F.col("_original").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_original._largest"))
     return marked.select(
-        *kept,
+        *back(rows, ("record_type", "refers_to")),
         F.when(revisits, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         F.when(revisits, F.col("_original._largest")).alias("refers_to"),
     )
