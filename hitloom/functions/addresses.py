@@ -93,11 +93,13 @@ def with_address_bits(df: DataFrame, address: str, bits: str = "bits") -> DataFr
 def with_cidr_parts(df: DataFrame, cidr: str = "cidr") -> DataFrame:
     """Append ``addr``, ``len``, ``family`` and ``net_bits`` of ``addr/len`` texts.
 
-    ``net_bits`` is NULL if the address or the length is invalid.
+    An address alone has all its bits as length. ``net_bits`` is NULL if the address or the length is
+    invalid.
     """
     text = F.col(f"`{cidr}`")
     addr = F.split_part(text, F.lit("/"), F.lit(1))
-    length = F.split_part(text, F.lit("/"), F.lit(2)).try_cast("int")
+    given = F.split_part(text, F.lit("/"), F.lit(2)).try_cast("int")
+    length = F.when(F.contains(text, F.lit("/")), given).otherwise(family(addr))
     parts = df.select("*", addr.alias("addr"), length.alias("len"), family(addr).alias("family"))
     parts = with_address_bits(parts, "addr", "_bits")
     usable = F.col("len").between(0, F.col("family"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.operators.neighbors import with_neighbor
@@ -26,56 +26,50 @@ def sets_changed(current: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def _as_changes(flags: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return flags.filter((F.col("_old") > 0) != (F.col("_new") > 0)).select(
-        *keys, F.when(F.col("_new") > 0, "added").otherwise("removed").alias("change")
-    )
-
-
 def set_differences(current: DataFrame, new: DataFrame) -> DataFrame:
     """``source, family, cidr, change`` for ranges that only one side has."""
-    return _as_changes(_counted(current, new), ("source", "family", "cidr"))
+    flags = _counted(current, new).filter((F.col("_old") > 0) != (F.col("_new") > 0))
+    change = F.when(F.col("_new") > 0, "added").otherwise("removed").alias("change")
+    return flags.select("source", "family", "cidr", change)
 
 
-def etag_changes(snapshots: DataFrame) -> DataFrame:
+def etag_changes(snapshots: DataFrame, path: str) -> DataFrame:
     """Snapshots whose etag differs from the one before: ``source, fetched_at, etag, previous_etag``.
 
-    Copies of a snapshot count once. The first snapshot is compared with an empty etag.
+    Copies of a snapshot count once. The first snapshot is compared with an empty etag. A NULL source is
+    a source, and snapshots without a time come first. ``path`` takes a table.
     """
     slim = snapshots.select("source", "fetched_at", "etag").distinct()
-    known = with_neighbor(slim, "source", "fetched_at", "etag", "previous_etag")
+    known = with_neighbor(slim, "source", "fetched_at", "etag", "previous_etag", path)
     previous = F.coalesce("previous_etag", F.lit(""))
     return known.withColumn("previous_etag", previous).filter(F.col("etag") != previous)
 
 
-def snapshot_differences(snapshots: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Ranges added or removed by each snapshot of a source against the one before.
+def snapshot_differences(snapshots: DataFrame, path: str) -> DataFrame:
+    """``source, fetched_at, family, cidr, change``: ranges added or removed by each snapshot of a
+    source against the one before.
 
-    ``ranges`` holds ``source, fetched_at, family, cidr`` of the snapshots. Each range speaks for
-    its own snapshot as present, and for the next one as previously present, so a single grouping
-    answers all. Grouping includes the snapshot and the range: a source that owns most of the rows
-    is spread out, and copies of a snapshot collapse first. A snapshot with empty lists still
-    follows and precedes others.
+    Each snapshot is one row with its ranges as an array; the row before brings its array along, and
+    only differences are exploded. Copies of a snapshot, and snapshots of one source and time, count as one. A snapshot with
+    empty lists still follows and precedes others; a NULL source or time is a value like others. ``path`` takes a table.
     """
-    moments = snapshots.select("source", "fetched_at").distinct()
-    following = with_neighbor(
-        moments, "source", "fetched_at", "fetched_at", "next_at", following=True
+
+    def listed(column: str, family: int) -> Column:
+        return F.transform(
+            F.filter(column, lambda c: c.isNotNull()), lambda c: F.struct(F.lit(family).alias("family"), c.alias("cidr"))
+        )
+
+    whole = snapshots.select("source", "fetched_at", F.concat(listed("ipv4_cidrs", 32), listed("ipv6_cidrs", 128)).alias("_r"))
+    moments = whole.groupBy("source", "fetched_at").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_r")))).alias("_ranges")
     )
-    placed = (
-        ranges.select("source", "fetched_at", "family", "cidr")
-        .distinct()
-        .join(following, ["source", "fetched_at"])
+    known = with_neighbor(moments, "source", "fetched_at", "_ranges", "_earlier", path)
+    earlier = F.coalesce("_earlier", F.array().cast(moments.schema["_ranges"].dataType))
+
+    def marked(ranges: Column, change: str) -> Column:
+        return F.transform(ranges, lambda r: F.struct(r["family"].alias("family"), r["cidr"].alias("cidr"), F.lit(change).alias("change")))
+
+    changes = F.concat(
+        marked(F.array_except("_ranges", earlier), "added"), marked(F.array_except(earlier, F.col("_ranges")), "removed")
     )
-    votes = placed.select(
-        "source",
-        "family",
-        "cidr",
-        F.stack(
-            F.lit(2),
-            F.col("fetched_at"), F.lit(0), F.lit(1),
-            F.col("next_at"), F.lit(1), F.lit(0),
-        ).alias("fetched_at", "_old", "_new"),
-    ).filter(F.col("fetched_at").isNotNull())
-    keys = ("source", "fetched_at", "family", "cidr")
-    flags = votes.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
-    return _as_changes(flags, keys)
+    return known.select("source", "fetched_at", F.inline(changes))

@@ -29,12 +29,14 @@ def parse_lines(
     omit: str = "",
     trailing_only: bool = False,
     strict: bool = False,
+    raw_uri: str | None = None,
 ) -> DataFrame:
     """Parse each line into the eleven text fields plus ``ts``, ``status_int`` and ``bytes``.
 
     Other columns of ``lines`` are kept. A line with too few tokens goes whole into
     ``non_default``; so does one with a bad date, which keeps its ``remote_ip``. Absent is the
-    empty string. ``strict`` also rejects lines whose status is not three digits.
+    empty string. ``strict`` also rejects lines whose status is not three digits. ``raw_uri`` names one more
+    column, for the URI before its slashes are stripped.
     """
     kept = [name for name in lines.columns if name != value]
     line = F.col(value)
@@ -59,6 +61,7 @@ def parse_lines(
         date=F.col("_date"),
         ts=F.col("_ts"),
         uri=normalize_uri(F.col("_uri"), trailing_only),
+        **({"raw_uri": F.col("_uri")} if raw_uri else {}),
     )
 
     tokens = F.col("tokens")
@@ -88,6 +91,7 @@ def parse_lines(
         ts.alias("ts"),
         F.when(ts.isNotNull(), leading_integer(status)).alias("status_int"),
         F.when(ts.isNotNull(), size.try_cast("bigint")).alias("bytes"),
+        *([F.col("raw_uri").alias(raw_uri)] if raw_uri else []),
     )
 
 

@@ -1,14 +1,15 @@
 """Star schema: one long dimension table with counts, and a fact table of keys.
 
 A key is a hash of its value. It needs no lookup and no global numbering, and it is the same in
-every batch, backfill and retry.
+every batch, backfill and retry. It has 128 bits of a hash that nobody can make collide at will, and reading
+dimensions checks it all the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.functions.numbers import unsuccessful
@@ -21,9 +22,16 @@ from hitloom.schema import FACT_FIELDS
 SMALL_DIMENSION = 16 * 1024 * 1024
 KEY_BYTES = 16
 
+ROW_ORDER = ("commit", "position")
+
 
 def value_key(value: Column) -> Column:
-    return F.xxhash64(value)
+    """16 bytes."""
+    return F.unhex(F.substring(F.sha2(value, 256), 1, 2 * KEY_BYTES))
+
+
+def key_text(key: Column) -> Column:
+    return F.lower(F.hex(key))
 
 
 def with_keys(counts: DataFrame) -> DataFrame:
@@ -32,16 +40,18 @@ def with_keys(counts: DataFrame) -> DataFrame:
 
 
 def checked_dimensions(counts: DataFrame) -> DataFrame:
-    """Dimension rows, failing if one key of a dimension stands for two values."""
-    same_key = Window.partitionBy("dim", "id")
-    keyed = with_keys(counts).withColumn("_values", F.count(F.lit(1)).over(same_key))
-    clash = F.raise_error(F.concat(F.lit("two values share a key in "), F.col("dim")))
-    return keyed.select(
-        "dim",
-        F.when(F.col("_values") > 1, clash.cast("bigint")).otherwise(F.col("id")).alias("id"),
-        "value",
-        "count",
+    """One row per key of ``counts``, with their sum: ``dim, id, value, count``.
+
+    ``counts`` may hold a value more than once, with or without its ``id``. It fails if one key of a dimension stands for
+    two values: the one grouping compares the least and the greatest value of a key.
+    """
+    keyed = counts if "id" in counts.columns else with_keys(counts)
+    found = keyed.groupBy("dim", "id").agg(
+        F.min("value").alias("value"), F.max("value").alias("_other"), F.sum("count").alias("count")
     )
+    clash = F.raise_error(F.concat(F.lit("two values share a key in "), F.col("dim"))).cast("bigint")
+    count = F.when(F.col("value") == F.col("_other"), F.col("count")).otherwise(clash)
+    return found.select("dim", "id", "value", count.alias("count"))
 
 
 def fact_rows(records: DataFrame, order: Sequence[str] = ("line_no",)) -> DataFrame:
@@ -52,7 +62,7 @@ def fact_rows(records: DataFrame, order: Sequence[str] = ("line_no",)) -> DataFr
     return parsed_only(records).select(*order, *keys)
 
 
-def read_back(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ("line_no",)) -> DataFrame:
+def read_back(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """Fact rows with their values again. Give a stored ``dimensions``: it is read per field.
 
     The sizes of the eleven dimensions are checked first. Small ones are broadcast; the others go
@@ -67,9 +77,8 @@ def read_back(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ("l
             small = lookup.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(name))
             rows = rows.join(F.broadcast(small), f"{name}_id", "left")
         else:
-            rows = skew_proof_lookup(
-                rows, f"{name}_id", lookup, "id", "value", "count", name, (*order, f"{name}_id")
-            )
+            spread = [*order, f"{name}_id"]
+            rows = skew_proof_lookup(rows, f"{name}_id", lookup, "id", "value", "count", name, spread)
     return rows.select(*order, *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in FACT_FIELDS])
 
 
@@ -77,11 +86,11 @@ def read_back(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ("l
 LAST_ROW_FIELDS = ("date", "remote_ip", "http_method", "request_uri")
 
 
-def last_row(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ("line_no",)) -> DataFrame:
+def last_row(fact: DataFrame, counts: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """Date, address, method and URI of the last fact row that has all four; no row if none has.
 
     The row is picked first, so the dimension table meets four broadcast keys instead of the fact.
-    ``dimensions`` may list a value more than once: stored counts do as they are, without a sum.
+    ``counts`` may list a value more than once: stored counts do as they are, without a sum.
     """
     complete = F.lit(True)
     for name in LAST_ROW_FIELDS:
@@ -97,45 +106,47 @@ def last_row(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ("li
             ).alias("dim", "id")
         )
     )
-    wanted = dimensions.filter(F.col("dim").isin(*LAST_ROW_FIELDS))
+    wanted = counts.filter(F.col("dim").isin(*LAST_ROW_FIELDS))
     found = wanted.join(F.broadcast(last), ["dim", "id"])
     picked = [F.max(F.when(F.col("dim") == n, F.col("value"))).alias(n) for n in LAST_ROW_FIELDS]
     return found.agg(*picked, F.count(F.lit(1)).alias("_n")).filter("_n > 0").drop("_n")
 
 
-def unsuccessful_groups(
-    fact: DataFrame, dimensions: DataFrame, cutoff: Column, method: str = "GET"
-) -> DataFrame:
-    """Unsuccessful requests since ``cutoff``, counted by status and URI, through the star.
+def _values_of(counts: DataFrame, name: str) -> DataFrame:
+    """Different values of a dimension: ``{name}_id`` and ``name``. ``counts`` may repeat them."""
+    values = counts.filter(F.col("dim") == name)
+    return values.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(name)).distinct()
 
-    The filters work on the small dimensions, the counting on keys. Only the counted groups are
-    joined with the URI and agent texts.
-    """
 
-    def dimension(name: str) -> DataFrame:
-        return dimensions.filter(F.col("dim") == name)
+def _small(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """``df``, to be broadcast if its keys and texts take up at most ``SMALL_DIMENSION`` bytes."""
+    size = sum((F.octet_length(t) for t in texts), F.lit(KEY_BYTES))
+    held = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= SMALL_DIMENSION else df
 
-    def keys(name: str, condition: Column) -> DataFrame:
-        return dimension(name).filter(condition).select(F.col("id").alias(f"{name}_id"))
 
-    def texts(name: str) -> DataFrame:
-        return dimension(name).select(F.col("id").alias(f"{name}_id"), F.col("value").alias(name))
+def top_failures(fact: DataFrame, counts: DataFrame, since: Column, n: int, method: str = "GET") -> DataFrame:
+    """The ``n`` most frequent unsuccessful requests by status and URI since a day, through the star.
 
-    value = F.col("value")
-    failed = (
-        fact.filter(F.col("request_uri_id").isNotNull() & F.col("user_agent_id").isNotNull())
-        .join(keys("http_method", value == method), "http_method_id", "left_semi")
-        .join(keys("status_code", unsuccessful(value)), "status_code_id", "left_semi")
-        .join(keys("date", value >= cutoff), "date_id", "left_semi")
-    )
-    counted = failed.groupBy("status_code_id", "request_uri_id", "user_agent_id").agg(
+    Days are folders of the fact, so older ones aren't read. The method's key is known without a
+    lookup; keys of failed statuses are broadcast if they are small. All counting is on keys: groups
+    that reach the n-th count are found first, and texts are fetched for those only.
+    """
+    statuses = _small(_values_of(counts, "status_code").filter(unsuccessful(F.col("status_code"))), ["status_code"])
+    failed = fact.filter(
+        (F.col("day") >= since)
+        & (F.col("http_method_id") == value_key(F.lit(method)))
+        & F.col("request_uri_id").isNotNull()
+        & F.col("user_agent_id").isNotNull()
+    ).join(statuses, "status_code_id")
+    counted = failed.groupBy("status_code_id", "status_code", "request_uri_id", "user_agent_id").agg(
         F.count(F.lit(1)).alias("_n")
     )
-    named = (
-        counted.join(texts("status_code"), "status_code_id")
-        .join(texts("request_uri"), "request_uri_id")
-        .join(texts("user_agent"), "user_agent_id")
-    )
-    return named.groupBy("status_code", "request_uri").agg(
-        F.min("user_agent").alias("user_agent"), F.sum("_n").alias("count")
-    )
+    totals = counted.groupBy("status_code", "request_uri_id").agg(F.sum("_n").alias("count"))
+    least = totals.select("count").orderBy(F.desc("count")).limit(n).agg(F.min("count")).scalar()
+    leading = totals.filter(F.col("count") >= least)
+    agents = counted.join(leading.select("status_code", "request_uri_id"), ["status_code", "request_uri_id"], "left_semi")
+    named = agents.join(_values_of(counts, "user_agent"), "user_agent_id")
+    least_agents = named.groupBy("status_code", "request_uri_id").agg(F.min("user_agent").alias("user_agent"))
+    whole = leading.join(least_agents, ["status_code", "request_uri_id"]).join(_values_of(counts, "request_uri"), "request_uri_id")
+    return whole.select("status_code", "request_uri", "user_agent", "count")

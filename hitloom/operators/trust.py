@@ -1,9 +1,10 @@
 """Which requests come from trusted address ranges.
 
 Range membership is equality of bit prefixes, so nothing here compares every address with every
-range. Lists up to a checked size become hash sets inside the filter itself: rows are labelled where
-they are read, without a shuffle. Longer lists are joined with the distinct addresses, and their
-labels are looked up in a way that hot addresses cannot skew.
+range. The caller chooses between two ways. Short lists become hash sets inside the filter itself: rows, of a stream too, are
+labelled where they are read, without a shuffle; a list that is too long is refused. With a folder for a table, lists of any
+length are joined with the distinct addresses of a batch, and their labels are looked up in a way that hot addresses
+cannot skew.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.addresses import IPV4, IPV6, family, with_address_bits, with_cidr_parts
 from hitloom.operators.lookups import skew_proof_lookup
-from hitloom.session import scratch_path
 
-# Proxy networks publish tens to a few thousand ranges. A list beyond this size is joined.
+# Proxy networks publish tens to a few thousand ranges. A list beyond this size must be joined.
 INLINE_LIMIT = 5_000
 
 
@@ -31,14 +31,11 @@ def prefixes(ranges: DataFrame) -> DataFrame:
     )
 
 
-def _inline_sets(known: DataFrame, limit: int) -> dict[tuple[int, int], list[str]] | None:
-    """The prefixes by family and length, or None if there are more than ``limit``.
-
-    At most ``limit + 1`` short rows are fetched: this is the size check.
-    """
-    found = known.limit(limit + 1).collect()
-    if len(found) > limit:
-        return None
+def _inline_sets(known: DataFrame) -> dict[tuple[int, int], list[str]]:
+    """The prefixes by family and length. At most ``INLINE_LIMIT + 1`` short rows are fetched: this is the size check."""
+    found = known.limit(INLINE_LIMIT + 1).collect()
+    if len(found) > INLINE_LIMIT:
+        raise ValueError(f"more than {INLINE_LIMIT} ranges: give a folder, so that they can be joined")
     sets: dict[tuple[int, int], list[str]] = defaultdict(list)
     for row in found:
         sets[row["family"], row["len"]].append(row["net_bits"])
@@ -79,12 +76,15 @@ def label_trusted(
     requests: DataFrame,
     ranges: DataFrame,
     address: str = "remote_ip",
-    inline_limit: int = INLINE_LIMIT,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Append ``trusted BOOLEAN``. An invalid address is untrusted; every row is kept."""
+    """Append ``trusted BOOLEAN``. An invalid, empty or NULL address is untrusted; every row is kept.
+
+    Without ``folder`` the list must be short. With one, which all executors share, the labels of the addresses are stored there.
+    """
     known = prefixes(ranges)
-    sets = _inline_sets(known, inline_limit)
-    if sets is not None:
+    if folder is None:
+        sets = _inline_sets(known)
         with_bits = with_address_bits(requests, address, "_address_bits")
         label = _in_sets(F.col("_address_bits"), sets)
         return with_bits.select(*requests.columns, label.alias("trusted"))
@@ -93,9 +93,8 @@ def label_trusted(
     # worked out again for the parts of the lookup. Hot addresses are known from their counts.
     counted = requests.groupBy(F.col(address).alias("address")).agg(F.count(F.lit(1)).alias("_n"))
     spark = requests.sparkSession
-    path = scratch_path(spark, "addresses")
-    label_addresses(counted, known).write.parquet(path)
-    labels = spark.read.parquet(path).filter(F.col("address").isNotNull())
+    label_addresses(counted, known).write.parquet(folder)
+    labels = spark.read.parquet(folder).filter(F.col("address").isNotNull())
     labelled = skew_proof_lookup(
         requests, address, labels, "address", "trusted", "_n", "trusted", requests.columns
     )
@@ -103,15 +102,15 @@ def label_trusted(
 
 
 def trusted_requests(
-    requests: DataFrame, ranges: DataFrame, address: str = "remote_ip", inline_limit: int = INLINE_LIMIT
+    requests: DataFrame, ranges: DataFrame, address: str = "remote_ip", folder: str | None = None
 ) -> DataFrame:
-    return label_trusted(requests, ranges, address, inline_limit).filter("trusted").drop("trusted")
+    return label_trusted(requests, ranges, address, folder).filter("trusted").drop("trusted")
 
 
 def untrusted_requests(
-    requests: DataFrame, ranges: DataFrame, address: str = "remote_ip", inline_limit: int = INLINE_LIMIT
+    requests: DataFrame, ranges: DataFrame, address: str = "remote_ip", folder: str | None = None
 ) -> DataFrame:
-    return label_trusted(requests, ranges, address, inline_limit).filter("not trusted").drop("trusted")
+    return label_trusted(requests, ranges, address, folder).filter("not trusted").drop("trusted")
 
 
 def block_counters(
@@ -119,21 +118,21 @@ def block_counters(
     ranges: DataFrame,
     address: str = "remote_ip",
     size: str = "bytes",
-    inline_limit: int = INLINE_LIMIT,
+    join: bool = False,
 ) -> DataFrame:
-    """``family, requests, bytes`` over untrusted rows.
+    """``family, requests, bytes`` over untrusted rows, those without an address included.
 
     Only sums are wanted, so rows are summed per address first: the label is worked out once per
-    address, and no row is shuffled for it.
+    address, and no row is shuffled for it. ``join`` is for lists of any length.
     """
     per_address = requests.groupBy(F.col(address).alias("address")).agg(
         F.count(F.lit(1)).alias("_requests"), F.sum(size).alias("_bytes")
     )
     known = prefixes(ranges)
-    sets = _inline_sets(known, inline_limit)
-    if sets is None:
+    if join:
         labelled = label_addresses(per_address, known)
     else:
+        sets = _inline_sets(known)
         with_bits = with_address_bits(per_address, "address", "_address_bits")
         labelled = with_bits.withColumn("trusted", _in_sets(F.col("_address_bits"), sets))
     blocked = labelled.filter(~F.coalesce("trusted", F.lit(False)))
@@ -147,9 +146,9 @@ def restore_addresses(
     ranges: DataFrame,
     peer: str = "peer_ip",
     header: str = "header_ip",
-    inline_limit: int = INLINE_LIMIT,
+    folder: str | None = None,
 ) -> DataFrame:
     """Append ``remote_ip``: the header's address if the peer is trusted and sent one, else the peer."""
-    labelled = label_trusted(proxied, ranges, peer, inline_limit)
+    labelled = label_trusted(proxied, ranges, peer, folder)
     restored = F.when(F.col("trusted") & (F.coalesce(header, F.lit("")) != ""), F.col(header))
     return labelled.select(*proxied.columns, F.coalesce(restored, F.col(peer)).alias("remote_ip"))

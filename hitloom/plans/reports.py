@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.numbers import unsuccessful
 from hitloom.operators.counts import count_values, top_values
-from hitloom.operators.star import unsuccessful_groups
-from hitloom.plans.star_tables import stored_dimensions, stored_fact, stored_totals
+from hitloom.operators.star import top_failures
+from hitloom.plans.star_tables import stored_counts, stored_fact, stored_totals
 
 DEFAULT_N = 3
 WINDOW_DAYS = 30
 
+# Into how many parts the values of a field are dealt before they are ranked together.
+RANK_PARTS = 64
+
 # The reports that rank the values of one field.
 FIELD_REPORTS = {
     "top_ips": "remote_ip",
@@ -60,11 +63,10 @@ def top_unsuccessful(records: DataFrame, n: int = DEFAULT_N, as_of: date | str |
 
 
 def top_unsuccessful_stored(
-    fact: DataFrame, dimensions: DataFrame, n: int = DEFAULT_N, as_of: date | str | None = None
+    fact: DataFrame, counts: DataFrame, n: int = DEFAULT_N, as_of: date | str | None = None
 ) -> DataFrame:
     """The same answer from the stored star schema."""
-    cutoff = window_start(as_of).cast("string")
-    return _ranked_failures(unsuccessful_groups(fact, dimensions, cutoff), n)
+    return _ranked_failures(top_failures(fact, counts, window_start(as_of), n), n)
 
 
 def _field_report(name: str) -> Callable[..., DataFrame]:
@@ -112,7 +114,7 @@ def stored_report(
         report = top_values(stored_totals(spark, path), FIELD_REPORTS[name], n)
     else:
         report = top_unsuccessful_stored(
-            stored_fact(spark, path), stored_dimensions(spark, path), n, as_of
+            stored_fact(spark, path), stored_counts(spark, path), n, as_of
         )
     return ranked(report)
 
@@ -120,19 +122,18 @@ def stored_report(
 def run_all_reports(records: DataFrame, n: int = DEFAULT_N, as_of: date | str | None = None) -> DataFrame:
     """All five: ``report, rank, value, count``. The four field reports share one counting pass.
 
-    For n up to 1,000 the rank filter cuts each task's rows to n per field before the shuffle.
+    Ranks are taken twice: in parts of each field by a hash of the value, and then over the parts' first ``n``. So no
+    task sorts all values of a field, whatever ``n`` is.
     """
     _checked("top_ips", n)
-    if n > 1_000:
-        each = [run_report(records, name, n, as_of).select(F.lit(name).alias("report"), "*") for name in REPORTS]
-        union = each[0]
-        for report in each[1:]:
-            union = union.unionByName(report)
-        return union
     names = [pair for name, dim in FIELD_REPORTS.items() for pair in (F.lit(dim), F.lit(name))]
-    order = Window.partitionBy("dim").orderBy(F.desc("count"), F.asc("value"))
+    ordered = (F.desc("count"), F.asc("value"))
+    in_part, order = Window.partitionBy("dim", "_part").orderBy(*ordered), Window.partitionBy("dim").orderBy(*ordered)
     fields = (
         count_values(records, list(FIELD_REPORTS.values()))
+        .withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(RANK_PARTS)))
+        .withColumn("_rank", F.row_number().over(in_part))
+        .filter(F.col("_rank") <= n)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
         .select(F.create_map(*names)[F.col("dim")].alias("report"), "rank", "value", "count")

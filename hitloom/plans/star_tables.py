@@ -1,84 +1,134 @@
-"""The stored star schema: counts and facts of each batch, written so that a retry changes nothing."""
+"""The stored star schema: counts and facts of each batch, and a record of what is committed.
+
+Every attempt writes to a folder of its own. One record, appended last, names the folder and makes the batch visible: all of
+it or nothing. A batch is known by its run and number, so batches of different runs don't meet, and one
+that is committed already is skipped when it is replayed. Readers take the list of
+committed folders first and read those, without a join.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql import types as T
 
-from hitloom.operators.counts import count_values, merge_counts
-from hitloom.operators.star import fact_rows, with_keys
-from hitloom.schema import COUNTS
+from hitloom.operators.counts import count_values
+from hitloom.operators.star import checked_dimensions, fact_rows, with_keys
+from hitloom.schema import BASES, COMMITS, COUNTS, FACT, POSITION
 
 
-def write_batch(
-    records: DataFrame, path: str, batch_id: int, order: Sequence[str] = ("line_no",), cache: bool = True
-) -> None:
-    """Store one batch: its counts per value, its fact rows, then a commit mark.
+def position(records: DataFrame, order: str) -> Column:
+    """A row's place in its batch: a number of an old table or a list, or the place in a log's text."""
+    if isinstance(records.schema[order].dataType, T.StructType):
+        parts = [F.col(f"{order}.{f.name}").cast(f.dataType).alias(f.name) for f in POSITION.fields]
+    else:
+        parts = [F.lit(None).cast(f.dataType).alias(f.name) for f in POSITION.fields[:-1]]
+        parts.append(F.col(order).cast("bigint").alias(POSITION.fields[-1].name))
+    return F.struct(*parts)
 
-    Every part overwrites the folder of its own ``batch_id``, so a batch that is run again leaves
-    the same tables. Readers see a batch only once its mark is there: all of it or nothing.
-    """
-    if cache:
-        records = records.persist(StorageLevel.MEMORY_AND_DISK)
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of the store, without rows if nothing was ever written to it."""
     try:
-        # Whole dimensions end up together in files of even size.
-        counts = with_keys(count_values(records)).hint("rebalance", "dim")
-        counts.write.mode("overwrite").partitionBy("dim").parquet(f"{path}/counts/batch_id={batch_id}")
-        fact_rows(records, order).write.mode("overwrite").parquet(f"{path}/fact/batch_id={batch_id}")
-    finally:
-        if cache:
-            records.unpersist()
-    mark = records.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("committed"))
-    mark.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch_id={batch_id}")
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
 
+def commits(spark: SparkSession, path: str) -> list[T.Row]:
+    """The committed batches in order. One short row each: compaction keeps the folders to read few."""
+    found = _read(spark, f"{path}/commits", COMMITS).collect()
+    return sorted(found, key=lambda row: (row["number"], row["folder"]))
 
-def _committed(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
-    commits = spark.read.schema("committed bigint").parquet(f"{path}/commits")
-    return table.join(commits.select(F.col("committed").alias("batch_id")), "batch_id", "left_semi")
+
+def is_committed(spark: SparkSession, path: str, run: str, batch_id: int) -> bool:
+    same = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+    return not _read(spark, f"{path}/commits", COMMITS).filter(same).isEmpty()
+
+
+def write_batch(records: DataFrame, path: str, batch_id: int = 0, order: str = "line_no", run: str = "batch") -> bool:
+    """Store one batch: its counts per value and its fact rows by day. False if it was there already.
+
+    Records are worked out once for the counts and once for the facts. Batches are written one at a time; the number
+    of a commit orders the rows of different batches.
+    """
+    spark = records.sparkSession
+    if is_committed(spark, path, run, batch_id):
+        return False
+    last = _read(spark, f"{path}/commits", COMMITS).agg(F.max("number")).first()[0]
+    number = 0 if last is None else last + 1
+    folder = f"{number:012d}-{uuid.uuid4().hex}"
+    # Whole dimensions, and whole days, end up together in files of even size.
+    counts = with_keys(count_values(records)).hint("rebalance", "dim")
+    counts.write.partitionBy("dim").parquet(f"{path}/counts/batch={folder}")
+    placed = records.withColumn("_place", position(records, order))
+    facts = fact_rows(placed, ("_place", "ts")).withColumn("day", F.to_date("ts"))
+    facts = facts.withColumnRenamed("_place", "position").drop("ts").hint("rebalance", "day")
+    facts.write.partitionBy("day").parquet(f"{path}/fact/commit={folder}")
+    commit = spark.createDataFrame([(run, batch_id, number, folder)], COMMITS)
+    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return True
+
+
+def _bases(spark: SparkSession, path: str) -> list[T.Row]:
+    return _read(spark, f"{path}/bases", BASES).collect()
 
 
 def stored_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Counts of all committed batches: ``batch_id, dim, id, value, count``.
+    """Counts of all committed batches: ``dim, id, value, count``, a value once per batch.
 
-    ``dim`` is a folder, so a report on one field reads that field only.
+    What is compacted is read from there, once for all its batches. ``dim`` is a folder, so a report on one field
+    reads that field only.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in COUNTS.fields)
-    table = (
-        spark.read.schema(f"{fields}, batch_id bigint").option("basePath", f"{path}/counts")
-        .parquet(f"{path}/counts")
-    )
-    return _committed(spark, path, table)
+    base = max(_bases(spark, path), key=lambda row: len(row["covers"]), default=None)
+    covered = set(base["covers"]) if base else set()
+    folders = [base["folder"]] if base else []
+    folders += [row["folder"] for row in commits(spark, path) if row["folder"] not in covered]
+    return _counts_of(spark, path, folders)
+
+
+def _counts_of(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], COUNTS)
+    listed = [f"{path}/counts/batch={folder}" for folder in folders]
+    table = spark.read.schema(COUNTS).option("basePath", f"{path}/counts").parquet(*listed)
+    return table.select(*COUNTS.names)
 
 
 def stored_totals(spark: SparkSession, path: str) -> DataFrame:
     """``dim, value, count`` over all committed batches."""
-    counts = stored_counts(spark, path)
-    return counts.groupBy("dim", "value").agg(F.sum("count").alias("count"))
+    return stored_counts(spark, path).groupBy("dim", "value").agg(F.sum("count").alias("count"))
 
 
 def stored_dimensions(spark: SparkSession, path: str) -> DataFrame:
-    """``dim, id, value, count`` over all committed batches."""
-    return with_keys(stored_totals(spark, path))
+    """``dim, id, value, count`` over all committed batches, checked for clashes."""
+    return checked_dimensions(stored_counts(spark, path))
 
 
 def stored_fact(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.option("basePath", f"{path}/fact").parquet(f"{path}/fact")
-    return _committed(spark, path, table.withColumn("batch_id", F.col("batch_id").cast("bigint")))
+    """``position``, the keys, ``commit`` (in the order of commits) and ``day``: folders both."""
+    folders = [f"{path}/fact/commit={row['folder']}" for row in commits(spark, path)]
+    if not folders:
+        return spark.createDataFrame([], FACT)
+    return spark.read.schema(FACT).option("basePath", f"{path}/fact").parquet(*folders)
 
 
-def compact_counts(spark: SparkSession, path: str, target: str) -> None:
-    """Write the totals of all committed batches to another folder, for cheaper reports.
+def compact_counts(spark: SparkSession, path: str) -> int:
+    """Add up the counts of all committed batches for cheaper reports; how many batches they cover.
 
-    The batches stay as they are: nothing is removed, and later ones can be added to the result
-    with ``merge_counts``.
+    The batches stay as they are. The record of the result lists them, so batches committed later, also while this runs, are
+    read beside it.
     """
-    totals = with_keys(stored_totals(spark, path)).hint("rebalance", "dim")
-    totals.write.mode("overwrite").partitionBy("dim").parquet(target)
-
-
-def totals_with_base(base: DataFrame, later: DataFrame) -> DataFrame:
-    """Compacted totals plus the batches after them."""
-    return merge_counts(base, later)
+    covers = [row["folder"] for row in commits(spark, path)]
+    if not covers:
+        return 0
+    folder = f"base-{uuid.uuid4().hex}"
+    totals = checked_dimensions(_counts_of(spark, path, covers)).hint("rebalance", "dim")
+    totals.write.partitionBy("dim").parquet(f"{path}/counts/batch={folder}")
+    spark.createDataFrame([(folder, covers)], BASES).coalesce(1).write.mode("append").parquet(f"{path}/bases")
+    return len(covers)

@@ -40,13 +40,43 @@ LEGACY = T.StructType([T.StructField(name, T.StringType()) for name in LEGACY_CO
 
 COUNTS = T.StructType(
     [
-        T.StructField("dim", T.StringType(), False),
-        T.StructField("id", T.LongType(), False),
-        T.StructField("value", T.StringType(), False),
-        T.StructField("count", T.LongType(), False),
+        T.StructField("dim", T.StringType()),
+        T.StructField("id", T.BinaryType()),
+        T.StructField("value", T.StringType()),
+        T.StructField("count", T.LongType()),
     ]
 )
 
+# The place of a row in its batch; an old table and a numbered list have a number only.
+POSITION = T.StructType(
+    [
+        T.StructField("segment_time", T.TimestampType()),
+        T.StructField("segment", T.StringType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("seq", T.LongType()),
+    ]
+)
+
+FACT = T.StructType(
+    [T.StructField("position", POSITION)]
+    + [T.StructField(f"{name}_id", T.BinaryType()) for name in FACT_FIELDS]
+    + [T.StructField("commit", T.StringType()), T.StructField("day", T.DateType())]
+)
+
+COMMITS = T.StructType(
+    [
+        T.StructField("run", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("number", T.LongType()),
+        T.StructField("folder", T.StringType()),
+    ]
+)
+
+# Compacted counts and the batches that they cover.
+BASES = T.StructType(
+    [T.StructField("folder", T.StringType()), T.StructField("covers", T.ArrayType(T.StringType()))]
+)
+
 RANGE_RESPONSE = T.StructType(
     [
         T.StructField("success", T.BooleanType()),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,10 +38,14 @@ def build_session(
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name for tables that cut lineage or feed a stream.
 
-    It lies in the shared folder that the cluster names in ``spark.checkpoint.dir``. A local folder
-    is used only where that setting is absent, which is the case in tests.
+    It lies in the shared folder that the cluster names in ``spark.checkpoint.dir``. Where that setting is absent,
+    a local folder is used if all tasks run in this process; on a cluster that is an error, as each executor
+    would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = os.path.join(tempfile.gettempdir(), "hitloom-scratch")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

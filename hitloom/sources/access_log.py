@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ _BLOCK = {
     "block": "_metadata.file_block_start",
 }
 
+# A century: no segment is too old to be read.
+NO_AGE_LIMIT = "36525d"
+
 
 def usable_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Drop one final carriage return per line, then the blank lines."""
@@ -49,18 +54,31 @@ def read_log_lines(spark: SparkSession, path: str, position: bool = False) -> Da
 def stream_log_lines(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """The same as a stream over a folder of closed segments.
 
-    A segment is read once, when it appears: lines added to it later are not seen, so segments must
-    be rotated into the folder. The trigger limit keeps a backlog from becoming a single batch.
+    A segment is read once, when it appears, however old its time is: rotated logs keep theirs when they
+    are moved. Lines added to it later are not seen, so segments must be rotated into the folder. The price is that the
+    checkpoint lists every segment ever seen, a short line each; start a new folder and checkpoint when that list grows too long.
+    The trigger limit keeps a backlog from becoming a single batch.
     ``line_pos`` names the block; ``with_sequence`` completes it inside a batch.
     """
     lines = (
         spark.readStream.option("lineSep", "\n")
         .option("maxFilesPerTrigger", max_files_per_trigger)
+        .option("maxFileAge", NO_AGE_LIMIT)
         .text(path)
     )
     return usable_lines(_with_block(lines))
 
 
+def set_segment_times(spark: SparkSession, path: str, days_back: int) -> None:
+    """Give the segments in a folder the time of some days ago, as moved ones have."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    moment = int((time.time() - days_back * 86_400) * 1000)
+    for status in files.listStatus(folder):
+        files.setTimes(status.getPath(), moment, moment)
+
+
 def land_lines(lines: DataFrame, path: str, value: str = "value", segment: Column | None = None) -> None:
     """Write lines as text segments, one sub-folder per ``segment`` if it is given.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.functions.addresses import family, with_cidr_parts
@@ -10,11 +10,31 @@ from hitloom.functions.once import computed_once
 from hitloom.operators.lookups import skew_proof_lookup
 from hitloom.schema import RANGE_RESPONSE
 
-# Line formats of the config file.
-ETAG_LINE = "# Last etag:"
+# Fixed value: how the etag line of a config file starts.
 ETAG_PREFIX = "# Last etag: "
 
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Landed API responses: ``source, fetched_at, body``, one file each.
+
+    Files lie in folders ``source=.../fetched_at=...``.
+    """
+    declared = "body string, source string, fetched_at timestamp_ntz"
+    return spark.read.schema(declared).text(path, wholetext=True).select("source", "fetched_at", "body")
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of config files: ``file, line_no, value``, numbered from 1.
+
+    A config file is read whole in one task, which keeps its lines in order. A last empty line is not one.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("value")
+    )
+    lines = F.posexplode(F.split("value", r"\r?\n"))
+    return files.select("file", lines.alias("_at", "value")).select("file", (F.col("_at") + 1).cast("bigint").alias("line_no"), "value")
+
+
 def valid_snapshots(responses: DataFrame, body: str = "body") -> DataFrame:
     """Responses that report success and hold both lists, with ``etag`` and the lists as columns."""
     kept = [name for name in responses.columns if name != body]
@@ -40,8 +60,8 @@ def snapshot_ranges(snapshots: DataFrame) -> DataFrame:
 
 
 def config_etags(config_lines: DataFrame) -> DataFrame:
-    """``file, etag, lines``: the text after the prefix on the first etag line, else NULL."""
-    marked = F.col("value").startswith(ETAG_LINE)
+    """``file, etag, lines``: the text after the prefix on the first line that has it, else NULL."""
+    marked = F.col("value").startswith(ETAG_PREFIX)
     files = config_lines.groupBy("file").agg(
         F.min_by("value", F.when(marked, F.col("line_no"))).alias("value"),
         F.count(F.lit(1)).alias("lines"),
@@ -55,8 +75,8 @@ def config_ranges(config_lines: DataFrame, letter_start: bool = False) -> DataFr
     """Ranges of config files: ``file, line_no, etag, family, cidr``.
 
     A range line has exactly two tokens, the second starting with a digit; this loses IPv6 ranges
-    that start with a letter, unless ``letter_start`` accepts them. Lines whose range holds no valid
-    address are left out.
+    that start with a letter, unless ``letter_start`` accepts them. An address without a length is
+    kept as it is and stands for itself. Lines whose range holds no valid address are left out.
     """
     tokens = F.split("value", " ")
     second = F.get(tokens, F.lit(1))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,17 +35,33 @@ def start_record_stream(
     return _triggered(writer.option("checkpointLocation", checkpoint), interval).start()
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that ``checkpoint`` belongs to, kept beside its own files. A new checkpoint is a new run."""
+    path = f"{checkpoint}/run"
+    try:
+        return spark.read.text(path).first()["value"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    run = uuid.uuid4().hex
+    spark.createDataFrame([(run,)], "value string").coalesce(1).write.text(path)
+    return run
+
+
 def start_star_stream(
     records: DataFrame, path: str, checkpoint: str, interval: str | None = DEFAULT_INTERVAL
 ) -> StreamingQuery:
     """Keep the star tables up to date, one committed batch per trigger.
 
     No counts are held in stream state: each batch stores its own, and totals are their sum. The
-    checkpoint remembers which segments are done, so restarts neither skip nor repeat lines.
+    checkpoint remembers which segments are done, so restarts neither skip nor repeat lines. Batches are numbered within the
+    run of this checkpoint: several runs, and batches stored by other jobs, can share one folder, and a
+    batch that is replayed after its commit is skipped.
     """
+    run = run_of(records.sparkSession, checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        write_batch(with_sequence(batch), path, batch_id, order=("line_pos",))
+        write_batch(with_sequence(batch), path, batch_id, order="line_pos", run=run)
 
     writer = records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return _triggered(writer, interval).start()

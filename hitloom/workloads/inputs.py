@@ -70,9 +70,9 @@ LEGACY_ROW = {
 
 # A landed API response, from a row of orders; one source owns a third of them.
 SNAPSHOT = {
-    "source": """CASE WHEN o_orderkey % 3 = 0 THEN 'edge-main'
+    "source": """CASE WHEN o_orderkey % 53 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'edge-main'
         ELSE 'edge-' || (o_custkey % 40) END""",
-    "fetched_at": "{order_time}",
+    "fetched_at": "CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE {order_time} END",
     "body": """CASE WHEN o_orderkey % 47 = 0 THEN chr(123) || '"success":tr'
         ELSE chr(123) || '"success":' || CASE WHEN o_orderkey % 41 = 0 THEN 'false' ELSE 'true' END
         || ',"result":' || chr(123) || '"etag":"e' || substr(o_orderpriority, 1, 1)
@@ -90,6 +90,9 @@ CONFIG_LINE = {
     "line_no": "c_custkey",
     "value": """CASE WHEN c_custkey % 13 = 0 THEN ''
         WHEN c_custkey % 11 = 0 THEN '# Last etag: e' || c_nationkey
+        WHEN c_custkey % 14 = 0 THEN '# Last etag:x' || c_nationkey
+        WHEN c_custkey % 37 = 0 THEN 'set_real_ip_from 10.9.' || (c_custkey % 256) || '.1;'
+        WHEN c_custkey % 41 = 0 THEN 'set_real_ip_from 2400:cb' || (10 + c_nationkey) || '::1;'
         WHEN c_custkey % 17 = 0 THEN '# IPv4 ranges'
         WHEN c_custkey % 19 = 0 THEN 'real_ip_header X-Real-IP;'
         WHEN c_custkey % 23 = 0 THEN 'set_real_ip_from fc00::/7;'

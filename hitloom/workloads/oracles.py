@@ -62,80 +62,8 @@ def _counts(source: str, name: str = "counts") -> str:
         WHERE value <> '' GROUP BY dim, value)"""
 
 
-# The key hash (64-bit xxHash, seed 42, little-endian words) in plain SQL arithmetic. Texts are ASCII.
-
-# The five primes of the published algorithm, and the seed.
-PRIMES = (
-    11400714785074694791,
-    14029467366897019727,
-    1609587929392839161,
-    9650029242287828579,
-    2870177450012600261,
-)
-SEED = 42
-WRAP = 2**64
-
-
-def _big(x: object) -> str:
-    return f"CAST({x} AS UHUGEINT)"
-
-
-def _mul(x: object, y: object) -> str:
-    return f"({_big(x)} * {_big(y)} % {_big(WRAP)})"
-
-
-def _add(*terms: object) -> str:
-    return f"(({' + '.join(_big(t) for t in terms)}) % {_big(WRAP)})"
-
-
-def _rotate(x: object, n: int) -> str:
-    return f"({_mul(x, 2**n)} + {_big(x)} // {_big(2 ** (64 - n))})"
-
-
-def _xor(x: object, y: object) -> str:
-    return f"xor({_big(x)}, {_big(y)})"
-
-
-def _word(start: str, size: int) -> str:
-    letters = [f"{_big(f'unicode(value[{start} + {i}])')} * {_big(256**i)}" for i in range(size)]
-    return f"({' + '.join(letters)})"
-
-
-def _round(state: object, word: object) -> str:
-    p1, p2 = PRIMES[:2]
-    return _mul(_rotate(_add(state, _mul(word, p2)), 31), p1)
-
-
-def _keys(source: str) -> str:
-    """``keys(value, id)`` for the distinct ``value`` of ``source``. Needs WITH RECURSIVE."""
-    p1, p2, p3, p4, p5 = PRIMES
-    lanes = ("v1", "v2", "v3", "v4")
-    starts = ((SEED + p1 + p2) % WRAP, (SEED + p2) % WRAP, SEED, (SEED - p1) % WRAP)
-    first = ", ".join(f"{_big(x)} AS {lane}" for x, lane in zip(starts, lanes))
-    stripe = ", ".join(_round(lane, _word(f"pos + {8 * i}", 8)) for i, lane in enumerate(lanes))
-    merged = _add(_rotate("v1", 1), _rotate("v2", 7), _rotate("v3", 12), _rotate("v4", 18))
-    for lane in lanes:
-        merged = _add(_mul(_xor(merged, _round(0, lane)), p1), p4)
-    by_word = _add(_mul(_rotate(_xor("h", _round(0, _word("pos", 8))), 27), p1), p4)
-    by_four = _add(_mul(_rotate(_xor("h", _mul(_word("pos", 4), p1)), 23), p2), p3)
-    by_byte = _mul(_rotate(_xor("h", _mul(_word("pos", 1), p5)), 11), p1)
-    return f"""stripes AS (
-        SELECT value, 1 AS pos, {first} FROM (SELECT DISTINCT value FROM {source})
-        UNION ALL SELECT value, pos + 32, {stripe} FROM stripes WHERE pos + 31 <= length(value)),
-    words AS (
-        SELECT value, pos, {_add(f"CASE WHEN length(value) >= 32 THEN {merged} ELSE {_big(SEED + p5)} END", "length(value)")} AS h
-        FROM stripes WHERE pos + 31 > length(value)
-        UNION ALL SELECT value, pos + 8, {by_word} FROM words WHERE pos + 7 <= length(value)),
-    tails AS (
-        SELECT value, CASE WHEN pos + 3 <= length(value) THEN pos + 4 ELSE pos END AS pos,
-            CASE WHEN pos + 3 <= length(value) THEN {by_four} ELSE h END AS h
-        FROM words WHERE pos + 7 > length(value)
-        UNION ALL SELECT value, pos + 1, {by_byte} FROM tails WHERE pos <= length(value)),
-    mixed_1 AS (SELECT value, {_mul(_xor("h", f"h // {_big(2**33)}"), p2)} AS h FROM tails WHERE pos > length(value)),
-    mixed_2 AS (SELECT value, {_mul(_xor("h", f"h // {_big(2**29)}"), p3)} AS h FROM mixed_1),
-    mixed_3 AS (SELECT value, CAST({_xor("h", f"h // {_big(2**32)}")} AS HUGEINT) AS h FROM mixed_2),
-    keys AS (
-        SELECT value, CAST(CASE WHEN h >= {2**63} THEN h - {WRAP} ELSE h END AS BIGINT) AS id FROM mixed_3)"""
+# The keys: the first 128 bits of a hash, as text.
+_KEY = "left(sha256({}), 32)"
 
 
 def _with(*parts: str, select: str) -> str:
@@ -227,7 +155,7 @@ _SETS = f"""current_set AS (
         SELECT *, 32 AS family FROM ({inputs.duckdb_select(inputs.NEW_RANGE, 'supplier')}))"""
 
 # Membership by comparing numbers, not bits. IPv6 addresses of the log are told apart by their start.
-_ADDRESS = """CASE WHEN contains({ip}, ':') THEN NULL ELSE
+_ADDRESS = """CASE WHEN contains({ip}, ':') OR {ip} = '' THEN NULL ELSE
         CAST(split_part({ip}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({ip}, '.', 2) AS BIGINT) * 65536
         + CAST(split_part({ip}, '.', 3) AS BIGINT) * 256 + CAST(split_part({ip}, '.', 4) AS BIGINT) END"""
 _SHORT_LIST = f"""short_list AS (
@@ -239,7 +167,7 @@ _LONG_LIST = f"""long_list AS (
         FROM ({inputs.duckdb_select(inputs.SUPPLIER_RANGE, 'supplier')}))"""
 _GOOD = f"""good AS (
         SELECT line_no, remote_ip, bytes, {_ADDRESS.format(ip="remote_ip")} AS address
-        FROM kept WHERE non_default = '')"""
+        FROM parsed)"""
 
 
 def _labelled(listed: str, ipv6_start: str | None) -> str:
@@ -303,19 +231,12 @@ ORACLES: dict[str, str] = {
             ]
         ),
     ),
-    "star_dims": _with(
-        *COUNTED,
-        _keys("counts"),
-        select="SELECT dim, id, value, count FROM counts JOIN keys USING (value)",
-    ),
+    "star_dims": _with(*COUNTED, select=f"SELECT dim, {_KEY.format('value')} AS id, value, count FROM counts"),
     "star_fact": _with(
-        *COUNTED,
-        _keys("counts"),
+        *LOG,
         select="SELECT line_no, "
-        + ", ".join(f"{name}_key.id AS {name}_id" for name in FACT_FIELDS)
-        + " FROM kept "
-        + " ".join(f"LEFT JOIN keys AS {n}_key ON {n}_key.value = kept.{n}" for n in FACT_FIELDS)
-        + " WHERE non_default = ''",
+        + ", ".join(f"CASE WHEN {name} <> '' THEN {_KEY.format(name)} END AS {name}_id" for name in FACT_FIELDS)
+        + " FROM kept WHERE non_default = ''",
     ),
     "star_roundtrip": _with(
         *LOG,
@@ -340,7 +261,7 @@ ORACLES: dict[str, str] = {
         f"config AS ({inputs.duckdb_select(inputs.CONFIG_LINE, 'customer')})",
         """etags AS (
             SELECT file, first(substr(value, 14) ORDER BY line_no) AS etag
-            FROM config WHERE value LIKE '# Last etag:%' GROUP BY file)""",
+            FROM config WHERE starts_with(value, '# Last etag: ') GROUP BY file)""",
         select="""SELECT file, line_no, coalesce(etag, '') AS etag,
             CASE WHEN contains(value, ':') THEN 128 ELSE 32 END AS family,
             replace(split_part(value, ' ', 2), ';', '') AS cidr
@@ -370,12 +291,16 @@ ORACLES: dict[str, str] = {
     "cidr_diff": _with(
         _API,
         """steps AS (
-            SELECT source, fetched_at, lag(fetched_at) OVER (PARTITION BY source ORDER BY fetched_at) AS before
-            FROM valid),
+            SELECT source, fetched_at,
+                row_number() OVER (PARTITION BY source ORDER BY fetched_at NULLS FIRST) AS step
+            FROM (SELECT DISTINCT source, fetched_at FROM valid)),
         present AS (SELECT DISTINCT source, fetched_at, family, cidr FROM ranges),
+        numbered AS (
+            SELECT p.*, s.step FROM present p JOIN steps s
+            ON p.source IS NOT DISTINCT FROM s.source AND p.fetched_at IS NOT DISTINCT FROM s.fetched_at),
         earlier AS (
             SELECT s.source, s.fetched_at, p.family, p.cidr FROM steps s
-            JOIN present p ON p.source = s.source AND p.fetched_at = s.before)""",
+            JOIN numbered p ON p.source IS NOT DISTINCT FROM s.source AND p.step = s.step - 1)""",
         select="""SELECT *, 'added' AS change FROM (SELECT * FROM present EXCEPT SELECT * FROM earlier)
             UNION ALL
             SELECT *, 'removed' AS change FROM (SELECT * FROM earlier EXCEPT SELECT * FROM present)""",
@@ -383,7 +308,8 @@ ORACLES: dict[str, str] = {
     "etag_changes": _with(
         _API,
         """stepped AS (SELECT source, fetched_at, etag,
-            coalesce(lag(etag) OVER (PARTITION BY source ORDER BY fetched_at), '') AS previous_etag FROM valid)""",
+            coalesce(lag(etag) OVER (PARTITION BY source ORDER BY fetched_at NULLS FIRST, etag), '') AS previous_etag
+            FROM (SELECT DISTINCT source, fetched_at, etag FROM valid))""",
         select="SELECT * FROM stepped WHERE etag <> previous_etag",
     ),
     "trust_label": _with(*SHORT, select="SELECT line_no, remote_ip, bytes, trusted FROM labelled"),
@@ -408,5 +334,17 @@ ORACLES: dict[str, str] = {
     ),
     "stream_ingest": _with(*LOG, select=f"SELECT {FIELDS}, ts, status_int, bytes FROM kept"),
     "stream_counts": _DIM_COUNTS,
+    "stream_late_segments": _DIM_COUNTS,
+    "star_migrate_then_stream": _with(
+        *LOG,
+        *MIGRATED[1:],
+        _counts("kept", "log_counts"),
+        _counts("migrated", "old_counts"),
+        select="""SELECT dim, value, CAST(sum(count) AS BIGINT) AS count
+            FROM (SELECT * FROM log_counts UNION ALL SELECT * FROM old_counts) GROUP BY dim, value
+            UNION ALL SELECT 'fact', 'rows', (SELECT count(*) FROM kept WHERE non_default = '')
+                + (SELECT count(*) FROM migrated WHERE non_default = '')""",
+    ),
 }
-ORACLES["report_stored"] = ORACLES["report_ranked"]
+ORACLES["report_stored"] = ORACLES["report_compacted"] = ORACLES["report_ranked"]
+ORACLES["resume_stored"] = ORACLES["resume_after"]

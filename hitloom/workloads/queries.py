@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.functions.addresses import family, with_cidr_parts
+from hitloom.functions.lines import normalize_uri as stripped_uri
 from hitloom.operators import counts, range_changes, records, star, trust
-from hitloom.operators.resume import resume_after
-from hitloom.plans import migration, reports, star_tables
-from hitloom.schema import DIMENSIONS
+from hitloom.plans import jobs, migration, reports, star_tables
+from hitloom.schema import DIMENSIONS, FACT_FIELDS
 from hitloom.session import scratch_path
-from hitloom.sources import access_log, trusted_ranges
+from hitloom.sources import access_log, legacy, trusted_ranges
 from hitloom.streaming import ingest
 from hitloom.workloads import inputs
 
@@ -49,12 +49,16 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.without_assets(_parsed(spark, sf_dir))
 
 
-def _stored_star(spark: SparkSession, kept: DataFrame, order: tuple[str, ...] = ("line_no",)) -> str:
+def _stored_star(spark: SparkSession, kept: DataFrame) -> str:
     path = scratch_path(spark, "star")
-    star_tables.write_batch(kept, path, 0, order=order, cache=False)
+    star_tables.write_batch(kept, path)
     return path
 
 
+def _with_key_texts(df: DataFrame, *keys: str) -> DataFrame:
+    return df.withColumns({key: star.key_text(F.col(key)) for key in keys})
+
+
 # Sources, parsing, cleaning
 
 
@@ -88,11 +92,10 @@ def filter_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalize_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = records.parsed_only(_parsed(spark, sf_dir)).select("line_no", "request_uri")
-    trailing = _parsed(spark, sf_dir, trailing_only=True).select(
-        "line_no", F.col("request_uri").alias("trailing_only_uri")
-    )
-    return both.join(trailing, "line_no")
+    """Both ways to strip slashes, from one parse."""
+    parsed = records.parsed_only(_parsed(spark, sf_dir, raw_uri="_raw"))
+    trailing = F.coalesce(stripped_uri(F.col("_raw"), True), F.lit(""))
+    return parsed.select("line_no", "request_uri", trailing.alias("trailing_only_uri"))
 
 
 @query
@@ -155,27 +158,41 @@ def report_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def star_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.checked_dimensions(counts.count_values(_kept(spark, sf_dir)))
+    return _with_key_texts(star.checked_dimensions(counts.count_values(_kept(spark, sf_dir))), "id")
 
 
 @query
 def star_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.fact_rows(_kept(spark, sf_dir))
+    return _with_key_texts(star.fact_rows(_kept(spark, sf_dir)), *[f"{name}_id" for name in FACT_FIELDS])
+
+
+def _read_back(spark: SparkSession, path: str) -> DataFrame:
+    fact = star_tables.stored_fact(spark, path)
+    back = star.read_back(fact, star_tables.stored_dimensions(spark, path))
+    return back.select(F.col("position.seq").alias("line_no"), *FACT_FIELDS)
 
 
 @query
 def star_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored as star tables, read, and joined back to texts."""
-    path = _stored_star(spark, _kept(spark, sf_dir))
-    fact = star_tables.stored_fact(spark, path)
-    return star.read_back(fact, star_tables.stored_dimensions(spark, path))
+    return _read_back(spark, _stored_star(spark, _kept(spark, sf_dir)))
+
+
+@query
+def star_migrate_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older table and a streamed log in one star: totals of both, and the number of facts."""
+    path = scratch_path(spark, "star")
+    jobs.migrate_table(_legacy(spark, sf_dir), path)
+    incoming = ingest.stream_records(spark, f"{_landed(spark, sf_dir)}/*", max_files_per_trigger=_files_per_trigger(spark))
+    ingest.start_star_stream(incoming, path, f"{path}-checkpoint", interval=None).awaitTermination()
+    facts = star_tables.stored_fact(spark, path).agg(F.count(F.lit(1)).alias("count"))
+    facts = facts.select(F.lit("fact").alias("dim"), F.lit("rows").alias("value"), "count")
+    return star_tables.stored_totals(spark, path).unionByName(facts)
 
 
 @query
 def last_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _kept(spark, sf_dir)
-    dims = counts.count_values(kept, star.LAST_ROW_FIELDS)
-    return star.last_row(star.fact_rows(kept), star.with_keys(dims))
+    return jobs.stored_last_row(spark, _stored_star(spark, _kept(spark, sf_dir)))
 
 
 @query
@@ -183,14 +200,30 @@ def top_unsuccessful_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The failure report again, through stored star tables."""
     path = _stored_star(spark, _kept(spark, sf_dir))
     return reports.top_unsuccessful_stored(
-        star_tables.stored_fact(spark, path), star_tables.stored_dimensions(spark, path), TOP_N, AS_OF
+        star_tables.stored_fact(spark, path), star_tables.stored_counts(spark, path), TOP_N, AS_OF
     )
 
 
 @query
 def report_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five reports from stored star tables."""
-    path = _stored_star(spark, _kept(spark, sf_dir))
+    return _stored_reports(spark, _stored_star(spark, _kept(spark, sf_dir)))
+
+
+@query
+def report_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where older batches are compacted and later ones aren't."""
+    kept = _kept(spark, sf_dir)
+    path = scratch_path(spark, "star")
+    part = F.col("line_no") % 3
+    for batch in range(2):
+        star_tables.write_batch(kept.filter(part == batch), path, batch)
+    star_tables.compact_counts(spark, path)
+    star_tables.write_batch(kept.filter(part == 2), path, 2)
+    return _stored_reports(spark, path)
+
+
+def _stored_reports(spark: SparkSession, path: str) -> DataFrame:
     tables = [
         reports.stored_report(spark, path, name, TOP_N, AS_OF).select(F.lit(name).alias("report"), "*")
         for name in reports.REPORTS
@@ -198,28 +231,35 @@ def report_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def _resume_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def resume_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows up to a day are stored; the whole log is read again and only what follows is kept."""
     kept = _kept(spark, sf_dir)
-    stored = kept.filter(F.col("ts") < F.lit(SECOND_BATCH).cast("timestamp_ntz"))
-    dims = star.with_keys(counts.count_values(stored, star.LAST_ROW_FIELDS))
-    last = star.last_row(star.fact_rows(stored), dims)
-    return resume_after(kept, last).select("line_no", *star.LAST_ROW_FIELDS, "non_default")
+    path = _stored_star(spark, kept.filter(F.col("ts") < F.lit(SECOND_BATCH).cast("timestamp_ntz")))
+    rest = jobs.unstored_records(spark, kept, path, "line_no")
+    return rest.select("line_no", *star.LAST_ROW_FIELDS, "non_default")
 
 
-QUERIES["resume_after"] = _resume_after
+QUERIES["resume_after"] = resume_stored
 
 
 # Migration
 
 
+def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older table, through a dump of it."""
+    path = scratch_path(spark, "legacy")
+    inputs.legacy_rows(spark, sf_dir).write.parquet(path)
+    return legacy.read_legacy(spark, path, order="row_no")
+
+
 def _migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return migration.migrate(inputs.legacy_rows(spark, sf_dir))
+    return migration.migrate(_legacy(spark, sf_dir))
 
 
 @query
 def v1_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return migration.total_rows(inputs.legacy_rows(spark, sf_dir))
+    return migration.total_rows(_legacy(spark, sf_dir))
 
 
 @query
@@ -235,7 +275,8 @@ def v1_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def v1_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Migrated, stored as star tables, totals read back."""
-    path = _stored_star(spark, _migrated(spark, sf_dir), order=("row_no",))
+    path = scratch_path(spark, "star")
+    jobs.migrate_table(_legacy(spark, sf_dir), path)
     return star_tables.stored_totals(spark, path)
 
 
@@ -281,20 +322,20 @@ def cidr_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cidr_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every snapshot of a source against the one before."""
-    valid = _snapshots(spark, sf_dir)
-    return range_changes.snapshot_differences(valid, trusted_ranges.snapshot_ranges(valid))
+    return range_changes.snapshot_differences(_snapshots(spark, sf_dir), scratch_path(spark, "snapshots"))
 
 
 @query
 def etag_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_changes.etag_changes(_snapshots(spark, sf_dir))
+    return range_changes.etag_changes(_snapshots(spark, sf_dir), scratch_path(spark, "etags"))
 
 
 # Trust
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.parsed_only(_kept(spark, sf_dir)).select("line_no", "remote_ip", "bytes")
+    """All lines: assets and garbage are requests too."""
+    return _parsed(spark, sf_dir).select("line_no", "remote_ip", "bytes")
 
 
 @query
@@ -304,9 +345,9 @@ def trust_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def trust_label_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list treated as too long to inline: joined with the distinct addresses."""
+    """A list of any length: joined with the distinct addresses."""
     ranges = inputs.supplier_ranges(spark, sf_dir)
-    return trust.label_trusted(_requests(spark, sf_dir), ranges, inline_limit=0)
+    return trust.label_trusted(_requests(spark, sf_dir), ranges, folder=scratch_path(spark, "addresses"))
 
 
 @query
@@ -363,3 +404,18 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming = ingest.stream_records(spark, segments, max_files_per_trigger=_files_per_trigger(spark))
     ingest.start_star_stream(incoming, path, f"{path}-checkpoint", interval=None).awaitTermination()
     return star_tables.stored_totals(spark, path)
+
+
+@query
+def stream_late_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of which one is landed after a first run, with a time 30 days back; totals over both runs."""
+    segments, path = scratch_path(spark, "segments"), scratch_path(spark, "star")
+    lines = inputs.log_lines(spark, sf_dir)
+    late = F.col("line_no") % 5 == 0
+    for folder, part in (("now", ~late), ("late", late)):
+        access_log.land_lines(lines.filter(part), f"{segments}/{folder}")
+        if folder == "late":
+            access_log.set_segment_times(spark, f"{segments}/{folder}", days_back=30)
+        incoming = ingest.stream_records(spark, f"{segments}/*", max_files_per_trigger=_files_per_trigger(spark))
+        ingest.start_star_stream(incoming, path, f"{path}-checkpoint", interval=None).awaitTermination()
+    return star_tables.stored_totals(spark, path)

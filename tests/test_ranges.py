@@ -7,7 +7,14 @@ import pytest
 
 from hitloom.operators import range_changes, trust
 from hitloom.operators.neighbors import with_neighbor
-from hitloom.sources.trusted_ranges import config_etags, config_ranges, snapshot_ranges, valid_snapshots
+from hitloom.sources.trusted_ranges import (
+    config_etags,
+    config_ranges,
+    read_config,
+    read_responses,
+    snapshot_ranges,
+    valid_snapshots,
+)
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -33,17 +40,18 @@ def test_snapshots(spark):
 CONFIG = [
     "# ranges", "# Last etag:e0", "# Last etag: e1", "", "set_real_ip_from 10.0.0.0/14;", "set_real_ip_from 2400:cb00::/32;",
     "set_real_ip_from fc00::/7;", "real_ip_header X-Real-IP;", "set_real_ip_from  10.1.0.0/16;", "x 1bad/3;", "tail ",
+    "set_real_ip_from 1.2.3.4;", "set_real_ip_from 1.2.3.4/;",
 ]
 
 
 def test_config(spark):
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(CONFIG)], "file string, line_no bigint, value string")
-    assert [tuple(r) for r in config_etags(df).collect()] == [("f", "", len(CONFIG))]
-    assert [r["etag"] for r in config_etags(df.filter("line_no <> 1")).collect()] == ["e1"]
+    assert [tuple(r) for r in config_etags(df).collect()] == [("f", "e1", len(CONFIG))]
+    assert [r["etag"] for r in config_etags(df.filter("line_no <> 2")).collect()] == [None]
     assert [r["etag"] for r in config_etags(df.filter("line_no > 2")).collect()] == [None]
     assert {r["etag"] for r in config_ranges(df.filter("line_no > 2")).collect()} == {""}
     got = config_ranges(df).orderBy("line_no").collect()
-    assert [(r["family"], r["cidr"]) for r in got] == [(32, "10.0.0.0/14"), (128, "2400:cb00::/32")]
+    assert [(r["family"], r["cidr"]) for r in got] == [(32, "10.0.0.0/14"), (128, "2400:cb00::/32"), (32, "1.2.3.4")]
     wider = config_ranges(df, letter_start=True).filter("cidr = 'fc00::/7'")
     assert wider.count() == 1
 
@@ -59,12 +67,13 @@ def test_sets_changed_counts_repeats(spark):
 
 
 @pytest.mark.parametrize("following", [False, True])
-def test_neighbors_across_hours(spark, following):
+def test_neighbors_across_ranges(spark, tmp_path, following):
     rng = random.Random(3)
     rows = sorted({(rng.choice("aab"), T0 + datetime.timedelta(minutes=rng.randrange(3000))) for _ in range(300)})
+    rows = [(None, None), (None, T0), ("a", None), *rows]
     rows = [(k, t, f"v{i}") for i, (k, t) in enumerate(rows)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, v string")
-    got = {r["v"]: r["o"] for r in with_neighbor(df, "k", "t", "v", "o", following).collect()}
+    got = {r["v"]: r["o"] for r in with_neighbor(df, "k", "t", "v", "o", str(tmp_path / "n"), following).collect()}
     step = 1 if following else -1
     for i, (k, _, v) in enumerate(rows):
         j = i + step
@@ -72,31 +81,32 @@ def test_neighbors_across_hours(spark, following):
         assert got[v] == (near[2] if near else None)
 
 
-def test_snapshot_differences_and_etags(spark):
+def test_snapshot_differences_and_etags(spark, tmp_path):
     df = response(spark, body("e1", ["a/1", "b/2"], []), body("e1", ["a/1"], []), body("e2", [], []), body("e1", ["a/1"], ["c:/3"]))
     valid = valid_snapshots(df.union(df))
     got = {(r["fetched_at"].hour, r["cidr"], r["change"]) for r in
-           range_changes.snapshot_differences(valid, snapshot_ranges(valid)).collect()}
+           range_changes.snapshot_differences(valid, str(tmp_path / "s")).collect()}
     assert got == {
         (0, "a/1", "added"), (0, "b/2", "added"), (1, "b/2", "removed"), (2, "a/1", "removed"),
         (3, "a/1", "added"), (3, "c:/3", "added"),
     }
-    changes = range_changes.etag_changes(valid).orderBy("fetched_at").collect()
+    changes = range_changes.etag_changes(valid, str(tmp_path / "e")).orderBy("fetched_at").collect()
     assert [(r["fetched_at"].hour, r["etag"], r["previous_etag"]) for r in changes] == [
         (0, "e1", ""), (2, "e2", "e1"), (3, "e1", "e2"),
     ]
 
 
-RANGES = ["10.0.0.0/14", "10.1.0.0/16", "192.168.1.128/25", "2400:cb00::/32", "2001:db8::1/128", "bad/8", "1.2.3.4"]
+RANGES = ["10.0.0.0/14", "10.1.0.0/16", "192.168.1.128/25", "2400:cb00::/32", "2001:db8::1/128", "bad/8", "1.2.3.4", "5.6.7.8/"]
 
 
-@pytest.mark.parametrize("inline_limit", [trust.INLINE_LIMIT, 3, 0])
-def test_labels_agree_with_brute_force(spark, inline_limit):
+@pytest.mark.parametrize("join", [False, True])
+def test_labels_agree_with_brute_force(spark, tmp_path, join):
     rng = random.Random(5)
     ips = [f"10.{rng.randrange(8)}.{rng.randrange(256)}.1" for _ in range(200)] + ["10.1.1.1"] * 300
     ips += [f"192.168.1.{rng.randrange(256)}" for _ in range(100)]
-    ips += ["2400:cb00::9", "2400:cb01::9", "2001:DB8::1", "2001:db8::2", "junk", "", None]
-    nets = [ipaddress.ip_network(r, strict=False) for r in RANGES[:5]]
+    ips += ["2400:cb00::9", "2400:cb01::9", "2001:DB8::1", "2001:db8::2", "junk", "", None, "1.2.3.4", "1.2.3.5", "5.6.7.8"]
+    nets = [ipaddress.ip_network(r, strict=False) for r in (*RANGES[:5], RANGES[6])]
+    folders = iter([str(tmp_path / str(i)) if join else None for i in range(9)])
 
     def trusted(ip):
         try:
@@ -106,16 +116,16 @@ def test_labels_agree_with_brute_force(spark, inline_limit):
 
     rows = spark.createDataFrame([(i, ip, i % 7) for i, ip in enumerate(ips)], "n bigint, remote_ip string, bytes bigint")
     ranges = spark.createDataFrame([(r,) for r in RANGES], "cidr string")
-    got = {r["n"]: r["trusted"] for r in trust.label_trusted(rows, ranges, inline_limit=inline_limit).collect()}
+    got = {r["n"]: r["trusted"] for r in trust.label_trusted(rows, ranges, folder=next(folders)).collect()}
     wanted = {i: trusted(ip) for i, ip in enumerate(ips)}
     assert got == wanted
-    yes = trust.trusted_requests(rows, ranges, inline_limit=inline_limit).count()
-    no = trust.untrusted_requests(rows, ranges, inline_limit=inline_limit).count()
+    yes = trust.trusted_requests(rows, ranges, folder=next(folders)).count()
+    no = trust.untrusted_requests(rows, ranges, folder=next(folders)).count()
     assert (yes, no) == (sum(wanted.values()), len(ips) - sum(wanted.values()))
     blocked = {r["family"]: (r["requests"], r["bytes"]) for r in
-               trust.block_counters(rows.filter("remote_ip is not null"), ranges, inline_limit=inline_limit).collect()}
+               trust.block_counters(rows, ranges, join=join).collect()}
     for family, is_v6 in ((32, False), (128, True)):
-        mine = [i for i, ip in enumerate(ips) if ip is not None and not wanted[i] and (":" in ip) == is_v6]
+        mine = [i for i, ip in enumerate(ips) if not wanted[i] and (":" in (ip or "")) == is_v6]
         assert blocked[family] == (len(mine), sum(i % 7 for i in mine))
 
 
@@ -125,3 +135,25 @@ def test_restored_addresses(spark):
     ranges = spark.createDataFrame([("10.0.0.0/8",)], "cidr string")
     got = {r["n"]: r["remote_ip"] for r in trust.restore_addresses(df, ranges).collect()}
     assert got == {1: "9.9.9.9", 2: "10.0.0.1", 3: "10.0.0.1", 4: "11.0.0.1"}
+
+
+def test_a_list_too_long_to_inline_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(trust, "INLINE_LIMIT", 2)
+    ranges = spark.createDataFrame([(r,) for r in RANGES], "cidr string")
+    rows = spark.createDataFrame([("10.0.0.1",)], "remote_ip string")
+    with pytest.raises(ValueError, match="give a folder"):
+        trust.label_trusted(rows, ranges)
+
+
+def test_files_of_ranges(spark, tmp_path):
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf" / "a.conf").write_text("# Last etag: e7\nset_real_ip_from 10.0.0.0/14;\n\n# end\n")
+    lines = sorted((r["line_no"], r["value"]) for r in read_config(spark, str(tmp_path / "conf")).collect())
+    assert lines == [(1, "# Last etag: e7"), (2, "set_real_ip_from 10.0.0.0/14;"), (3, ""), (4, "# end")]
+    (got,) = config_ranges(read_config(spark, str(tmp_path / "conf"))).collect()
+    assert (got["etag"], got["cidr"], got["line_no"]) == ("e7", "10.0.0.0/14", 2)
+    landed = tmp_path / "api" / "source=edge" / "fetched_at=2024-01-01 00%3A00%3A00"
+    landed.mkdir(parents=True)
+    (landed / "r.json").write_text(body("e1\n"))
+    (got,) = valid_snapshots(read_responses(spark, str(tmp_path / "api"))).collect()
+    assert (got["source"], got["fetched_at"], got["ipv4_cidrs"]) == ("edge", T0, ["10.0.0.0/14"])

@@ -1,4 +1,5 @@
 import datetime
+import re
 from collections import Counter
 
 import pytest
@@ -8,8 +9,9 @@ from hitloom.operators import counts, star
 from hitloom.operators.lookups import skew_proof_lookup
 from hitloom.operators.records import parse_lines, without_assets
 from hitloom.operators.resume import resume_after
-from hitloom.plans import reports, star_tables
+from hitloom.plans import jobs, reports, star_tables
 from hitloom.schema import DIMENSIONS, FACT_FIELDS
+from hitloom.sources import access_log
 from hitloom.workloads import inputs
 
 SF = "/root/testdata/sf0.001"
@@ -46,10 +48,10 @@ def test_merge_of_parts_is_the_whole(kept):
 @pytest.mark.parametrize("small", [star.SMALL_DIMENSION, 0])
 def test_roundtrip(spark, kept, tmp_path, monkeypatch, small):
     monkeypatch.setattr(star, "SMALL_DIMENSION", small)
-    star_tables.write_batch(kept, str(tmp_path), 0)
+    star_tables.write_batch(kept, str(tmp_path))
     back = star.read_back(
         star_tables.stored_fact(spark, str(tmp_path)), star_tables.stored_dimensions(spark, str(tmp_path))
-    )
+    ).select("position.seq", *FACT_FIELDS)
     wanted = kept.filter("non_default = ''").select("line_no", *FACT_FIELDS)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, wanted.collect()))
 
@@ -57,31 +59,79 @@ def test_roundtrip(spark, kept, tmp_path, monkeypatch, small):
 def test_a_repeated_batch_changes_nothing_and_an_unfinished_one_is_not_seen(spark, kept, tmp_path):
     path = str(tmp_path)
     half = F.col("line_no") < 500
-    star_tables.write_batch(kept.filter(half), path, 0)
-    star_tables.write_batch(kept.filter(~half), path, 1)
-    star_tables.write_batch(kept.filter(~half), path, 1)
+    assert star_tables.write_batch(kept.filter(half), path, 0)
+    assert star_tables.write_batch(kept.filter(~half), path, 1)
+    assert not star_tables.write_batch(kept.filter(~half), path, 1)
     whole = as_counts(counts.count_values(kept))
     assert as_counts(star_tables.stored_totals(spark, path)) == whole
-    star.with_keys(counts.count_values(kept)).write.partitionBy("dim").parquet(f"{path}/counts/batch_id=2")
+    star.with_keys(counts.count_values(kept)).write.partitionBy("dim").parquet(f"{path}/counts/batch=unfinished")
     assert as_counts(star_tables.stored_totals(spark, path)) == whole
-    star_tables.compact_counts(spark, path, f"{path}-compact")
-    base = spark.read.parquet(f"{path}-compact")
-    assert as_counts(base) == whole
-    doubled = as_counts(star_tables.totals_with_base(base, star_tables.stored_totals(spark, path)))
-    assert doubled == {k: 2 * v for k, v in whole.items()}
+    assert star_tables.compact_counts(spark, path) == 2
+    read = star_tables.stored_counts(spark, path)
+    assert as_counts(read) == whole and all("base-" in name for name in read.inputFiles())
+    assert star_tables.write_batch(kept.filter(half), path, 0, run="again")
+    assert as_counts(star_tables.stored_totals(spark, path)) == as_counts(
+        counts.merge_counts(counts.count_values(kept), counts.count_values(kept.filter(half)))
+    )
 
 
-def test_colliding_keys_fail(kept, monkeypatch):
-    monkeypatch.setattr(star, "value_key", lambda value: F.length(value).cast("bigint"))
+def test_a_failed_replay_of_a_committed_batch_loses_nothing(spark, kept, tmp_path):
+    path = str(tmp_path)
+    star_tables.write_batch(kept, path, 0)
+    facts, totals = star_tables.stored_fact(spark, path).count(), as_counts(star_tables.stored_totals(spark, path))
+    broken = kept.withColumn("user_agent", F.raise_error(F.lit("lost")).cast("string"))
+    assert not star_tables.write_batch(broken, path, 0)
+    with pytest.raises(Exception, match="lost"):
+        star_tables.write_batch(broken, path, 1)
+    assert star_tables.stored_fact(spark, path).count() == facts
+    assert as_counts(star_tables.stored_totals(spark, path)) == totals
+    assert star_tables.write_batch(kept, path, 1)
+    assert star_tables.stored_fact(spark, path).count() == 2 * facts
+
+
+def test_an_empty_store(spark, tmp_path):
+    path = str(tmp_path / "none")
+    assert star_tables.stored_totals(spark, path).count() == star_tables.stored_fact(spark, path).count() == 0
+    assert star_tables.compact_counts(spark, path) == 0
+
+
+def test_colliding_keys_fail(spark, kept, tmp_path, monkeypatch):
+    monkeypatch.setattr(star, "value_key", lambda value: F.encode(F.length(value).cast("string"), "UTF-8"))
     with pytest.raises(Exception, match="two values share a key"):
         star.checked_dimensions(counts.count_values(kept)).collect()
+    star_tables.write_batch(kept, str(tmp_path))
+    with pytest.raises(Exception, match="two values share a key"):
+        star_tables.stored_dimensions(spark, str(tmp_path)).collect()
+
+
+def test_the_stored_failure_report_reads_its_days_and_does_not_move_the_fact(spark, kept, tmp_path):
+    star_tables.write_batch(kept, str(tmp_path))
+    report = reports.stored_report(spark, str(tmp_path), "top_unsuccessful", 3, "2024-02-10")
+    text = report._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*day#\d+ >= 2024-01-11", text)
+    assert not re.search(r"Exchange hashpartitioning\((http_method_id|day|commit)#", text)
+
+
+def test_log_jobs_store_what_is_new(spark, tmp_path):
+    path, log = str(tmp_path / "star"), str(tmp_path / "log")
+    lines = inputs.log_lines(spark, SF).coalesce(1).sortWithinPartitions("line_no")
+    jobs.migrate_table(inputs.legacy_rows(spark, SF), path)
+    old = star_tables.stored_fact(spark, path).count()
+    access_log.land_lines(lines.filter("line_no < 400"), f"{log}/a")
+    assert jobs.ingest_batch(spark, f"{log}/*", path, 0)
+    assert not jobs.ingest_batch(spark, f"{log}/*", path, 0)
+    access_log.land_lines(lines.filter("line_no >= 400"), f"{log}/b")
+    assert jobs.ingest_batch(spark, f"{log}/*", path, 1)
+    assert jobs.ingest_batch(spark, f"{log}/*", path, 2)
+    whole = without_assets(parse_lines(access_log.read_log_lines(spark, f"{log}/*")))
+    assert star_tables.stored_fact(spark, path).count() - old == whole.filter("non_default = ''").count()
 
 
 def test_both_ways_to_the_failure_report_agree(spark, kept, tmp_path):
     star_tables.write_batch(kept, str(tmp_path), 0)
     stored = reports.top_unsuccessful_stored(
         star_tables.stored_fact(spark, str(tmp_path)),
-        star_tables.stored_dimensions(spark, str(tmp_path)),
+        star_tables.stored_counts(spark, str(tmp_path)),
         1000,
         "2024-02-10",
     )
@@ -145,10 +195,10 @@ def test_lookup_with_hot_and_missing_keys(spark, monkeypatch, share):
 
 def test_last_row_and_resume(spark, kept):
     dims = star.with_keys(counts.count_values(kept, star.LAST_ROW_FIELDS))
-    (last,) = star.last_row(star.fact_rows(kept), dims).collect()
+    (last,) = star.last_row(star.fact_rows(kept), dims, ["line_no"]).collect()
     good = kept.filter("non_default = ''").orderBy(F.desc("line_no")).first()
     assert tuple(last) == tuple(good[f] for f in star.LAST_ROW_FIELDS)
-    nothing = star.last_row(star.fact_rows(kept.limit(0)), dims)
+    nothing = star.last_row(star.fact_rows(kept.limit(0)), dims, ["line_no"])
     assert nothing.collect() == []
     assert resume_after(kept, nothing).count() == kept.count()
 

@@ -2,7 +2,7 @@ from hitloom.operators.counts import count_values
 from hitloom.operators.records import parse_lines, without_assets
 from hitloom.operators.star import last_row
 from hitloom.plans import star_tables
-from hitloom.sources.access_log import land_lines, read_log_lines
+from hitloom.sources.access_log import land_lines, read_log_lines, set_segment_times
 from hitloom.streaming import ingest
 from hitloom.workloads import inputs
 
@@ -33,7 +33,42 @@ def test_stream_equals_batch_across_restarts(spark, tmp_path):
 
     fact = star_tables.stored_fact(spark, path)
     assert fact.count() == batch.filter("non_default = ''").count()
-    (last,) = last_row(fact, star_tables.stored_counts(spark, path), order=["batch_id", "line_pos"]).collect()
+    (last,) = last_row(fact, star_tables.stored_counts(spark, path)).collect()
     ordered = without_assets(parse_lines(lines.filter("value <> ''"))).filter("non_default = ''")
     good = ordered.orderBy("line_no", ascending=False).first()
     assert tuple(last) == (good["date"], good["remote_ip"], good["http_method"], good["request_uri"])
+
+
+def test_old_segments_and_other_checkpoints(spark, tmp_path):
+    segments, path = str(tmp_path / "segments"), str(tmp_path / "star")
+    lines = inputs.log_lines(spark, SF)
+    land_lines(lines.filter("line_no < 300"), f"{segments}/a")
+    run(spark, f"{segments}/*", path)
+    land_lines(lines.filter("line_no between 300 and 600"), f"{segments}/b")
+    set_segment_times(spark, f"{segments}/b", days_back=30)
+    run(spark, f"{segments}/*", path)
+    seen = without_assets(parse_lines(lines.filter("value <> '' and line_no <= 600")))
+    assert as_counts(star_tables.stored_totals(spark, path)) == as_counts(count_values(seen))
+
+    other = str(tmp_path / "other")
+    land_lines(lines.filter("line_no > 600"), f"{other}/c")
+    records = ingest.stream_records(spark, f"{other}/*")
+    ingest.start_star_stream(records, path, f"{path}-second", interval=None).awaitTermination()
+    whole = without_assets(parse_lines(lines.filter("value <> ''")))
+    assert as_counts(star_tables.stored_totals(spark, path)) == as_counts(count_values(whole))
+    assert len({c["run"] for c in star_tables.commits(spark, path)}) == 2
+
+
+def test_an_interval_stream_goes_on_until_it_is_stopped(spark, tmp_path):
+    segments, path = str(tmp_path / "segments"), str(tmp_path / "records")
+    land_lines(inputs.log_lines(spark, SF).filter("line_no < 200"), f"{segments}/a")
+    records = ingest.stream_records(spark, f"{segments}/*").select("date", "remote_ip")
+    query = ingest.start_record_stream(records, path, f"{path}-checkpoint", interval="1 second")
+    try:
+        query.processAllAvailable()
+        first = spark.read.parquet(path).count()
+        land_lines(inputs.log_lines(spark, SF).filter("line_no between 200 and 400"), f"{segments}/b")
+        query.processAllAvailable()
+        assert query.isActive and 0 < first < spark.read.parquet(path).count()
+    finally:
+        query.stop()
