@@ -9,19 +9,18 @@ longest common subsequence and shared ones deleted, as templates repeat and text
 from __future__ import annotations
 
 import html
-import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitloom.llm.columns import back, own
-from hitloom.llm.ordered import with_neighbors
 from hitloom.llm.urls import host_of, path_of
+from hitloom.operators.neighbors import with_neighbors
 
 # Elements that stand for a block of their own.
 BLOCKS = frozenset(
@@ -218,7 +217,7 @@ def _difference(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
         yield pa.array(texts, pa.string())
 
 
-def nearest_pages(spark: SparkSession, pages: DataFrame, folder: str, url_column: str, html_column: str) -> DataFrame:
+def nearest_pages(pages: DataFrame, folder: str, url_column: str, html_column: str) -> DataFrame:
     """For each different page (``_url``, ``_page``: hashes) the line keys of the page next to it.
 
     Pages are ordered by host and path; the nearer of the two beside a page is that which shares the longer start of
@@ -228,7 +227,7 @@ def nearest_pages(spark: SparkSession, pages: DataFrame, folder: str, url_column
     keyed = pages.select(
         F.xxhash64(url).alias("_url"), F.md5(source).alias("_page"), host_of(url).alias("_host"), path_of(url).alias("_path"), _line_keys(source).alias("_keys")
     ).dropDuplicates(["_url", "_page"])
-    near = with_neighbors(spark, keyed, ["_host", "_path", "_page", "_url"], ["_host", "_path", "_keys"], os.path.join(folder, "pages"))
+    near = with_neighbors(keyed, ["_host", "_path", "_page", "_url"], ["_host", "_path", "_keys"], f"{folder}/pages")
 
     def closeness(side: str):
         longest = F.least(F.char_length("_path"), F.char_length(f"{side}._path"))
@@ -245,7 +244,7 @@ def nearest_pages(spark: SparkSession, pages: DataFrame, folder: str, url_column
 
 
 def extract(
-    spark: SparkSession, pages: DataFrame, folder: str, url_column: str = "url", html_column: str = "html",
+    pages: DataFrame, folder: str, url_column: str = "url", html_column: str = "html",
 ) -> DataFrame:
     """Append ``text``, the main text of each page: its blocks in order, joined by line feeds.
 
@@ -260,7 +259,7 @@ def extract(
     open_pages = parsed.filter(F.size("_parsed.lines") > 0)
     settled = parsed.filter(F.coalesce(F.size("_parsed.lines"), F.lit(0)) <= 0)
     names = back(pages, ("text",))
-    near = nearest_pages(spark, pages, folder, url_column, html_column)
+    near = nearest_pages(pages, folder, url_column, html_column)
     compared = open_pages.join(near, ["_url", "_page"], "left")
     return settled.select(*names, F.coalesce("_parsed.text", F.lit("")).alias("text")).unionByName(
         compared.select(*names, _difference("_parsed.lines", "_other").alias("text"))

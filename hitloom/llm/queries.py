@@ -88,7 +88,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html.extract(spark, _read(spark, sf_dir, "pages"), scratch_path(spark, "html"))
+    pages = html.extract(_read(spark, sf_dir, "pages"), scratch_path(spark, "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

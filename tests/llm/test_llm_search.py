@@ -159,7 +159,7 @@ def test_pages_without_an_article_lose_shared_lines(spark, tmp_path):
     rows += [(50, "http://h.org/a/5", PAGE.format("y")), (60, None, None), (61, "http://other.org/", "<p>Alone</p>"), (62, "bad", ""), (3, "http://h.org/a/3", plain.format(3))]
     pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, _url int, host int")
     got = {}
-    for r in html.extract(spark, pages.repartition(3), str(tmp_path / "h")).collect():
+    for r in html.extract(pages.repartition(3), str(tmp_path / "h")).collect():
         got.setdefault(r["page_id"], []).append(r["text"])
     assert sum(map(len, got.values())) == len(rows)
     assert all(got[i][0] == f"Own text {i}\nMore {i}" for i in range(40) if i not in (5, 49, 50, 51))
@@ -168,7 +168,7 @@ def test_pages_without_an_article_lose_shared_lines(spark, tmp_path):
 
 
 def test_no_pages(spark, tmp_path):
-    assert html.extract(spark, spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e")).count() == 0
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e")).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(20))
