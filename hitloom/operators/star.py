@@ -62,20 +62,23 @@ def fact_rows(records: DataFrame, order: Sequence[str] = ("line_no",)) -> DataFr
     return parsed_only(records).select(*order, *keys)
 
 
-def read_back(fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+def read_back(
+    fact: DataFrame, dimensions: DataFrame, order: Sequence[str] = ROW_ORDER, small: int | None = None
+) -> DataFrame:
     """Fact rows with their values again. Give a stored ``dimensions``: it is read per field.
 
-    The sizes of the eleven dimensions are checked first. Small ones are broadcast; the others go
-    through the lookup that splits off hot keys.
+    The sizes of the eleven dimensions are checked first. Those of at most ``small`` bytes, by default
+    ``SMALL_DIMENSION``, are broadcast; the others go through the lookup that splits off hot keys.
     """
+    small = SMALL_DIMENSION if small is None else small
     value_bytes = F.octet_length("value") + KEY_BYTES
     sizes = dict(dimensions.groupBy("dim").agg(F.sum(value_bytes)).collect())
     rows = fact
     for name in FACT_FIELDS:
         lookup = dimensions.filter(F.col("dim") == name).select("id", "value", "count")
-        if sizes.get(name, 0) <= SMALL_DIMENSION:
-            small = lookup.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(name))
-            rows = rows.join(F.broadcast(small), f"{name}_id", "left")
+        if sizes.get(name, 0) <= small:
+            values = lookup.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(name))
+            rows = rows.join(F.broadcast(values), f"{name}_id", "left")
         else:
             spread = [*order, f"{name}_id"]
             rows = skew_proof_lookup(rows, f"{name}_id", lookup, "id", "value", "count", name, spread)

@@ -18,7 +18,7 @@ BACKSLASH = "chr(92)"
 REQUEST = {
     "line_no": "event_id",
     "ip": """CASE WHEN user_id % 10 < 8
-        THEN '10.' || (user_id % 4) || '.' || (user_id * 7 % 256) || '.' || (user_id % 256)
+        THEN '10.' || (user_id % 4) || '.' || (user_id * 7 % 256) || '.' || (user_id % 251)
         WHEN user_id % 10 = 8 THEN '2400:cb00::' || (user_id % 10000)
         ELSE '2001:db8::' || (user_id % 10000) || ':1' END""",
     "stamp": "{log_date}",
@@ -26,7 +26,8 @@ REQUEST = {
     "method": "CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END",
     "uri": """CASE event_id % 20 WHEN 0 THEN '/' WHEN 1 THEN '/app.js' WHEN 2 THEN '/style.css'
         WHEN 3 THEN '/font.woff2' WHEN 4 THEN '/sitemap.xml' WHEN 5 THEN '/blog/'
-        WHEN 6 THEN '/blog' WHEN 7 THEN '/a/b/' ELSE '/item/' || (event_id % 37) END""",
+        WHEN 6 THEN '/blog' WHEN 7 THEN '/a/b/' WHEN 8 THEN '/one/' || event_id
+        ELSE '/item/' || (event_id % 37) END""",
     "status": """CASE WHEN event_type = 'error'
         THEN CASE event_id % 3 WHEN 0 THEN '404' WHEN 1 THEN '500' ELSE '403' END
         WHEN event_id % 2 = 0 THEN '200' ELSE '301' END""",
@@ -34,7 +35,7 @@ REQUEST = {
     "ref": """CASE event_id % 5 WHEN 0 THEN '-' WHEN 1 THEN 'https://example.org/'
         WHEN 2 THEN 'https://self.example/x' WHEN 3 THEN 'https://search.example/q'
         ELSE 'https://example.org' END""",
-    "agent": "'Agent/' || (user_id % 7)",
+    "agent": "'Agent/' || CASE WHEN user_id % 3 = 0 THEN user_id ELSE user_id % 7 END",
     "user_id": "user_id",
 }
 
@@ -104,13 +105,13 @@ CONFIG_LINE = {
 # A long list of ranges, from a row of supplier, with repeats.
 SUPPLIER_RANGE = {
     "source": "CASE WHEN s_suppkey % 3 = 0 THEN 'edge-main' ELSE 'edge-' || s_nationkey END",
-    "cidr": "'10.' || (s_suppkey % 4) || '.' || (s_suppkey * 7 % 256) || '.0/24'",
+    "cidr": "'10.' || (s_suppkey % 4) || '.' || (s_suppkey * 7 % 251) || '.0/24'",
 }
 
 # The list that replaces it: sources of even nations get narrower ranges, the others stay.
 NEW_RANGE = {
     "source": SUPPLIER_RANGE["source"],
-    "cidr": """'10.' || (s_suppkey % 4) || '.' || (s_suppkey * 7 % 256)
+    "cidr": """'10.' || (s_suppkey % 4) || '.' || (s_suppkey * 7 % 251)
         || CASE WHEN s_nationkey % 2 = 0 THEN '.0/25' ELSE '.0/24' END""",
 }
 

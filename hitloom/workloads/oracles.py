@@ -347,4 +347,5 @@ ORACLES: dict[str, str] = {
     ),
 }
 ORACLES["report_stored"] = ORACLES["report_compacted"] = ORACLES["report_ranked"]
+ORACLES["star_roundtrip_shuffled"] = ORACLES["star_roundtrip"]
 ORACLES["resume_stored"] = ORACLES["resume_after"]

@@ -166,9 +166,9 @@ def star_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_key_texts(star.fact_rows(_kept(spark, sf_dir)), *[f"{name}_id" for name in FACT_FIELDS])
 
 
-def _read_back(spark: SparkSession, path: str) -> DataFrame:
+def _read_back(spark: SparkSession, path: str, small: int | None = None) -> DataFrame:
     fact = star_tables.stored_fact(spark, path)
-    back = star.read_back(fact, star_tables.stored_dimensions(spark, path))
+    back = star.read_back(fact, star_tables.stored_dimensions(spark, path), small=small)
     return back.select(F.col("position.seq").alias("line_no"), *FACT_FIELDS)
 
 
@@ -178,6 +178,12 @@ def star_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(spark, _stored_star(spark, _kept(spark, sf_dir)))
 
 
+@query
+def star_roundtrip_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every dimension too large to broadcast."""
+    return _read_back(spark, _stored_star(spark, _kept(spark, sf_dir)), small=0)
+
+
 @query
 def star_migrate_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An older table and a streamed log in one star: totals of both, and the number of facts."""
