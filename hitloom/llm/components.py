@@ -24,6 +24,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.select("a", F.col("_least").alias("b"))).distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Has each node one link at most, to one that has none itself?"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     """``id`` and ``component``, the smallest id reachable, for all ids in ``links`` (``a``, ``b``) but the smallest ones.
 
@@ -33,11 +42,9 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
     """
     ends = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     links.filter("a <> b").select(*ends).distinct().write.parquet(f"{folder}/0")
-    edges, before, step = spark.read.parquet(f"{folder}/0"), None, 0
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not now[0] or now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before, step = now, step + 1
+    edges, step = spark.read.parquet(f"{folder}/0"), 0
+    while not _is_settled(edges):
+        step += 1
         _small_star(_large_star(edges)).write.parquet(f"{folder}/{step}")
         edges = spark.read.parquet(f"{folder}/{step}")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -2,10 +2,11 @@
 
 Each register holds the minimum of one hash of a document's shingles as a count of leading zeros and some
 mantissa bits. Documents whose sets are equal form a class, and one document of each goes on. Bands of registers
-file the classes into buckets. In a bucket all members are paired with one centre, so pairs grow with the
-bucket and not with its square; pairs pass an estimate that allows for chance collisions of registers and then
-a comparison of full sets. A bucket whose other members are not in one component by then goes on, with four
-times as many centres, until none is left: no pair that shares a bucket is given up.
+file the classes into buckets. First, all members of a bucket are paired with one of them, another in each
+band, so pairs grow with the bucket and not with its square; pairs pass an estimate that allows for chance collisions of
+registers and then a comparison of full sets. That ties most groups together. Buckets in which more than one component still
+meets are then compared member by member, on registers, inside tasks that hold a block of a bucket at a time;
+only pairs that pass the estimate come out. So no pair that shares a bucket is given up.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,9 @@ BANDS = 32
 REGISTERS = BAND_ROWS * BANDS
 MANTISSA = 10
 
+# Members of a bucket that are compared with each other in one task at a time.
+BLOCK = 2000
+
 # Estimates may fall short of the threshold by so many standard errors before a pair is given up.
 SLACK = 5
 
@@ -153,23 +157,74 @@ def _shared(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(found, pa.int64())
 
 
+def _block_pairs(least: float, percent: int):
+    """For rows sorted by bucket and pair of blocks: the pairs of members that may be near enough and have different labels."""
+
+    def pairs_of(ids, labels, sizes, codes, blocks, same: bool) -> list[tuple]:
+        found = []
+        for k in range(len(ids)):
+            if same:
+                others = np.arange(k + 1, len(ids))
+            else:
+                others = np.flatnonzero(blocks > blocks[k])
+            others = others[labels[others] != labels[k]]
+            small, large = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
+            others = others[100 * small >= percent * large]
+            if len(others):
+                n = np.full(len(others), float(sizes[k]))
+                near = estimate(codes[others], codes[k][None, :], n, sizes[others].astype(float)) >= least
+                found += [(min(ids[k], ids[o]), max(ids[k], ids[o]), k, o) for o in others[near]]
+        return [(a, b, *((sizes[k], sizes[o]) if ids[k] == a else (sizes[o], sizes[k]))) for a, b, k, o in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            codes = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+            keys = np.stack(columns[:3])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            result = []
+            for start, end in zip(edges[:-1], edges[1:]):
+                part = ([c[start:end] for c in columns], codes[start:end])
+                if held and (held[0][0][0][0], held[0][0][1][0], held[0][0][2][0]) != tuple(keys[:, start]):
+                    result += whole(held)
+                    held = []
+                held.append(part)
+            yield rows(result)
+        yield rows(whole(held) if held else [])
+
+    def whole(held: list) -> list[tuple]:
+        band, first, second, ids, labels, sizes, blocks = [np.concatenate([part[0][i] for part in held]) for i in range(7)]
+        return pairs_of(ids, labels, sizes, np.concatenate([part[1] for part in held]), blocks, first[0] == second[0])
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in range(4)], names=["a", "b", "n_a", "n_b"])
+
+    return run
+
+
 class _Search:
     """The tables of one search, under one folder."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, folder: str, size: int, percent: int):
         self.spark, self.docs, self.folder, self.size, self.percent = spark, docs, folder, size, percent
+        share = percent / 100
+        self.least = share - SLACK * (share * (1 - share) / REGISTERS) ** 0.5
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
-    def passing(self, pairs: DataFrame, classes: DataFrame, step: int) -> DataFrame:
-        """Of pairs (``a``, ``b``) of classes those whose full sets are near enough."""
-        share = self.percent / 100
-        least = share - SLACK * (share * (1 - share) / REGISTERS) ** 0.5
+    def likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Of pairs (``a``, ``b``) of classes those whose registers are near enough."""
         side = {s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}")) for s in "ab"}
-        likely = pairs.join(side["b"], "b").join(side["a"], "a").withColumn("_estimate", _estimates("r_a", "r_b", "n_a", "n_b"))
-        likely = self.stored(likely.filter(F.col("_estimate") >= least).select("a", "b", "n_a", "n_b"), f"likely{step}")
+        both = pairs.join(side["b"], "b").join(side["a"], "a").withColumn("_estimate", _estimates("r_a", "r_b", "n_a", "n_b"))
+        return both.filter(F.col("_estimate") >= self.least).select("a", "b", "n_a", "n_b")
+
+    def verified(self, likely: DataFrame, classes: DataFrame, step: int) -> DataFrame:
+        """Of likely pairs those whose full sets are near enough."""
         wanted = likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))).distinct()
         wanted = wanted.join(classes.select(F.col("id").alias("_id"), F.col("key").alias("_key")), "_id")
         texts = self.docs.join(wanted, F.col("id") == F.col("_id")).withColumn("_set", _setter(self.size)("text"))
@@ -178,7 +233,8 @@ class _Search:
         other = {s: texts.select(F.col("id").alias(s), F.col("shingles").alias(f"s_{s}")) for s in "ab"}
         compared = likely.join(other["b"], "b").join(other["a"], "a").withColumn("_shared", _shared("s_a", "s_b"))
         union = F.col("n_a") + F.col("n_b") - F.col("_shared")
-        return compared.filter(100 * F.col("_shared") >= self.percent * union).select("a", "b")
+        near = compared.filter(100 * F.col("_shared") >= self.percent * union).select("a", "b")
+        return self.stored(near, f"links{step}")
 
     def run(self) -> DataFrame:
         signed = self.docs.select("id", _signer(self.size)("text").alias("_s")).select("id", "_s.n", "_s.key", "_s.registers")
@@ -191,42 +247,43 @@ class _Search:
         bands = classes.filter((100 - self.percent) * F.col("n") >= self.percent).select(
             "id", F.explode(_band_keys("registers")).alias("band")
         )
-        buckets = bands.groupBy("band").agg(F.min("id").alias("_centre"), F.count("*").alias("_members"))
-        answers = buckets.withColumn("_answer", F.when(F.col("_members") > 1, F.struct("_centre", "_members")))
+        # The smallest id after some of its bits are turned over, as the band's key says: another member in each band.
+        turned = F.col("id").bitwiseXOR(F.col("band"))
+        buckets = bands.groupBy("band").agg(F.min(turned).alias("_turned"), F.count("*").alias("_members"))
+        answers = buckets.withColumn("_answer", F.when(F.col("_members") > 1, F.struct("_turned", "_members")))
         members = skew_proof_lookup(bands, "band", answers, "band", "_answer", "_members", "bucket", ["id"])
-        members = members.filter("bucket is not null and id <> bucket._centre")
-        members = self.stored(
-            members.select("band", "id", F.col("bucket._centre").alias("centre"), F.col("bucket._members").alias("members")), "members0"
+        members = members.filter("bucket is not null").select(
+            "band", "id", F.col("bucket._turned").bitwiseXOR(F.col("band")).alias("centre"), F.col("bucket._members").alias("members")
         )
-        pairs = members.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        links = self.stored(self.passing(pairs, classes, 0), "links0")
+        members = self.stored(members.filter("id <> centre"), "members")
+        pairs = members.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+        links = self.verified(self.stored(self.likely(pairs, classes), "likely0"), classes, 0)
         labels = components(self.spark, links, f"{self.folder}/components0")
-        rest = members.filter("members > 2").select("band", "id")
-        step, centres = 0, 1
-        while True:
-            rest = self._unsettled(rest, labels)
-            step, centres = step + 1, 4 * centres
-            rest = self.stored(rest, f"members{step}")
-            if rest.isEmpty():
-                break
-            ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy("band").orderBy("id")))
-            middle = ranked.filter(F.col("_rank") <= centres).select("band", F.col("id").alias("a"), F.col("label").alias("_label"))
-            middle = self.stored(middle, f"centres{step}")
-            pairs = rest.join(middle, "band").filter("a < id and label <> _label").select("a", F.col("id").alias("b")).distinct()
-            more = self.stored(self.passing(pairs, classes, step), f"links{step}")
-            rest = rest.join(middle.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti").select("band", "id")
+        rest = self.stored(self._meeting(members.filter("members > 2").select("band", "id"), labels, classes), "likely1")
+        if not rest.isEmpty():
+            more = self.verified(rest, classes, 1)
             if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(self.spark, links, f"{self.folder}/components{step}")
+                labels = components(self.spark, links.unionByName(more), f"{self.folder}/components1")
         named = classes.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "copies")
         light = signed.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("key")).alias("key"))
         return skew_proof_lookup(light, "key", named, "key", "component", "copies", "component", ["id"])
 
-    def _unsettled(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of buckets that more than one component meets in, with their labels."""
+    def _meeting(self, members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+        """Likely pairs of different components inside buckets that more than one of them meets in."""
         labelled = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("_least"), F.max("label").alias("_most"))
-        return labelled.join(mixed.filter("_least <> _most").select("band"), "band")
+        labelled = self.stored(labelled, "labelled")
+        met = labelled.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_members"))
+        met = met.withColumn("_answer", F.when(F.col("_low") != F.col("_high"), F.ceil(F.col("_members") / BLOCK)))
+        open_ones = skew_proof_lookup(labelled, "band", met, "band", "_answer", "_members", "blocks", ["id"])
+        open_ones = open_ones.filter("blocks is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        dealt = open_ones.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+            "band", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "id", "label", "block"
+        )
+        whole = dealt.join(classes.select("id", "n", "registers"), "id")
+        keys = ["band", "first", "second"]
+        ordered = whole.select(*keys, "id", "label", "n", "block", "registers").repartition(*keys).sortWithinPartitions(*keys)
+        found = ordered.mapInArrow(_block_pairs(self.least, self.percent), "a long, b long, n_a long, n_b long")
+        return found.distinct()
 
 
 def find(
@@ -237,11 +294,11 @@ def find(
 
     Documents are linked if their sets of shingles of ``size`` words share at least ``percent`` of their union; a document with fewer
     words has all of them as one shingle. ``component_id`` is the smallest id reachable, and ``kept`` marks that document. A null
-    or empty text has no shingles and no links. Rows with one id count as one document for links; a row without
+    or empty text has no shingles and no links. Ids are integers. Rows with one id count as one document for links; a row without
     an id is linked with nothing, its component is null and it is kept. Repeated rows are copies of each other. Other columns are left
     out, and an empty table gives no rows. ``folder``, shared by all executors, takes the tables of the search.
     """
-    named = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+    named = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     found = _Search(spark, named, folder, size, percent).run()
     component = F.coalesce("component", "id")
     return found.select(

@@ -69,15 +69,21 @@ def test_repeated_rows_null_ids_and_no_rows(spark, tmp_path):
     assert neardup.find(spark, spark.createDataFrame([], schema), str(tmp_path / "e")).count() == 0
 
 
-def test_buckets_go_on_until_they_are_settled(spark, tmp_path, monkeypatch):
-    """One register per band files nearly everything together; centres alone would lose links."""
-    monkeypatch.setattr(neardup, "SLACK", 100)
+@pytest.mark.parametrize("block", [2000, 7])
+def test_members_of_a_bucket_meet_each_other(spark, tmp_path, monkeypatch, block):
+    """With one bucket for all and nothing found through centres, every link comes from the second step."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = near_rows()[:40] + near_rows()[60:120]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    search = neardup._Search(spark, docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), str(tmp_path / "b"), 2, 80)
-    got = {r["id"]: r["component"] for r in search.run().collect()}
-    wanted = brute_components(rows, 2, 80)
-    assert {i: c if c is not None else i for i, c in got.items()} == {i: c for i, (_, c) in wanted.items()}
+    docs = spark.createDataFrame([(i, t or "") for i, t in rows], "id long, text string")
+    search = neardup._Search(spark, docs, str(tmp_path / "b"), 2, 80)
+    signed = docs.select("id", neardup._signer(2)("text").alias("_s")).select("id", "_s.n", "_s.key", "_s.registers")
+    classes = search.stored(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "c")
+    members = classes.select(F.lit(5).cast("long").alias("band"), "id")
+    likely = search.stored(search._meeting(members, spark.createDataFrame([], "id long, component long"), classes), "l")
+    links = search.verified(likely, classes, 0)
+    got = {r["id"]: r["component"] for r in components.components(spark, links, str(tmp_path / "k")).collect()}
+    wanted = brute_components([(r["id"], t) for r in classes.collect() for i, t in rows if i == r["id"]], 2, 80)
+    assert {i: got.get(i, i) for i in wanted} == {i: c for i, (_, c) in wanted.items()}
 
 
 def test_estimates_are_near_the_truth():
