@@ -40,7 +40,7 @@ def test_counting_shuffles_once_and_splits_each_line_once(spark):
 
 def test_uri_forms_come_from_one_parse(spark):
     text = plan(contract.queries()["normalize_uri"](spark, SF))
-    assert "Join" not in text and len(re.findall(r"split\\(coalesce", text)) == 1
+    assert "Join" not in text and len(re.findall(r"split\(coalesce", text)) == 1
 
 
 def test_snapshot_differences_group_once_and_move_each_range_once(spark):
