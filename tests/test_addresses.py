@@ -37,5 +37,6 @@ def test_cidr_parts(spark):
     assert got["10.0.0.0/14"] == ("10.0.0.0", 14, 32, "00001010000000")
     assert got["2400:cb00::/32"] == ("2400:cb00::", 32, 128, "00100100000000001100101100000000")
     assert got["0.0.0.0/0"][3] == got["::/0"][3] == ""
-    for bad in ("1.2.3.4/33", "1.2.3.4", "x/8", "1.2.3.4/a"):
+    assert len(got["1.2.3.4"][3]) == 32
+    for bad in ("1.2.3.4/33", "x/8", "1.2.3.4/a"):
         assert got[bad][3] is None
