@@ -5,8 +5,9 @@ mantissa bits. Documents whose sets are equal form a class, and one document of
 file the classes into buckets. First, all members of a bucket are paired with one of them, another in each
 band, so pairs grow with the bucket and not with its square; pairs pass an estimate that allows for chance collisions of
 registers and then a comparison of full sets. That ties most groups together. Buckets in which more than one component still
-meets are then compared member by member, on registers, inside tasks that hold a block of a bucket at a time;
-only pairs that pass the estimate come out. So no pair that shares a bucket is given up.
+meets are then compared member by member, inside tasks that hold a block of a bucket at a time: on registers,
+and, where both sets are small, on 32 bits of each shingle, which can only overstate what they share. Only pairs that
+pass come out, and full sets are compared again. So no pair that shares a bucket is given up.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ BANDS = 32
 REGISTERS = BAND_ROWS * BANDS
 MANTISSA = 10
 
+# Sets of at most so many shingles are also kept as the low 32 bits of each. Texts that are mostly one shared passage have
+# such sets, and come close to the threshold in great number.
+SMALL_SET = 256
+
 # Members of a bucket that are compared with each other in one task at a time.
 BLOCK = 2000
 
@@ -76,6 +81,21 @@ def set_keys(sets: Words) -> list[str]:
     return [f"{a:016x}{b:016x}" for a, b in keys.tolist()]
 
 
+def low_sets(sets: Words) -> list[bytes]:
+    """The sorted low bits of each small set; nothing of a large one."""
+    low = (sets.hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+    bounds = sets.bounds.tolist()
+    return [np.sort(low[a:b]).tobytes() if b - a <= SMALL_SET else b"" for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def shared_low(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """At most so many shingles of a small set are in each of the others."""
+    sizes = np.array([len(o) for o in others])
+    values = np.concatenate(others)
+    places = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    return np.add.reduceat(one[places] == values, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
 def _structs(columns: list, schema: T.StructType) -> pa.Array:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -83,7 +103,14 @@ def _structs(columns: list, schema: T.StructType) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], names=arrow.names)
 
 
-_SIGNED = T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.StringType()), T.StructField("registers", T.BinaryType())])
+_SIGNED = T.StructType(
+    [
+        T.StructField("n", T.LongType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("registers", T.BinaryType()),
+        T.StructField("low", T.BinaryType()),
+    ]
+)
 _SET = T.StructType([T.StructField("key", T.StringType()), T.StructField("shingles", T.BinaryType())])
 
 
@@ -91,9 +118,10 @@ def _signer(size: int):
     @F.arrow_udf(_SIGNED)
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            columns: list[list] = [[], [], []]
+            columns: list[list] = [[], [], [], []]
             for part in slices(column):
                 sets = shingle_sets(part, size)
+                columns[3] += low_sets(sets)
                 columns[0] += np.diff(sets.bounds).tolist()
                 columns[1] += set_keys(sets)
                 columns[2] += [row.tobytes() for row in registers(sets)]
@@ -160,7 +188,7 @@ def _shared(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 def _block_pairs(least: float, percent: int):
     """For rows sorted by bucket and pair of blocks: the pairs of members that may be near enough and have different labels."""
 
-    def pairs_of(ids, labels, sizes, codes, blocks, same: bool) -> list[tuple]:
+    def pairs_of(ids, labels, sizes, codes, low, blocks, same: bool) -> list[tuple]:
         found = []
         for k in range(len(ids)):
             if same:
@@ -173,7 +201,14 @@ def _block_pairs(least: float, percent: int):
             if len(others):
                 n = np.full(len(others), float(sizes[k]))
                 near = estimate(codes[others], codes[k][None, :], n, sizes[others].astype(float)) >= least
-                found += [(min(ids[k], ids[o]), max(ids[k], ids[o]), k, o) for o in others[near]]
+                others = others[near]
+                known = np.array([len(low[o]) > 0 for o in others], dtype=bool) & (len(low[k]) > 0)
+                if known.any():
+                    shared = shared_low(low[k], [low[o] for o in others[known]])
+                    enough = np.ones(len(others), dtype=bool)
+                    enough[known] = 100 * shared >= percent * (sizes[others[known]] + sizes[k] - shared)
+                    others = others[enough]
+                found += [(min(ids[k], ids[o]), max(ids[k], ids[o]), k, o) for o in others]
         return [(a, b, *((sizes[k], sizes[o]) if ids[k] == a else (sizes[o], sizes[k]))) for a, b, k, o in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +218,12 @@ def _block_pairs(least: float, percent: int):
                 continue
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             codes = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+            low = [np.frombuffer(x, dtype="<u4") for x in batch.column(8).to_pylist()]
             keys = np.stack(columns[:3])
             edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
             result = []
             for start, end in zip(edges[:-1], edges[1:]):
-                part = ([c[start:end] for c in columns], codes[start:end])
+                part = ([c[start:end] for c in columns], codes[start:end], low[start:end])
                 if held and (held[0][0][0][0], held[0][0][1][0], held[0][0][2][0]) != tuple(keys[:, start]):
                     result += whole(held)
                     held = []
@@ -197,7 +233,8 @@ def _block_pairs(least: float, percent: int):
 
     def whole(held: list) -> list[tuple]:
         band, first, second, ids, labels, sizes, blocks = [np.concatenate([part[0][i] for part in held]) for i in range(7)]
-        return pairs_of(ids, labels, sizes, np.concatenate([part[1] for part in held]), blocks, first[0] == second[0])
+        low = [x for part in held for x in part[2]]
+        return pairs_of(ids, labels, sizes, np.concatenate([part[1] for part in held]), low, blocks, first[0] == second[0])
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in range(4)], names=["a", "b", "n_a", "n_b"])
@@ -237,10 +274,11 @@ class _Search:
         return self.stored(near, f"links{step}")
 
     def run(self) -> DataFrame:
-        signed = self.docs.select("id", _signer(self.size)("text").alias("_s")).select("id", "_s.n", "_s.key", "_s.registers")
+        signed = self.docs.select("id", _signer(self.size)("text").alias("_s")).select("id", "_s.n", "_s.key", "_s.registers", "_s.low")
         signed = self.stored(signed, "signed")
         classes = signed.filter("n > 0 and id is not null").groupBy("key").agg(
-            F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.count("*").alias("copies")
+            F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("low").alias("low"),
+            F.count("*").alias("copies"),
         )
         classes = self.stored(classes, "classes")
         # Different sets this small can't be near enough: dropping one shingle is already too much.
@@ -279,9 +317,9 @@ class _Search:
         dealt = open_ones.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
             "band", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "id", "label", "block"
         )
-        whole = dealt.join(classes.select("id", "n", "registers"), "id")
+        whole = dealt.join(classes.select("id", "n", "registers", "low"), "id")
         keys = ["band", "first", "second"]
-        ordered = whole.select(*keys, "id", "label", "n", "block", "registers").repartition(*keys).sortWithinPartitions(*keys)
+        ordered = whole.select(*keys, "id", "label", "n", "block", "registers", "low").repartition(*keys).sortWithinPartitions(*keys)
         found = ordered.mapInArrow(_block_pairs(self.least, self.percent), "a long, b long, n_a long, n_b long")
         return found.distinct()
 

@@ -69,15 +69,16 @@ def test_repeated_rows_null_ids_and_no_rows(spark, tmp_path):
     assert neardup.find(spark, spark.createDataFrame([], schema), str(tmp_path / "e")).count() == 0
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-def test_members_of_a_bucket_meet_each_other(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize(("block", "small"), [(2000, 256), (7, 0)])
+def test_members_of_a_bucket_meet_each_other(spark, tmp_path, monkeypatch, block, small):
     """With one bucket for all and nothing found through centres, every link comes from the second step."""
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SMALL_SET", small)
     rows = near_rows()[:40] + near_rows()[60:120]
     docs = spark.createDataFrame([(i, t or "") for i, t in rows], "id long, text string")
     search = neardup._Search(spark, docs, str(tmp_path / "b"), 2, 80)
-    signed = docs.select("id", neardup._signer(2)("text").alias("_s")).select("id", "_s.n", "_s.key", "_s.registers")
-    classes = search.stored(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "c")
+    signed = docs.select("id", neardup._signer(2)("text").alias("_s")).select("id", "_s.n", "_s.key", "_s.registers", "_s.low")
+    classes = search.stored(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("low").alias("low")), "c")
     members = classes.select(F.lit(5).cast("long").alias("band"), "id")
     likely = search.stored(search._meeting(members, spark.createDataFrame([], "id long, component long"), classes), "l")
     links = search.verified(likely, classes, 0)
