@@ -1,8 +1,8 @@
 """Main text of web pages, by structure and by differencing with the page of the nearest URL.
 
 A page is cut into lines, one for each block. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments go by their elements. What an article element holds is the main text. A page
-without one is compared with the page of its host whose path comes nearest: lines are aligned by the
+scripts, styles and reader comments go by their elements. What an article element holds is main text. The lines
+outside one are compared with those of the page of its host whose path comes nearest: they are aligned by the
 longest common subsequence and shared ones deleted, as templates repeat and texts don't.
 """
 
@@ -175,20 +175,30 @@ def shared_lines(lines: list, other: list) -> set[int]:
     return found
 
 
-_PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType()))])
+_PARSED = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("lines", T.ArrayType(T.StringType())),
+        T.StructField("inside", T.ArrayType(T.BooleanType())),
+    ]
+)
 
 
 @F.arrow_udf(_PARSED)
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """``text`` is the main text of a page with an article, else null and ``lines`` has what is open."""
+    """``text`` is the main text of a page that articles hold whole, else null; ``lines`` has the lines of a page with some outside."""
     for column in batches:
-        texts, lines = [], []
+        texts, lines, insides = [], [], []
         for source in column:
             found = page_lines(source.as_py() or "")
-            main = [line for line, inside in found if inside]
-            texts.append("\n".join(main) if main else None)
-            lines.append(None if main else [line for line, _ in found])
-        yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))], names=["text", "lines"])
+            is_open = not all(inside for _, inside in found)
+            texts.append(None if is_open else "\n".join(line for line, _ in found))
+            lines.append([line for line, _ in found] if is_open else None)
+            insides.append([inside for _, inside in found] if is_open else None)
+        yield pa.StructArray.from_arrays(
+            [pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(insides, pa.list_(pa.bool_()))],
+            names=["text", "lines", "inside"],
+        )
 
 
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
@@ -205,14 +215,16 @@ def _line_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 @F.arrow_udf(T.StringType())
-def _difference(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _difference(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The lines inside an article, and of the others those that aren't shared."""
     from hashlib import blake2b
 
-    for lines, others in batches:
+    for lines, insides, others in batches:
         texts = []
-        for own, other in zip(lines.to_pylist(), others.to_pylist()):
-            keys = [blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for line in own]
-            shared = shared_lines(keys, other or [])
+        for own, inside, other in zip(lines.to_pylist(), insides.to_pylist(), others.to_pylist()):
+            outside = [i for i, held in enumerate(inside) if not held]
+            keys = [blake2b(own[i].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in outside]
+            shared = {outside[k] for k in shared_lines(keys, other or [])}
             texts.append("\n".join(line for i, line in enumerate(own) if i not in shared))
         yield pa.array(texts, pa.string())
 
@@ -250,7 +262,7 @@ def extract(
 
     A null page is empty, and so is the text of a page without any. Character references are decoded,
     white space inside a block becomes one space. Lines inside an article element stay even if the nearest page has
-    them too. Pages without a url are on a host of their own name (empty); repeated pages get equal texts,
+    them too; of those outside, on any page, go the ones that the nearest page has outside its articles. Pages without a url are on a host of their own name (empty); repeated pages get equal texts,
     and are no neighbours of each other. A column ``text`` is replaced; an empty table gives no rows.
     ``folder``, shared by all executors, takes a table of line digests.
     """
@@ -262,5 +274,5 @@ def extract(
     near = nearest_pages(pages, folder, url_column, html_column)
     compared = open_pages.join(near, ["_url", "_page"], "left")
     return settled.select(*names, F.coalesce("_parsed.text", F.lit("")).alias("text")).unionByName(
-        compared.select(*names, _difference("_parsed.lines", "_other").alias("text"))
+        compared.select(*names, _difference("_parsed.lines", "_parsed.inside", "_other").alias("text"))
     )

@@ -174,6 +174,13 @@ def test_pages_without_an_article_lose_shared_lines(spark, tmp_path):
     assert got[60] == [""] and got[61] == ["Alone"] and got[62] == [""] and got[3][0] == got[3][1]
 
 
+def test_text_outside_an_article_stays_unless_it_is_shared(spark, tmp_path):
+    page = "<body><p>Welcome</p><article><p>Teaser</p></article><div><p>Body {0}</p><p>Body of {0}</p></div><p>Bye</p></body>"
+    pages = spark.createDataFrame([(i, f"http://h.org/a/{i}", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages.repartition(3), str(tmp_path / "o")).collect()}
+    assert got == {i: f"Teaser\nBody {i}\nBody of {i}" for i in range(6)}
+
+
 def test_no_pages(spark, tmp_path):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e")).count() == 0
 
