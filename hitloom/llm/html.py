@@ -55,6 +55,8 @@ _WORD = re.compile(r"[a-z]+|[0-9]+")
 _ENDS_P = BLOCKS - {"html", "body", "head", "title"}
 _ITEMS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("table",), "th": ("table",), "tr": ("table",)}
 _ARTICLES = ("article", "main")
+# Pages that share this percentage of their characters may be copies, so that what they share is no sign of a template.
+COPY_PERCENT = 80
 
 
 def _is_marked(rest: str) -> bool:
@@ -180,6 +182,7 @@ _PARSED = T.StructType(
         T.StructField("text", T.StringType()),
         T.StructField("lines", T.ArrayType(T.StringType())),
         T.StructField("inside", T.ArrayType(T.BooleanType())),
+        T.StructField("digest", T.BinaryType()),
     ]
 )
 
@@ -188,58 +191,91 @@ _PARSED = T.StructType(
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """``text`` is the main text of a page that articles hold whole, else null; ``lines`` has the lines of a page with some outside."""
     for column in batches:
-        texts, lines, insides = [], [], []
+        texts, lines, insides, digests = [], [], [], []
         for source in column:
             found = page_lines(source.as_py() or "")
             is_open = not all(inside for _, inside in found)
             texts.append(None if is_open else "\n".join(line for line, _ in found))
             lines.append([line for line, _ in found] if is_open else None)
             insides.append([inside for _, inside in found] if is_open else None)
+            digests.append(_digest(_keys(found)) if is_open else None)
         yield pa.StructArray.from_arrays(
-            [pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(insides, pa.list_(pa.bool_()))],
-            names=["text", "lines", "inside"],
+            [
+                pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())),
+                pa.array(insides, pa.list_(pa.bool_())), pa.array(digests, pa.binary()),
+            ],
+            names=["text", "lines", "inside", "digest"],
         )
 
 
-@F.arrow_udf(T.ArrayType(T.BinaryType()))
-def _line_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """A 16-byte digest for each line of a page that no article holds."""
+def _keys(found: list[tuple[str, bool]]) -> list[bytes]:
+    """For each line a 16-byte digest, a byte that is 1 inside an article, and its length in characters."""
     from hashlib import blake2b
 
+    return [
+        blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() + bytes([inside]) + len(line).to_bytes(4, "big")
+        for line, inside in found
+    ]
+
+
+def _digest(keys: list[bytes]) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(b"".join(keys), digest_size=16).digest()
+
+
+@F.arrow_udf(T.StructType([T.StructField("lines", T.BinaryType()), T.StructField("keys", T.ArrayType(T.BinaryType()))]))
+def _line_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The keys of a page's lines, and a digest of them all; null if no line lies outside an article."""
     for column in batches:
-        keys = [
-            [blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for line, inside in page_lines(source.as_py() or "") if not inside]
-            for source in column
-        ]
-        yield pa.array(keys, pa.list_(pa.binary()))
+        rows = [_keys(page_lines(source.as_py() or "")) for source in column]
+        rows = [keys if any(not key[16] for key in keys) else None for keys in rows]
+        digests = [None if keys is None else _digest(keys) for keys in rows]
+        yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.binary()))], names=["lines", "keys"])
+
+
+def alike(keys: list[bytes], other: list[bytes]) -> bool:
+    """Whether two pages may be copies: they share ``COPY_PERCENT`` of the longer one's characters."""
+    shared = sum(int.from_bytes(keys[i][17:], "big") for i in shared_lines(keys, other))
+    longer = max(sum(int.from_bytes(key[17:], "big") for key in side) for side in (keys, other))
+    return 100 * shared >= COPY_PERCENT * longer
 
 
 @F.arrow_udf(T.StringType())
 def _difference(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """The lines inside an article, and of the others those that aren't shared."""
-    from hashlib import blake2b
-
-    for lines, insides, others in batches:
+    """The lines inside an article, and of the others those not shared with the first candidate that is no copy."""
+    for lines, insides, candidates in batches:
         texts = []
-        for own, inside, other in zip(lines.to_pylist(), insides.to_pylist(), others.to_pylist()):
+        for own, inside, others in zip(lines.to_pylist(), insides.to_pylist(), candidates.to_pylist()):
+            keys = _keys(list(zip(own, inside)))
+            other = next((o for o in others or [] if not alike(keys, o)), [])
             outside = [i for i, held in enumerate(inside) if not held]
-            keys = [blake2b(own[i].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in outside]
-            shared = {outside[k] for k in shared_lines(keys, other or [])}
+            theirs = [key for key in other if not key[16]]
+            shared = {outside[k] for k in shared_lines([keys[i] for i in outside], theirs)}
             texts.append("\n".join(line for i, line in enumerate(own) if i not in shared))
         yield pa.array(texts, pa.string())
 
 
-def nearest_pages(pages: DataFrame, folder: str, url_column: str, html_column: str) -> DataFrame:
-    """For each different page (``_url``, ``_page``: hashes) the line keys of the page next to it.
+def candidate_pages(pages: DataFrame, folder: str, url_column: str, html_column: str) -> DataFrame:
+    """For each host (``_host``) and different list of lines (``_lines``) the line keys of pages to compare it with (``_others``).
 
-    Pages are ordered by host and path; the nearer of the two beside a page is that which shares the longer start of
-    the path, and the one before if both do. Hosts of any size are cut into ranges.
+    Only pages with lines outside articles count. Pages of a host with the same lines are one, under the least of their
+    paths, and so are pages of one path: crawls of one address differ little, so a page is compared with the paths
+    beside its own, first that which shares the longer start (the one before if both do). Only a host with a single
+    path has its pages compared with each other, in order of their digests. Hosts of any size are cut into ranges.
     """
     url, source = F.col(f"`{url_column}`"), F.coalesce(F.col(f"`{html_column}`"), F.lit(""))
-    keyed = pages.select(
-        F.xxhash64(url).alias("_url"), F.md5(source).alias("_page"), host_of(url).alias("_host"), path_of(url).alias("_path"), _line_keys(source).alias("_keys")
-    ).dropDuplicates(["_url", "_page"])
-    near = with_neighbors(keyed, ["_host", "_path", "_page", "_url"], ["_host", "_path", "_keys"], f"{folder}/pages")
+    parsed = pages.select(host_of(url).alias("_host"), path_of(url).alias("_path"), _line_keys(source).alias("_found"))
+    parsed = parsed.filter(F.col("_found.lines").isNotNull()).select("_host", "_path", F.col("_found.lines").alias("_lines"), F.col("_found.keys").alias("_keys"))
+    parsed.groupBy("_host", "_lines").agg(F.min("_path").alias("_path"), F.first("_keys").alias("_keys")).write.parquet(f"{folder}/lines")
+    groups = pages.sparkSession.read.parquet(f"{folder}/lines")
+
+    def beside(side: str):
+        return F.when(F.col(f"{side}._host") == F.col("_host"), F.col(f"{side}._lines"))
+
+    # The neighbours carry a digest of their lines; the lines themselves are fetched for candidates only.
+    carried = ["_host", "_path", "_lines"]
+    paths = with_neighbors(groups.groupBy("_host", "_path").agg(F.min("_lines").alias("_lines")), ["_host", "_path"], carried, f"{folder}/paths")
 
     def closeness(side: str):
         longest = F.least(F.char_length("_path"), F.char_length(f"{side}._path"))
@@ -248,11 +284,22 @@ def nearest_pages(pages: DataFrame, folder: str, url_column: str, html_column: s
             F.lit(0),
             lambda best, k: F.when(F.substr("_path", F.lit(1), k) == F.substr(f"{side}._path", F.lit(1), k), k).otherwise(best),
         )
-        return F.when(F.col(f"{side}._host") == F.col("_host"), same).otherwise(-1)
-
-    left, right = F.coalesce(closeness("before"), F.lit(-1)), F.coalesce(closeness("after"), F.lit(-1))
-    keys = F.when((left < 0) & (right < 0), None).when(left >= right, F.col("before._keys")).otherwise(F.col("after._keys"))
-    return near.select("_url", "_page", keys.alias("_other"))
+        return F.coalesce(F.when(F.col(f"{side}._host") == F.col("_host"), same), F.lit(-1))
+
+    paths = paths.withColumn("_start_before", closeness("before")).withColumn("_start_after", closeness("after"))
+    first, second = beside("before"), beside("after")
+    ordered = F.when(F.col("_start_before") >= F.col("_start_after"), F.array(first, second)).otherwise(F.array(second, first))
+    paths = paths.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), F.array_compact(ordered).alias("_by_path"))
+    near = with_neighbors(groups.drop("_keys"), ["_host", "_path", "_lines"], carried, f"{folder}/groups")
+    near = near.join(paths, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")))
+    by_page = F.array_compact(F.array(beside("before"), beside("after")))
+    chosen = F.when(F.size("_by_path") > 0, F.col("_by_path")).otherwise(by_page)
+    wanted = near.select("_host", "_lines", F.posexplode(chosen).alias("_place", "_other"))
+    keys = groups.select(F.col("_host").alias("_h"), F.col("_lines").alias("_other"), "_keys")
+    found = wanted.join(keys, (F.col("_host") == F.col("_h")) & (wanted["_other"] == keys["_other"]))
+    return found.groupBy("_host", "_lines").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_place", "_keys"))), lambda x: x["_keys"]).alias("_others")
+    )
 
 
 def extract(
@@ -262,17 +309,17 @@ def extract(
 
     A null page is empty, and so is the text of a page without any. Character references are decoded,
     white space inside a block becomes one space. Lines inside an article element stay even if the nearest page has
-    them too; of those outside, on any page, go the ones that the nearest page has outside its articles. Pages without a url are on a host of their own name (empty); repeated pages get equal texts,
-    and are no neighbours of each other. A column ``text`` is replaced; an empty table gives no rows.
-    ``folder``, shared by all executors, takes a table of line digests.
+    them too; of those outside, on any page, go the ones that the nearest page has outside its articles, if that
+    page is no copy (``COPY_PERCENT``). A page with copies only beside it keeps its lines. Pages without a url are on a host of their own name (empty); pages of a host with equal lines
+    get equal texts, and are no neighbours of each other. A column ``text`` is replaced; an empty table gives no rows.
+    ``folder``, shared by all executors, takes tables of line digests.
     """
     url, source = F.col(f"`{url_column}`"), F.coalesce(F.col(f"`{html_column}`"), F.lit(""))
-    parsed = pages.select(*own(pages, ("text",)), F.xxhash64(url).alias("_url"), F.md5(source).alias("_page"), _parse(source).alias("_parsed"))
-    open_pages = parsed.filter(F.size("_parsed.lines") > 0)
+    parsed = pages.select(*own(pages, ("text",)), host_of(url).alias("_host"), _parse(source).alias("_parsed"))
+    open_pages = parsed.filter(F.size("_parsed.lines") > 0).withColumn("_lines", F.col("_parsed.digest"))
     settled = parsed.filter(F.coalesce(F.size("_parsed.lines"), F.lit(0)) <= 0)
     names = back(pages, ("text",))
-    near = nearest_pages(pages, folder, url_column, html_column)
-    compared = open_pages.join(near, ["_url", "_page"], "left")
+    compared = open_pages.join(candidate_pages(pages, folder, url_column, html_column), ["_host", "_lines"], "left")
     return settled.select(*names, F.coalesce("_parsed.text", F.lit("")).alias("text")).unionByName(
-        compared.select(*names, _difference("_parsed.lines", "_parsed.inside", "_other").alias("text"))
+        compared.select(*names, _difference("_parsed.lines", "_parsed.inside", "_others").alias("text"))
     )

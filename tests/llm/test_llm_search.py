@@ -181,6 +181,25 @@ def test_text_outside_an_article_stays_unless_it_is_shared(spark, tmp_path):
     assert got == {i: f"Teaser\nBody {i}\nBody of {i}" for i in range(6)}
 
 
+def test_copies_and_crawls_of_one_address_keep_their_texts(spark, tmp_path):
+    def page(name, visits=0):
+        return "<body><p>Welcome</p>" + "".join(f"<p>Sentence {k} of the text {name}</p>" for k in range(9)) + f"<p>{visits}</p><p>Bye</p></body>"
+
+    rows = [(0, "http://h.org/a", page("x")), (1, "http://h.org/a?ref=2", page("x")), (2, "http://h.org/mirror/a", page("x"))]
+    rows += [(i, "http://h.org/b", page("y", i)) for i in range(3, 9)] + [(9, "http://h.org/c", page("z")), (10, "http://h.org/d", page("w"))]
+    rows += [(20 + i, "http://alone.org/b", page("v", i)) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract(pages.repartition(3), str(tmp_path / "c")).collect()}
+
+    def text(name):
+        return [f"Sentence {k} of the text {name}" for k in range(9)]
+
+    assert got[0] == got[1] == got[2] and got[0][:9] == text("x")
+    assert all(got[i][:9] == text("y") and "Welcome" not in got[i] and "Bye" not in got[i] for i in range(3, 9))
+    assert got[9][:9] == text("z") and got[10][:9] == text("w")
+    assert all(got[20 + i] == ["Welcome", *text("v"), str(i), "Bye"] for i in range(4))
+
+
 def test_no_pages(spark, tmp_path):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e")).count() == 0
 
