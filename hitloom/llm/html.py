@@ -256,6 +256,16 @@ def _difference(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Itera
         yield pa.array(texts, pa.string())
 
 
+@F.arrow_udf(T.IntegerType())
+def _common_start(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """How many characters two texts begin with alike; null if one is null."""
+    from os.path import commonprefix
+
+    for a, b in batches:
+        both = zip(a.to_pylist(), b.to_pylist())
+        yield pa.array([None if x is None or y is None else len(commonprefix([x, y])) for x, y in both], pa.int32())
+
+
 def candidate_pages(pages: DataFrame, folder: str, url_column: str, html_column: str) -> DataFrame:
     """For each host (``_host``) and different list of lines (``_lines``) the line keys of pages to compare it with (``_others``).
 
@@ -276,17 +286,8 @@ def candidate_pages(pages: DataFrame, folder: str, url_column: str, html_column:
     # The neighbours carry a digest of their lines; the lines themselves are fetched for candidates only.
     carried = ["_host", "_path", "_lines"]
     paths = with_neighbors(groups.groupBy("_host", "_path").agg(F.min("_lines").alias("_lines")), ["_host", "_path"], carried, f"{folder}/paths")
-
-    def closeness(side: str):
-        longest = F.least(F.char_length("_path"), F.char_length(f"{side}._path"))
-        same = F.aggregate(
-            F.sequence(F.lit(0), F.least(longest, F.lit(256))),
-            F.lit(0),
-            lambda best, k: F.when(F.substr("_path", F.lit(1), k) == F.substr(f"{side}._path", F.lit(1), k), k).otherwise(best),
-        )
-        return F.coalesce(F.when(F.col(f"{side}._host") == F.col("_host"), same), F.lit(-1))
-
-    paths = paths.withColumn("_start_before", closeness("before")).withColumn("_start_after", closeness("after"))
+    ends = {side: F.coalesce(_common_start("_path", F.when(F.col(f"{side}._host") == F.col("_host"), F.col(f"{side}._path"))), F.lit(-1)) for side in ("before", "after")}
+    paths = paths.withColumn("_start_before", ends["before"]).withColumn("_start_after", ends["after"])
     first, second = beside("before"), beside("after")
     ordered = F.when(F.col("_start_before") >= F.col("_start_after"), F.array(first, second)).otherwise(F.array(second, first))
     paths = paths.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), F.array_compact(ordered).alias("_by_path"))

@@ -200,6 +200,16 @@ def test_copies_and_crawls_of_one_address_keep_their_texts(spark, tmp_path):
     assert all(got[20 + i] == ["Welcome", *text("v"), str(i), "Bye"] for i in range(4))
 
 
+def test_the_nearer_path_is_found_behind_long_starts(spark, tmp_path):
+    start = "http://h.org/" + "s" * 400
+    body = "<body><p>{0}</p><p>Much longer own text of page {1}</p></body>"
+    rows = [(1, start + "a", body.format("Red", 1)), (2, start + "bx", body.format("Blue", 2)), (3, start + "by", body.format("Blue", 3))]
+    rows += [(4, start + "c", body.format("Red", 4))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages, str(tmp_path / "n")).collect()}
+    assert got[2] == "Much longer own text of page 2" and got[3] == "Much longer own text of page 3"
+
+
 def test_no_pages(spark, tmp_path):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e")).count() == 0
 
