@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,17 @@ EXCLUDED = frozenset(
     "nav footer aside form script style noscript template iframe object svg math canvas audio video select button "
     "textarea menu dialog head title datalist".split()
 )
-# Words in class, id and role that mark such parts.
+# Words that mark such parts, alone or at the end of a class, id or role.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs header masthead footer sidebar complementary contentinfo widget notice notices cookie cookies "
     "consent gdpr popup modal overlay subscribe newsletter signup login comment comments reply replies disqus respond "
     "share sharing social related recommended pagination pager toolbar skip".split()
 )
+# Of those, what the heading of an article may be called.
+HEADINGS = frozenset("header masthead banner".split())
+# Words before a mark that make it the name of a layout or subject, or say that the part is missing.
+MODIFIERS = frozenset("has no not non with without category cat tag layout template format type".split())
 _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,8 +55,10 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\s+[^<>\"'=\s/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?|\s*/)*\s*|[^>]*)>",
     re.S | re.I,
 )
-_MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+|[0-9]+")
+# Attributes in order, so that what stands inside a value is none.
+_ATTRIBUTE = re.compile(r"\s([^<>\"'=\s/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_MARKED = ("class", "id", "role")
+_WORD = re.compile(r"[a-z]+")
 _ENDS_P = BLOCKS - {"html", "body", "head", "title"}
 _ITEMS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("table",), "th": ("table",), "tr": ("table",)}
 _ARTICLES = ("article", "main")
@@ -59,39 +66,62 @@ _ARTICLES = ("article", "main")
 COPY_PERCENT = 80
 
 
-def _is_marked(rest: str) -> bool:
-    for values in _MARKED.findall(rest):
-        if any(word in MARKS for word in _WORD.findall("".join(values).lower())):
-            return True
+def _is_marked(rest: str, article: bool) -> bool:
+    for attribute, *values in _ATTRIBUTE.findall(rest):
+        if attribute.lower() not in _MARKED:
+            continue
+        for token in "".join(values).lower().split():
+            *before, last = _WORD.findall(token) or [""]
+            if last in MARKS and not (article and last in HEADINGS) and not MODIFIERS.intersection(before):
+                return True
     return False
 
 
+class _Open(NamedTuple):
+    """An open element; but for the name, what is so of it or of one around it."""
+
+    name: str
+    out: bool = False
+    article: bool = False
+    # Inside an element named article, as opposed to main.
+    nested: bool = False
+    # Number of the innermost element outside articles that its mark rules out, or 0.
+    mark: int = 0
+
+
 class _Page:
     def __init__(self):
-        self.lines: list[tuple[str, bool]] = []
-        self.parts: list[str] = []
-        # One entry for each open element: its name, and whether it or one around it is left out, and is an article.
-        self.open: list[tuple[str, bool, bool]] = [("", False, False)]
+        self.lines: list[tuple[str, bool, int]] = []
+        self.parts: list[tuple[str, int]] = []
+        self.open: list[_Open] = [_Open("")]
+        # For each mark the one around it, and whether it holds an article.
+        self.around: list[int] = [0]
+        self.holds: list[bool] = [True]
 
     def flush(self) -> None:
-        if self.parts:
-            line = " ".join(html.unescape("".join(self.parts)).split())
+        for mark in dict.fromkeys(mark for _, mark in self.parts):
+            line = " ".join(html.unescape("".join(data for data, of in self.parts if of == mark)).split())
             if line:
-                self.lines.append((line, self.open[-1][2]))
-            self.parts = []
+                self.lines.append((line, self.open[-1].article, mark))
+        self.parts = []
+
+    def found(self) -> list[tuple[str, bool]]:
+        """Without marked parts, but for those that hold an article if there is none elsewhere."""
+        only = not any(inside and not mark for _, inside, mark in self.lines)
+        return [(line, inside) for line, inside, mark in self.lines if not mark or only and self.holds[mark]]
 
     def text(self, data: str) -> None:
-        if data and not self.open[-1][1]:
-            self.parts.append(data)
+        if data and not self.open[-1].out:
+            self.parts.append((data, self.open[-1].mark))
 
     def close_to(self, name: str, within: tuple[str, ...] = ()) -> None:
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == name:
-                if any(entry[0] in BLOCKS for entry in self.open[i:]):
+            if self.open[i].name == name:
+                if any(entry.name in BLOCKS for entry in self.open[i:]):
                     self.flush()
                 del self.open[i:]
                 return
-            if self.open[i][0] in within:
+            if self.open[i].name in within:
                 return
 
     def start(self, name: str, rest: str) -> None:
@@ -106,12 +136,27 @@ class _Page:
                     self.close_to(other, _ITEMS[name])
         if name in VOID or rest.rstrip().endswith("/") and name in EXCLUDED:
             return
-        _, out, article = self.open[-1]
-        left_out = name in EXCLUDED or (name == "header" and not article) or (name not in ("html", "body") and _is_marked(rest))
-        self.open.append((name, out or left_out, article or name in _ARTICLES))
+        parent = self.open[-1]
+        out = parent.out or name in EXCLUDED or (name == "header" and not parent.article)
+        mark = parent.mark
+        # An article around all others is never ruled out by its marks; one inside another may be a comment.
+        spared = name in ("html", "body", "main") or (name == "article" and not parent.nested)
+        if not out and not spared and _is_marked(rest, parent.article):
+            if parent.article:
+                out = True
+            else:
+                self.around.append(mark)
+                self.holds.append(False)
+                mark = len(self.around) - 1
+        if name in _ARTICLES and not out:
+            at = mark
+            while not self.holds[at]:
+                self.holds[at] = True
+                at = self.around[at]
+        self.open.append(_Open(name, out, parent.article or name in _ARTICLES, parent.nested or name == "article", mark))
 
     def end(self, name: str) -> None:
-        if name == "p" and not any(entry[0] == "p" for entry in self.open):
+        if name == "p" and not any(entry.name == "p" for entry in self.open):
             self.flush()
             return
         if name in BLOCKS:
@@ -135,7 +180,7 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
                 page.start(name, token["rest"])
     page.text(source[at:])
     page.flush()
-    return page.lines
+    return page.found()
 
 
 def shared_lines(lines: list, other: list) -> set[int]:

@@ -160,6 +160,25 @@ def test_structure_decides_where_there_is_an_article():
     assert lines == ["Head & more", "First line goes on here", "Second", "one", "two"]
 
 
+@pytest.mark.parametrize(
+    "page, lines",
+    [
+        ('<div class="layout has-sidebar no-comments with-ads"><article class="post category-social"><p>a</article></div>', ["a"]),
+        ('<main id="content" class="no-sidebar"><p>a</main>', ["a"]),
+        ('<body class="left sidebar"><main class="menu"><article class="social"><p>a</article></main>', ["a"]),
+        ('<article><div class="entry-header"><h1>a</h1></div><p>b<div class="post-share">c</div></article>', ["a", "b"]),
+        ('<article><p data-role="banner" data-id="ad" title="x class=ad id=nav ">a</p></article>', ["a"]),
+        ('<div class="widget"><p>b</p><div class="social"><article><p>a</article></div></div><div class="ad">c</div>', ["b", "a"]),
+        ('<article><p>a</article><div id="comments"><article class="comment"><p>b</article></div>', ["a"]),
+        ('<p>a <span class="ad">b</span>c', ["a c"]),
+        ('<article><p>a<article class="comment"><p>b</article></article>', ["a"]),
+        ('<article><p>a</article><div class="top-ad x">b</div><p class="sidebar-2">c</p><p id=\'menu\'>d</p><p class=ad>e', ["a"]),
+    ],
+)
+def test_marks_rule_out_what_they_name_only(page, lines):
+    assert [line for line, _ in html.page_lines(page)] == lines
+
+
 def test_pages_without_an_article_lose_shared_lines(spark, tmp_path):
     plain = "<body><p>Top bar</p><p>Welcome</p><p>Own text {0}</p><p>More {0}</p><p>Bottom</p></body>"
     rows = [(i, f"http://h.org/a/{i}", plain.format(i)) for i in range(40)]
