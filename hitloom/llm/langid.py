@@ -178,12 +178,13 @@ class Predictor:
 def sample(labelled: DataFrame, text_column: str, lang_column: str, key: Column) -> DataFrame:
     """At most ``DOCUMENTS_PER_LANGUAGE`` excerpts of each language, chosen by a hash of the row.
 
-    Rows are thinned by the counts of their language before any shuffle, so a language that owns most
-    of the corpus sends no more rows than any other.
+    Rows of a language with one key count once, so a group of copies takes one place. Rows are thinned by the counts
+    of their language's keys before their excerpts are shuffled, so a language that owns most of the corpus sends no more than any other.
     """
     lang, text = F.col(f"`{lang_column}`"), F.col(f"`{text_column}`")
     usable = labelled.filter(lang.isNotNull() & text.rlike(r"\p{L}"))
-    counts = {row["lang"]: row["n"] for row in usable.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    keys = usable.select(lang.alias("lang"), key.alias("_key")).distinct()
+    counts = {row["lang"]: row["n"] for row in keys.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
@@ -194,14 +195,14 @@ def sample(labelled: DataFrame, text_column: str, lang_column: str, key: Column)
     begin = 1 + F.pmod(F.col("_key"), F.greatest(F.char_length(text) - EXCERPT_CHARS + 1, F.lit(1)))
     thinned = usable.withColumn("_key", key).filter(draw < keep).select(
         lang.alias("lang"), F.substr(text, begin.cast("int"), F.lit(EXCERPT_CHARS)).alias("excerpt"), "_key"
-    )
+    ).groupBy("lang", "_key").agg(F.min("excerpt").alias("excerpt"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "excerpt"))
     return thinned.withColumn("_rank", rank).filter(F.col("_rank") <= DOCUMENTS_PER_LANGUAGE).select("lang", "excerpt")
 
 
 def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", key: Column | None = None) -> Model | None:
-    """Train on labelled rows; None if there are no usable ones. ``key`` chooses the sample; by default
-    it is a hash of the text. Rows with a null label, or a text that is null or without a letter, teach nothing."""
+    """Train on labelled rows; None if there are no usable ones. ``key`` chooses the sample, and rows of a language
+    with the same one count once; by default it is a hash of the text. Rows with a null label, or a text that is null or without a letter, teach nothing."""
     key = F.xxhash64(F.col(f"`{text_column}`")) if key is None else key
     rows = sample(labelled, text_column, lang_column, key).orderBy("lang", "excerpt").collect()
     if not rows:

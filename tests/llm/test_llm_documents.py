@@ -164,6 +164,15 @@ def language_rows():
     return rows
 
 
+def test_copies_take_one_place_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCUMENTS_PER_LANGUAGE", 20)
+    rows = [("x", f"text {chr(97 + i % 26)}{i}") for i in range(60)]
+    rows += [("x", text) for _, text in rows[:50] for _ in range(9)] + [("y", "one alone")] * 30
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = [(r["lang"], r["excerpt"]) for r in langid.sample(docs, "text", "lang", F.xxhash64("text")).collect()]
+    assert len(got) == len(set(got)) == 21 and [t for k, t in got if k == "y"] == ["one alone"]
+
+
 def test_language_accuracy_and_odd_texts(spark):
     rows = language_rows()
     taught = spark.createDataFrame([r for r in rows if r[0] % 5], "doc_id int, text string, lang string")
