@@ -31,11 +31,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
-    found = neardup.find(spark, docs, scratch_path(spark, "pipeline-neardup"))
-    kept = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    single = docs.join(kept, "doc_id").withColumn("_first", first).filter("_first = 1")
+    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay, and so do
+    texts of one id that are no near-duplicates."""
+    found = neardup.find(spark, docs, scratch_path(spark, "pipeline-neardup"), keys=True)
+    kept = found.filter("kept and doc_id is not null").groupBy("doc_id", "set_key").agg(F.min("text_key").alias("text_key"))
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.xxhash64(*docs.columns)))
+    single = keyed.join(kept.select("doc_id", "text_key"), ["doc_id", "text_key"]).withColumn("_first", first).filter("_first = 1")
     return single.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

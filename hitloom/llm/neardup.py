@@ -263,21 +263,23 @@ class _Search:
     def verified(self, likely: DataFrame, classes: DataFrame, step: int) -> DataFrame:
         """Of likely pairs those whose full sets are near enough."""
         wanted = likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))).distinct()
-        wanted = wanted.join(classes.select(F.col("id").alias("_id"), F.col("key").alias("_key")), "_id")
-        texts = self.docs.join(wanted, F.col("id") == F.col("_id")).withColumn("_set", _setter(self.size)("text"))
-        texts = texts.filter(F.col("_set.key") == F.col("_key")).groupBy("id").agg(F.min("_set.shingles").alias("shingles"))
+        doc = F.col("doc" if "doc" in classes.columns else "id").alias("_doc")
+        wanted = wanted.join(classes.select(F.col("id").alias("_id"), doc, F.col("key").alias("_key")), "_id")
+        texts = self.docs.join(wanted, F.col("id") == F.col("_doc")).withColumn("_set", _setter(self.size)("text"))
+        texts = texts.filter(F.col("_set.key") == F.col("_key")).groupBy("_id").agg(F.min("_set.shingles").alias("shingles"))
         texts = self.stored(texts, f"sets{step}")
-        other = {s: texts.select(F.col("id").alias(s), F.col("shingles").alias(f"s_{s}")) for s in "ab"}
+        other = {s: texts.select(F.col("_id").alias(s), F.col("shingles").alias(f"s_{s}")) for s in "ab"}
         compared = likely.join(other["b"], "b").join(other["a"], "a").withColumn("_shared", _shared("s_a", "s_b"))
         union = F.col("n_a") + F.col("n_b") - F.col("_shared")
         near = compared.filter(100 * F.col("_shared") >= self.percent * union).select("a", "b")
         return self.stored(near, f"links{step}")
 
     def run(self) -> DataFrame:
-        signed = self.docs.select("id", _signer(self.size)("text").alias("_s")).select("id", "_s.n", "_s.key", "_s.registers", "_s.low")
-        signed = self.stored(signed, "signed")
+        signed = self.docs.select("id", F.xxhash64("text").alias("text_key"), _signer(self.size)("text").alias("_s"))
+        signed = self.stored(signed.select("id", "text_key", "_s.n", "_s.key", "_s.registers", "_s.low"), "signed")
+        # Classes go by a hash of their key, as an id may stand in several; ``doc`` is the smallest id of a class.
         classes = signed.filter("n > 0 and id is not null").groupBy("key").agg(
-            F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("low").alias("low"),
+            F.xxhash64("key").alias("id"), F.min("id").alias("doc"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("low").alias("low"),
             F.count("*").alias("copies"),
         )
         classes = self.stored(classes, "classes")
@@ -302,9 +304,13 @@ class _Search:
             more = self.verified(rest, classes, 1)
             if not more.isEmpty():
                 labels = components(self.spark, links.unionByName(more), f"{self.folder}/components1")
-        named = classes.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "copies")
-        light = signed.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("key")).alias("key"))
-        return skew_proof_lookup(light, "key", named, "key", "component", "copies", "component", ["id"])
+        named = classes.join(labels, "id", "left").select("key", "id", "doc", F.coalesce("component", "id").alias("component"), "copies")
+        named = self.stored(named, "named")
+        heads = named.groupBy("component").agg(F.min(F.struct("doc", "id")).alias("head"), F.count("*").alias("_classes"))
+        headed = skew_proof_lookup(named, "component", heads, "component", "head", "_classes", "head", ["id"])
+        headed = headed.select("key", F.struct(F.col("head.doc").alias("doc"), (F.col("head.id") == F.col("id")).alias("first")).alias("head"), "copies")
+        light = signed.select("id", "text_key", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("key")).alias("key"))
+        return skew_proof_lookup(light, "key", headed, "key", "head", "copies", "head", ["id"])
 
     def _meeting(self, members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
         """Likely pairs of different components inside buckets that more than one of them meets in."""
@@ -326,20 +332,22 @@ class _Search:
 
 def find(
     spark: SparkSession, docs: DataFrame, folder: str, size: int = SHINGLE, percent: int = PERCENT,
-    id_column: str = "doc_id", text_column: str = "text",
+    id_column: str = "doc_id", text_column: str = "text", keys: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` and ``kept``.
 
     Documents are linked if their sets of shingles of ``size`` words share at least ``percent`` of their union; a document with fewer
     words has all of them as one shingle. ``component_id`` is the smallest id reachable, and ``kept`` marks that document. A null
-    or empty text has no shingles and no links. Ids are integers. Rows with one id count as one document for links; a row without
+    or empty text has no shingles and no links. Ids are integers. Rows with one id and different texts are documents of their own, not
+    linked through the id; if several of the smallest id are in one component, those with one set of shingles are kept. A row without
     an id is linked with nothing, its component is null and it is kept. Repeated rows are copies of each other. Other columns are left
-    out, and an empty table gives no rows. ``folder``, shared by all executors, takes the tables of the search.
+    out, and an empty table gives no rows. ``keys`` appends ``text_key``, the row's ``xxhash64`` of the text (a null one as empty), and
+    ``set_key``, the same for equal sets. ``folder``, shared by all executors, takes the tables of the search.
     """
     named = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     found = _Search(spark, named, folder, size, percent).run()
-    component = F.coalesce("component", "id")
+    kept = F.coalesce(F.col("head.first") & (F.col("head.doc") == F.col("id")), F.lit(True))
     return found.select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("head.doc", "id").alias("component_id"), kept.alias("kept"),
+        *([F.col("text_key"), F.col("key").alias("set_key")] if keys else []),
     )

@@ -69,6 +69,30 @@ def test_repeated_rows_null_ids_and_no_rows(spark, tmp_path):
     assert neardup.find(spark, spark.createDataFrame([], schema), str(tmp_path / "e")).count() == 0
 
 
+def repeated_ids():
+    """One id with unlike texts, of which one has a near copy under another id, which has a text of its own too."""
+    texts = {name: " ".join(f"{name}{i}" for i in range(60)) for name in "pqrs"}
+    return [(1, texts["p"]), (1, texts["q"]), (1, texts["q"].upper()), (2, texts["q"] + " more"), (2, texts["r"]), (3, texts["s"]), (1, texts["s"] + " less")]
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark, tmp_path):
+    rows = repeated_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.find(spark, docs, str(tmp_path / "i"), keys=True).join(docs.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"])
+    assert {(r["doc_id"], r["text"]): (r["component_id"], r["kept"]) for r in got.collect()} == {
+        rows[0]: (1, True), rows[1]: (1, True), rows[2]: (1, True), rows[3]: (1, False), rows[4]: (2, True), rows[5]: (1, False), rows[6]: (1, True),
+    }
+
+
+def test_the_stage_keeps_each_clean_text_of_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = repeated_ids()
+    docs = spark.createDataFrame([(*r, "s") for r in rows + rows[:1]], "doc_id long, text string, source string")
+    got = sorted((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([rows[0], rows[1], rows[4], rows[6]])
+
+
 @pytest.mark.parametrize(("block", "small"), [(2000, 256), (7, 0)])
 def test_members_of_a_bucket_meet_each_other(spark, tmp_path, monkeypatch, block, small):
     """With one bucket for all and nothing found through centres, every link comes from the second step."""
