@@ -53,5 +53,31 @@ sums AS (SELECT n, CAST(sum(s) AS BIGINT) AS log_score FROM scored GROUP BY n)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(log_score, 0) AS log_score,
        CASE WHEN len(words) > 0 THEN log_score / len(words) / 1000000 END AS mean_log_score
 FROM numbered LEFT JOIN sums USING (n)
+""",
+    "op11_hard_negatives": """
+WITH rows_ AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+           CAST(list_inner_product(a.vector, b.vector) AS BIGINT) AS score
+    FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+),
+ranked AS (
+    SELECT anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import ann, fingerprints, html, langid, lm, mixing, neardup, packing, urls, warc
+from hitloom.llm import ann, fingerprints, html, langid, lm, mixing, neardup, negatives, packing, urls, warc
 from hitloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -136,3 +136,12 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.find(spark, docs, scratch_path(spark, "neardup"), size=2)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, every seventh label moved on by one."""
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = _read(spark, sf_dir, "embeddings")
+    return negatives.mine(spark, vectors, scratch_path(spark, "negatives"), F.col("vec_id") % 100 == 0, label=moved)

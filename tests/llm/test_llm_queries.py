@@ -24,7 +24,7 @@ def test_query(spark, connection, name):
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in NAMES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in NAMES) == list(range(1, 14))
     assert "pipeline" in contract.queries()
 
 
