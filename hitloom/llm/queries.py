@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import ann, fingerprints, html, langid, lm, mixing, neardup, negatives, packing, urls, warc
+from hitloom.llm import ann, fingerprints, html, langid, lm, mixing, neardup, negatives, packing, quality, urls, warc
 from hitloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -145,3 +145,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     vectors = _read(spark, sf_dir, "embeddings")
     return negatives.mine(spark, vectors, scratch_path(spark, "negatives"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict, against references from all documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = quality.judge(docs.select("doc_id", "text"), quality.fit(docs))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
