@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import ann, fingerprints, html, langid, lm, mixing, neardup, negatives, packing, quality, urls, warc
+from hitloom.llm import alignment, ann, fingerprints, html, langid, lm, mixing, neardup, negatives, packing, quality, urls, warc
 from hitloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 
 # The URL rules of the query, longest wins.
@@ -98,10 +99,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 @query
@@ -147,6 +148,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(spark, vectors, scratch_path(spark, "negatives"), F.col("vec_id") % 100 == 0, label=moved)
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by both tokenizers, aligned, and the counts of the id pairs that it links."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.overlaps(spark, docs, scratch_path(spark, "alignment"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 @query
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict, against references from all documents."""
