@@ -42,15 +42,14 @@ class Tokenizers:
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
         size = self.second.get_piece_size()
         self.second_bytes = [self._piece(i) for i in range(size)]
-        self.first_bytes = [self._token(i) for i in range(self.first.n_vocab)]
-        self.first_sizes = np.array([len(b) for b in self.first_bytes])
+        self.first_sizes = np.array([self._size(i) for i in range(self.first.n_vocab)])
         self.second_sizes = np.array([len(b) for b in self.second_bytes])
 
-    def _token(self, number: int) -> bytes:
+    def _size(self, number: int) -> int:
         try:
-            return self.first.decode_single_token_bytes(number)
+            return len(self.first.decode_single_token_bytes(number))
         except KeyError:
-            return b""
+            return 0
 
     def _piece(self, number: int) -> bytes:
         piece = self.second.id_to_piece(number)
@@ -62,14 +61,14 @@ class Tokenizers:
         """Ids of both for each text; None for a text that either doesn't give back."""
         for text, second in zip(texts, self.second.encode(texts, num_threads=1)):
             whole = " " + text
-            first = self.first.encode_to_numpy(whole, disallowed_special=()).astype(np.int64)
+            first = self.first.encode_to_numpy(whole, disallowed_special=())
             data = whole.encode()
             if not text or b"".join([self.second_bytes[i] for i in second]) != data:
                 yield None
-            elif b"".join([self.first_bytes[i] for i in first.tolist()]) != data:
+            elif self.first.decode_bytes(first.tolist()) != data:
                 yield None
             else:
-                yield first, np.array(second, dtype=np.int64)
+                yield first.astype(np.int64), np.array(second, dtype=np.int64)
 
 
 @cache
@@ -80,35 +79,37 @@ def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
 @dataclass
 class Alignment:
     """``runs``: (first A token, first B token, length) of one-to-one stretches; ``groups``: (A start, A end, B start, B end) of all
-    others; ``links``: (A token, B token) of those, for each overlap. All in order, by place."""
+    others. Both in order, by place."""
 
     runs: list[tuple[int, int, int]]
     groups: list[tuple[int, int, int, int]]
-    links: list[tuple[int, int]]
 
 
 def align(first: list[int], second: list[int]) -> Alignment:
-    """Groups and overlaps of two lists of ends, which ascend and have the last end in common."""
-    found = Alignment([], [], [])
+    """Groups of two lists of ends, which ascend and have the last end in common."""
+    found = Alignment([], [])
     i = j = 0
+    a, b = (first[0], second[0]) if first else (0, 0)
     while i < len(first):
-        if first[i] == second[j]:
+        if a == b:
             length = _run(first, second, i, j)
             found.runs.append((i, j, length))
             i += length
             j += length
-            continue
-        start = i, j
-        while first[i] != second[j]:
-            found.links.append((i, j))
-            if first[i] < second[j]:
-                i += 1
-            else:
-                j += 1
-        found.links.append((i, j))
-        i += 1
-        j += 1
-        found.groups.append((start[0], i, start[1], j))
+        else:
+            start, other = i, j
+            while a != b:
+                if a < b:
+                    i += 1
+                    a = first[i]
+                else:
+                    j += 1
+                    b = second[j]
+            i += 1
+            j += 1
+            found.groups.append((start, i, other, j))
+        if i < len(first):
+            a, b = first[i], second[j]
     return found
 
 
@@ -132,24 +133,46 @@ def _run(first: list[int], second: list[int], i: int, j: int) -> int:
     return equal
 
 
-def all_links(found: Alignment) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the A and B tokens of all overlaps, runs first."""
+def last_of_groups(found: Alignment, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which A tokens and B tokens are the last of their group."""
     runs = np.array(found.runs, dtype=np.int64).reshape(-1, 3)
+    groups = np.array(found.groups, dtype=np.int64).reshape(-1, 4)
     lengths = runs[:, 2]
     inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    links = np.array(found.links, dtype=np.int64).reshape(-1, 2)
-    return (
-        np.concatenate([np.repeat(runs[:, 0], lengths) + inside, links[:, 0]]),
-        np.concatenate([np.repeat(runs[:, 1], lengths) + inside, links[:, 1]]),
-    )
+    marks = np.zeros(n_a, dtype=bool), np.zeros(n_b, dtype=bool)
+    for side, mark in enumerate(marks):
+        mark[np.repeat(runs[:, side], lengths) + inside] = True
+        mark[groups[:, 2 * side + 1] - 1] = True
+    return marks
+
+
+def all_links(first: np.ndarray, second: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the A and B tokens of all overlaps, from their ends and the last B tokens of groups: each A token with the B token
+    that its first byte is in, and each B token that doesn't start a group with the A token that its first byte is in."""
+    starts = np.concatenate([[0], first[:-1]]) if len(first) else first
+    at = np.searchsorted(second, starts, side="right")
+    inner = np.flatnonzero(~last[:-1]) + 1
+    over = np.searchsorted(first, second[inner - 1], side="right")
+    return np.concatenate([np.arange(len(first)), over]), np.concatenate([at, inner])
+
+
+@cache
+def _numerals(size: int, inside: str, end: str) -> np.ndarray:
+    """Of each id, its decimal digits with the mark that stands inside a group, and behind it with that at the end."""
+    return np.array([f"{i}{mark}".encode() for i in range(size) for mark in (inside, end)], dtype=object)
 
 
-def groups_text(found: Alignment, first: list[int], second: list[int]) -> str:
+def groups_text(first: np.ndarray, second: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> bytes:
     """``a1,a2|b1;a3|b2``: the ids of each group in order."""
-    a, b = list(map(str, first)), list(map(str, second))
-    parts = [(i, ";".join(map("|".join, zip(a[i : i + n], b[j : j + n])))) for i, j, n in found.runs]
-    parts += [(i, ",".join(a[i:k]) + "|" + ",".join(b[j:m])) for i, k, j, m in found.groups]
-    return ";".join(part for _, part in sorted(parts))
+    if not len(first):
+        return b""
+    group = [np.cumsum(mark) - mark for mark in last]
+    a_ends, b_ends = (np.flatnonzero(mark) + 1 for mark in last)
+    text = np.empty(len(first) + len(second), dtype=object)
+    sizes = [1 << int(ids.max()).bit_length() for ids in (first, second)]
+    text[np.arange(len(first)) + np.concatenate([[0], b_ends])[group[0]]] = _numerals(sizes[0], ",", "|")[2 * first + last[0]]
+    text[np.arange(len(second)) + a_ends[group[1]]] = _numerals(sizes[1], ",", ";")[2 * second + last[1]]
+    return b"".join(text.tolist())[:-1]
 
 
 class _Block:
@@ -220,12 +243,12 @@ def _aligned(byte_level: str, pieces: str):
 
 
 def _document(both: Tokenizers, doc_id: int, first: np.ndarray, second: np.ndarray) -> tuple:
-    found = align(both.first_sizes[first].cumsum().tolist(), both.second_sizes[second].cumsum().tolist())
-    a, b = all_links(found)
+    ends = both.first_sizes[first].cumsum(), both.second_sizes[second].cumsum()
+    last = last_of_groups(align(ends[0].tolist(), ends[1].tolist()), len(first), len(second))
+    a, b = all_links(*ends, last[1])
     pairs, times = np.unique(first[a] << 32 | second[b], return_counts=True)
-    digest = hashlib.sha256(groups_text(found, first.tolist(), second.tolist()).encode()).hexdigest()
-    groups = sum(n for _, _, n in found.runs) + len(found.groups)
-    return (doc_id, len(first), len(second), groups, len(a), digest), pairs, times
+    digest = hashlib.sha256(groups_text(first, second, last)).hexdigest()
+    return (doc_id, len(first), len(second), int(last[0].sum()), len(a), digest), pairs, times
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

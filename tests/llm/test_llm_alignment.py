@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,7 +33,8 @@ def check_align(first, second):
     mine = [([i + k], [j + k]) for i, j, n in found.runs for k in range(n)]
     mine += [(list(range(i, k)), list(range(j, m))) for i, k, j, m in found.groups]
     assert sorted(mine) == groups
-    a, b = alignment.all_links(found)
+    last = alignment.last_of_groups(found, len(first), len(second))
+    a, b = alignment.all_links(np.array(first), np.array(second), last[1])
     assert len(a) == len(links) and set(zip(a.tolist(), b.tolist())) == links
     return found
 
