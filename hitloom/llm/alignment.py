@@ -81,19 +81,21 @@ class Alignment:
     """``runs``: (first A token, first B token, length) of one-to-one stretches; ``groups``: (A start, A end, B start, B end) of all
     others. Both in order, by place."""
 
-    runs: list[tuple[int, int, int]]
-    groups: list[tuple[int, int, int, int]]
+    runs: np.ndarray
+    groups: np.ndarray
 
 
 def align(first: list[int], second: list[int]) -> Alignment:
     """Groups of two lists of ends, which ascend and have the last end in common."""
-    found = Alignment([], [])
+    runs: list[int] = []
+    groups: list[int] = []
     i = j = 0
-    a, b = (first[0], second[0]) if first else (0, 0)
-    while i < len(first):
+    n = len(first)
+    while i < n:
+        a, b = first[i], second[j]
         if a == b:
             length = _run(first, second, i, j)
-            found.runs.append((i, j, length))
+            runs += (i, j, length)
             i += length
             j += length
         else:
@@ -107,36 +109,40 @@ def align(first: list[int], second: list[int]) -> Alignment:
                     b = second[j]
             i += 1
             j += 1
-            found.groups.append((start, i, other, j))
-        if i < len(first):
-            a, b = first[i], second[j]
-    return found
+            groups += (start, i, other, j)
+    return Alignment(np.array(runs, dtype=np.int64).reshape(-1, 3), np.array(groups, dtype=np.int64).reshape(-1, 4))
+
+
+# The first slice that is compared, and the longest in which a difference is looked for end by end.
+_PROBE = 4
+_NEAR = 16
 
 
 def _run(first: list[int], second: list[int], i: int, j: int) -> int:
     """How many ends from ``i`` and ``j`` on are equal, the first being so."""
-    equal, step = 1, 1
-    most = min(len(first) - i, len(second) - j)
-    while equal < most:
-        # A slice never reaches past the shorter array.
-        step = min(step, most - equal)
-        a, b = i + equal, j + equal
+    a, b, step = i + 1, j + 1, _PROBE
+    most = min(len(first) - i, len(second) - j) + i
+    # A slice that reaches past the shorter array differs unless both end there.
+    while a < most and first[a : a + step] == second[b : b + step]:
+        a += step
+        b += step
+        step *= 2
+    if a >= most:
+        return most - i
+    while step > _NEAR:
+        step //= 2
         if first[a : a + step] == second[b : b + step]:
-            equal += step
-            step *= 2
-        elif step == 1:
-            break
-        else:
-            # The first difference lies inside: look for it in ever smaller halves.
-            most = equal + step - 1
-            step = max(1, step // 2)
-    return equal
+            a += step
+            b += step
+    while a < most and first[a] == second[b]:
+        a += 1
+        b += 1
+    return a - i
 
 
 def last_of_groups(found: Alignment, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
     """Which A tokens and B tokens are the last of their group."""
-    runs = np.array(found.runs, dtype=np.int64).reshape(-1, 3)
-    groups = np.array(found.groups, dtype=np.int64).reshape(-1, 4)
+    runs, groups = found.runs, found.groups
     lengths = runs[:, 2]
     inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     marks = np.zeros(n_a, dtype=bool), np.zeros(n_b, dtype=bool)
@@ -158,8 +164,10 @@ def all_links(first: np.ndarray, second: np.ndarray, last: np.ndarray) -> tuple[
 
 @cache
 def _numerals(size: int, inside: str, end: str) -> np.ndarray:
-    """Of each id, its decimal digits with the mark that stands inside a group, and behind it with that at the end."""
-    return np.array([f"{i}{mark}".encode() for i in range(size) for mark in (inside, end)], dtype=object)
+    """Of each id, its decimal digits with the mark that stands inside a group, and behind it with that at the end; zeros fill up."""
+    width = len(str(size)) + 1
+    rows = [f"{i}{mark}".encode().rjust(width, b"\0") for i in range(size) for mark in (inside, end)]
+    return np.frombuffer(b"".join(rows), dtype=f"S{width}")
 
 
 def groups_text(first: np.ndarray, second: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> bytes:
@@ -168,11 +176,13 @@ def groups_text(first: np.ndarray, second: np.ndarray, last: tuple[np.ndarray, n
         return b""
     group = [np.cumsum(mark) - mark for mark in last]
     a_ends, b_ends = (np.flatnonzero(mark) + 1 for mark in last)
-    text = np.empty(len(first) + len(second), dtype=object)
-    sizes = [1 << int(ids.max()).bit_length() for ids in (first, second)]
-    text[np.arange(len(first)) + np.concatenate([[0], b_ends])[group[0]]] = _numerals(sizes[0], ",", "|")[2 * first + last[0]]
-    text[np.arange(len(second)) + a_ends[group[1]]] = _numerals(sizes[1], ",", ";")[2 * second + last[1]]
-    return b"".join(text.tolist())[:-1]
+    size = 1 << max(int(first.max()), int(second.max())).bit_length()
+    tables = _numerals(size, ",", "|"), _numerals(size, ",", ";")
+    text = np.empty(len(first) + len(second), dtype=tables[0].dtype)
+    text[np.arange(len(first)) + np.concatenate([[0], b_ends])[group[0]]] = tables[0][2 * first + last[0]]
+    text[np.arange(len(second)) + a_ends[group[1]]] = tables[1][2 * second + last[1]]
+    data = text.view(np.uint8)
+    return data[data != 0].tobytes()[:-1]
 
 
 class _Block:
