@@ -105,3 +105,71 @@ def with_cidr_parts(df: DataFrame, cidr: str = "cidr") -> DataFrame:
     usable = F.col("len").between(0, F.col("family"))
     net_bits = F.when(usable, F.substring(F.col("_bits"), F.lit(1), F.col("len")))
     return parts.select("*", net_bits.alias("net_bits")).drop("_bits")
+
+
+def point_of(bits: Column) -> Column:
+    """An address's bits as a value of an order in which ranges are half-open intervals: one more bit in front leaves
+    room for the end of a range that holds the last address."""
+    return F.concat(F.lit("0"), bits)
+
+
+def _filled(net_bits: Column, size: Column, bit: str) -> Column:
+    return F.rpad(net_bits, size, F.lit(bit))
+
+
+def interval_of(net_bits: Column, size: Column) -> tuple[Column, Column]:
+    """The first point of a range, and the first behind it. ``size`` is that of the family."""
+    ones = F.rtrim(F.concat(F.lit("0"), _filled(net_bits, size, "1")), F.lit("1"))
+    kept = F.length(ones) - 1
+    end = F.rpad(F.concat(F.substring(ones, F.lit(1), kept), F.lit("1")), size + 1, F.lit("0"))
+    return point_of(_filled(net_bits, size, "0")), end
+
+
+def blocks_of(low: Column, end: Column, size: Column) -> Column:
+    """The fewest prefixes that make up an interval of points, as an array of bit strings.
+
+    Below the prefix that its first and last address share, the first address's side needs a prefix for itself and one for each 0 in
+    it, turned to 1; the last address's side one for itself and one for each 1, turned to 0.
+    """
+    first = F.substring(low, F.lit(2), size)
+    ones = F.rtrim(end, F.lit("0"))
+    last = F.concat(F.substring(ones, F.lit(1), F.length(ones) - 1), F.lit("0"))
+    last = F.substring(F.rpad(last, size + 1, F.lit("1")), F.lit(2), size)
+    sides = F.array(F.struct(first.alias("first"), last.alias("last"), size.alias("size")))
+
+    def split(pair: Column) -> Column:
+        differs = F.zip_with(F.split(pair["first"], ""), F.split(pair["last"], ""), lambda a, b: a != b)
+        at = F.array_position(differs, True).cast("int")
+        return F.struct(pair["first"].alias("first"), pair["last"].alias("last"), pair["size"].alias("size"), at.alias("at"))
+
+    def side(text: Column, at: Column, trimmed: str, other: str) -> Column:
+        short = F.rtrim(text, F.lit(trimmed))
+        own = F.substring(text, F.lit(1), F.greatest(F.length(short), at))
+        behind = F.filter(
+            F.sequence(at, F.length(own)), lambda i: (i > at) & (F.substring(own, i, F.lit(1)) == trimmed)
+        )
+        return F.concat(F.array(own), F.transform(behind, lambda i: F.concat(F.substring(own, F.lit(1), i - 1), F.lit(other))))
+
+    def blocks(pair: Column) -> Column:
+        at = pair["at"]
+        shared = F.substring(pair["first"], F.lit(1), F.greatest(at - 1, F.lit(0)))
+        whole = (_filled(shared, pair["size"], "0") == pair["first"]) & (_filled(shared, pair["size"], "1") == pair["last"])
+        return (
+            F.when(at == 0, F.array(pair["first"]))
+            .when(whole, F.array(shared))
+            .otherwise(F.concat(side(pair["first"], at, "0", "1"), side(pair["last"], at, "1", "0")))
+        )
+
+    return F.flatten(F.transform(F.transform(sides, split), blocks))
+
+
+def cidr_text(net_bits: Column, size: Column) -> Column:
+    """``addr/len`` of a prefix; IPv6 as eight groups without leading zeros."""
+    whole = _filled(net_bits, size, "0")
+
+    def parts(n: int, width: int, base: int, mark: str) -> Column:
+        places = F.array(*[F.lit(1 + i * width) for i in range(n)])
+        return F.array_join(F.transform(places, lambda at: F.lower(F.conv(F.substring(whole, at, F.lit(width)), 2, base))), mark)
+
+    text = F.when(size == IPV4, parts(4, 8, 10, ".")).otherwise(parts(8, 16, 16, ":"))
+    return F.concat(text, F.lit("/"), F.length(net_bits).cast("string"))

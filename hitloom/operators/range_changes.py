@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitloom.functions.addresses import blocks_of, cidr_text, interval_of, with_cidr_parts
+from hitloom.operators.intervals import merge_intervals
 from hitloom.operators.neighbors import with_neighbor
 
 
@@ -73,3 +77,20 @@ def snapshot_differences(snapshots: DataFrame, path: str) -> DataFrame:
         marked(F.array_except("_ranges", earlier), "added"), marked(F.array_except(earlier, F.col("_ranges")), "removed")
     )
     return known.select("source", "fetched_at", F.inline(changes))
+
+
+def minimal_cover(ranges: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """``keys``, ``family``, ``len``, ``net_bits``, ``cidr``: for each of ``keys``, the fewest ranges with the same addresses.
+
+    Ranges inside others go, and siblings become their parent, at all levels at once: ranges are merged to disjoint
+    intervals, each of which falls into its fewest prefixes. Invalid ranges count for nothing, and a NULL key is a key like others. ``path``
+    takes tables.
+    """
+    named = ranges.select(*[F.col(f"`{k}`") for k in keys], F.col("cidr").alias("_cidr"))
+    parts = with_cidr_parts(named, "_cidr").filter("net_bits is not null")
+    low, end = interval_of(F.col("net_bits"), F.col("family"))
+    merged = merge_intervals(parts.select(*keys, "family", low.alias("low"), end.alias("end")), [*keys, "family"], path)
+    blocks = merged.select(*keys, "family", F.explode(blocks_of(F.col("low"), F.col("end"), F.col("family"))).alias("net_bits"))
+    return blocks.select(
+        *keys, "family", F.length("net_bits").alias("len"), "net_bits", cidr_text(F.col("net_bits"), F.col("family")).alias("cidr")
+    )

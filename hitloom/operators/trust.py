@@ -1,10 +1,10 @@
 """Which requests come from trusted address ranges.
 
-Range membership is equality of bit prefixes, so nothing here compares every address with every
-range. The caller chooses between two ways. Short lists become hash sets inside the filter itself: rows, of a stream too, are
-labelled where they are read, without a shuffle; a list that is too long is refused. With a folder for a table, lists of any
-length are joined with the distinct addresses of a batch, and their labels are looked up in a way that hot addresses
-cannot skew.
+Nothing here compares every address with every range. The caller chooses between two ways. Short lists become hash sets of
+bit prefixes inside the filter itself: rows, of a stream too, are labelled where they are read, without a shuffle; a list that is
+too long is refused. With a folder for tables, lists of any length are merged to disjoint intervals, and the distinct addresses
+of a batch are passed along them in order, so that a range with most of the addresses is spread like any other; labels are looked up in a way
+that hot addresses cannot skew. Trust can also be asked as of the time of a request.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.functions.addresses import IPV4, IPV6, family, with_address_bits, with_cidr_parts
+from hitloom.functions.addresses import IPV4, IPV6, family, interval_of, point_of, with_address_bits, with_cidr_parts
+from hitloom.operators.intervals import merge_intervals, points_inside
 from hitloom.operators.lookups import skew_proof_lookup
+from hitloom.operators.neighbors import with_neighbor
 
 # Proxy networks publish tens to a few thousand ranges. A list beyond this size must be joined.
 INLINE_LIMIT = 5_000
@@ -57,18 +59,14 @@ def _in_sets(bits: Column, sets: dict[tuple[int, int], list[str]]) -> Column:
     )
 
 
-def label_addresses(addresses: DataFrame, known: DataFrame, address: str = "address") -> DataFrame:
-    """Append ``trusted``, true or NULL, to ``addresses``, which has one row per address.
-
-    Each address is expanded by the prefix lengths in use, at most 33 or 129, and equi-joined.
-    """
-    lengths = known.select("family", "len").distinct()
+def label_addresses(addresses: DataFrame, known: DataFrame, path: str, address: str = "address") -> DataFrame:
+    """Append ``trusted``, true or NULL, to ``addresses``, which has one row per address. ``path`` takes tables."""
+    low, end = interval_of(F.col("net_bits"), F.col("family"))
+    ranges = known.select("family", low.alias("low"), end.alias("end"))
+    merged = merge_intervals(ranges, ["family"], f"{path}/ranges")
     valid = with_address_bits(addresses.select(address), address).filter(F.col("bits").isNotNull())
-    expanded = valid.withColumn("family", F.length("bits")).join(F.broadcast(lengths), "family")
-    prefixed = expanded.select(
-        address, "family", "len", F.substring(F.col("bits"), F.lit(1), F.col("len")).alias("net_bits")
-    )
-    inside = prefixed.join(known, ["family", "len", "net_bits"], "left_semi").select(address).distinct()
+    points = valid.select(address, F.length("bits").alias("family"), point_of(F.col("bits")).alias("_point"))
+    inside = points_inside(points, merged, ["family"], "_point", f"{path}/points").select(address)
     return addresses.join(inside.withColumn("trusted", F.lit(True)), address, "left")
 
 
@@ -80,7 +78,7 @@ def label_trusted(
 ) -> DataFrame:
     """Append ``trusted BOOLEAN``. An invalid, empty or NULL address is untrusted; every row is kept.
 
-    Without ``folder`` the list must be short. With one, which all executors share, the labels of the addresses are stored there.
+    Without ``folder`` the list must be short. With one, which all executors share, ordered addresses and their labels are stored there.
     """
     known = prefixes(ranges)
     if folder is None:
@@ -93,8 +91,8 @@ def label_trusted(
     # worked out again for the parts of the lookup. Hot addresses are known from their counts.
     counted = requests.groupBy(F.col(address).alias("address")).agg(F.count(F.lit(1)).alias("_n"))
     spark = requests.sparkSession
-    label_addresses(counted, known).write.parquet(folder)
-    labels = spark.read.parquet(folder).filter(F.col("address").isNotNull())
+    label_addresses(counted, known, folder).write.parquet(f"{folder}/labels")
+    labels = spark.read.parquet(f"{folder}/labels").filter(F.col("address").isNotNull())
     labelled = skew_proof_lookup(
         requests, address, labels, "address", "trusted", "_n", "trusted", requests.columns
     )
@@ -118,19 +116,19 @@ def block_counters(
     ranges: DataFrame,
     address: str = "remote_ip",
     size: str = "bytes",
-    join: bool = False,
+    folder: str | None = None,
 ) -> DataFrame:
     """``family, requests, bytes`` over untrusted rows, those without an address included.
 
     Only sums are wanted, so rows are summed per address first: the label is worked out once per
-    address, and no row is shuffled for it. ``join`` is for lists of any length.
+    address, and no row is shuffled for it. With ``folder``, as above, for lists of any length.
     """
     per_address = requests.groupBy(F.col(address).alias("address")).agg(
         F.count(F.lit(1)).alias("_requests"), F.sum(size).alias("_bytes")
     )
     known = prefixes(ranges)
-    if join:
-        labelled = label_addresses(per_address, known)
+    if folder is not None:
+        labelled = label_addresses(per_address, known, folder)
     else:
         sets = _inline_sets(known)
         with_bits = with_address_bits(per_address, "address", "_address_bits")
@@ -152,3 +150,50 @@ def restore_addresses(
     labelled = label_trusted(proxied, ranges, peer, folder)
     restored = F.when(F.col("trusted") & (F.coalesce(header, F.lit("")) != ""), F.col(header))
     return labelled.select(*proxied.columns, F.coalesce(restored, F.col(peer)).alias("remote_ip"))
+
+
+def label_trusted_then(
+    requests: DataFrame,
+    snapshots: DataFrame,
+    path: str,
+    address: str = "remote_ip",
+    moment: str = "ts",
+    source: str = "source",
+) -> DataFrame:
+    """Append ``trusted BOOLEAN``: was the address in the ranges that the request's source had published last at that time?
+
+    A snapshot holds from its time until the next of its source; of one time, all count together, and one with empty lists trusts nobody.
+    Snapshots without a time never hold. Requests before the first snapshot, without a time or a valid address are untrusted. A NULL source is a source like others.
+    Each prefix gets the stretches of time in which it was listed, merged; a request is looked up among those of its own prefixes, one for each
+    length in use, in order of time, so that a hot source or prefix is spread. ``path``, shared by all executors, takes tables.
+    """
+    spark = requests.sparkSession
+    timed = snapshots.filter(F.col("fetched_at").isNotNull())
+    moments = timed.groupBy("source", "fetched_at").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.concat("ipv4_cidrs", "ipv6_cidrs")))).alias("_cidrs")
+    )
+    followed = with_neighbor(moments, "source", "fetched_at", "fetched_at", "_until", f"{path}/snapshots", following=True)
+    kind = timed.schema["fetched_at"].dataType.simpleString()
+    until = F.coalesce("_until", F.lit("9999-12-31 23:59:59").cast(kind))
+    listed = followed.select("source", F.col("fetched_at").alias("low"), until.alias("end"), F.explode("_cidrs").alias("cidr"))
+    known = with_cidr_parts(listed).filter("net_bits is not null").select("source", "family", "net_bits", "low", "end")
+    merge_intervals(known, ["source", "family", "net_bits"], f"{path}/times").write.parquet(f"{path}/listed")
+    held = spark.read.parquet(f"{path}/listed")
+    # At most 33 and 129 rows.
+    lengths = held.select("family", F.length("net_bits").alias("_len")).distinct()
+
+    asked = requests.select(F.col(f"`{source}`").alias("source"), F.col(f"`{address}`").alias("_address"), F.col(f"`{moment}`").cast(kind).alias("_at"))
+    asked = asked.filter("_address is not null and _at is not null").distinct()
+    valid = with_address_bits(asked, "_address").filter("bits is not null").withColumn("family", F.length("bits"))
+    prefixed = valid.join(F.broadcast(lengths), "family").select(
+        "source", "family", F.substring(F.col("bits"), F.lit(1), F.col("_len")).alias("net_bits"), "_address", "_at"
+    )
+    inside = points_inside(prefixed, held, ["source", "family", "net_bits"], "_at", f"{path}/requests")
+    inside = inside.select(F.col("source").alias("_source"), F.col("_address").alias("_ip"), F.col("_at").alias("_then")).distinct()
+    same = (
+        F.col(f"`{source}`").eqNullSafe(F.col("_source"))
+        & (F.col(f"`{address}`") == F.col("_ip"))
+        & (F.col(f"`{moment}`").cast(kind) == F.col("_then"))
+    )
+    labelled = requests.join(inside.withColumn("_found", F.lit(True)), same, "left")
+    return labelled.select(*[F.col(f"`{c}`") for c in requests.columns], F.coalesce("_found", F.lit(False)).alias("trusted"))

@@ -122,6 +122,16 @@ PROXIED = {
     "header_ip": "CASE WHEN line_no % 11 = 0 THEN '' ELSE '203.0.113.' || (line_no % 256) END",
 }
 
+# The same responses, spread over the time of the log.
+LOG_SNAPSHOT = {**SNAPSHOT, "fetched_at": "CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE {log_time} END"}
+
+# The network that a request came through: a source of snapshots, some unknown.
+THROUGH = """CASE WHEN line_no % 61 = 0 THEN NULL WHEN line_no % 3 = 0 THEN 'edge-main'
+    ELSE 'edge-' || (line_no % 45) END"""
+
+# Ranges that hold a large part of all addresses, to be added to the long list.
+SHORT_PREFIXES = ("10.0.0.0/15", "0.0.0.0/5", "2400::/8")
+
 # The short list; the second range lies inside the first.
 TRUSTED = ("10.0.0.0/15", "10.1.0.0/16", "2400:cb00::/32")
 
@@ -130,12 +140,14 @@ SPARK_WORDS = {
     "{old_date}": "date_format(ts, 'dd-MMM-yyyy:HH:mm:ss')",
     "{text}": "STRING",
     "{order_time}": "timestampadd(MICROSECOND, o_orderkey, CAST(o_orderdate AS TIMESTAMP_NTZ))",
+    "{log_time}": "timestampadd(SECOND, o_orderkey * 7919 % 2592000, TIMESTAMP_NTZ '2024-01-01 00:00:00')",
 }
 DUCKDB_WORDS = {
     "{log_date}": "strftime(ts, '%d/%b/%Y:%H:%M:%S')",
     "{old_date}": "strftime(ts, '%d-%b-%Y:%H:%M:%S')",
     "{text}": "VARCHAR",
     "{order_time}": "o_orderdate + to_microseconds(o_orderkey)",
+    "{log_time}": "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(o_orderkey * 7919 % 2592000)",
 }
 
 
@@ -181,8 +193,8 @@ def proxied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(requests(spark, sf_dir), PROXIED)
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(_table(spark, sf_dir, "orders", "o_orderkey"), SNAPSHOT)
+def responses(spark: SparkSession, sf_dir: str, columns: dict[str, str] = SNAPSHOT) -> DataFrame:
+    return _derive(_table(spark, sf_dir, "orders", "o_orderkey"), columns)
 
 
 def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,5 +209,10 @@ def new_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(_table(spark, sf_dir, "supplier", "s_suppkey"), NEW_RANGE)
 
 
+def ranges_with_short_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = spark.createDataFrame([("wide", cidr) for cidr in SHORT_PREFIXES], "source string, cidr string")
+    return supplier_ranges(spark, sf_dir).unionByName(short)
+
+
 def trusted_ranges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(cidr,) for cidr in TRUSTED], "cidr string")

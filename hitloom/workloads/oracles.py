@@ -129,7 +129,11 @@ MIGRATED = (_lines(), _LEGACY, _MIGRATED)
 
 # Trusted ranges
 
-_API = f"""responses AS ({inputs.duckdb_select(inputs.SNAPSHOT, 'orders')}),
+def _api(columns: dict[str, str]) -> str:
+    return f"responses AS ({inputs.duckdb_select(columns, 'orders')}),{_VALID}"
+
+
+_VALID = """
     valid AS (
         SELECT source, fetched_at, body->>'$.result.etag' AS etag, body FROM (
             SELECT source, fetched_at, try_cast(body AS JSON) AS body FROM responses)
@@ -141,6 +145,7 @@ _API = f"""responses AS ({inputs.duckdb_select(inputs.SNAPSHOT, 'orders')}),
         UNION ALL
         SELECT source, fetched_at, etag, 128 AS family,
             unnest(CAST(body->'$.result.ipv6_cidrs' AS VARCHAR[])) AS cidr FROM valid)"""
+_API = _api(inputs.SNAPSHOT)
 
 # The generated IPv6 ranges have two groups and then zeros.
 _NET_BITS = """CASE WHEN family = 32 THEN
@@ -346,6 +351,61 @@ ORACLES: dict[str, str] = {
                 + (SELECT count(*) FROM migrated WHERE non_default = '')""",
     ),
 }
+
+# A prefix belongs to the cover if ranges fill it and don't fill its parent. Each range counts as its share of the prefix.
+ORACLES["cidr_cover"] = _with(
+    _API,
+    f"""nets AS (
+        SELECT DISTINCT source, family, {_NET_BITS} AS net_bits FROM (
+            SELECT source, family, split_part(cidr, '/', 1) AS addr, CAST(split_part(cidr, '/', 2) AS INTEGER) AS len FROM ranges)),
+    outer_nets AS (
+        SELECT * FROM nets n WHERE NOT EXISTS (SELECT 1 FROM nets o WHERE o.source IS NOT DISTINCT FROM n.source
+            AND o.family = n.family AND length(o.net_bits) < length(n.net_bits) AND starts_with(n.net_bits, o.net_bits))),
+    filled AS (
+        SELECT source, family, prefix AS net_bits FROM (
+            SELECT *, left(net_bits, len) AS prefix, len - length(net_bits) AS share
+            FROM (SELECT *, unnest(range(length(net_bits) + 1)) AS len FROM outer_nets))
+        GROUP BY source, family, prefix HAVING sum(pow(2, share)) = 1),
+    cover AS (
+        SELECT * FROM filled f WHERE NOT EXISTS (SELECT 1 FROM filled p WHERE p.source IS NOT DISTINCT FROM f.source
+            AND p.family = f.family AND p.net_bits = left(f.net_bits, greatest(length(f.net_bits) - 1, 0))
+            AND length(f.net_bits) > 0))""",
+    select="""SELECT source, family, CAST(length(net_bits) AS INTEGER) AS len, net_bits,
+        CASE WHEN family = 32 THEN array_to_string(list_transform(range(4),
+                lambda i: CAST(CAST(substr(rpad(net_bits, 32, '0'), CAST(8 * i + 1 AS INTEGER), 8) AS BIT) AS INTEGER)), '.')
+            ELSE array_to_string(list_transform(range(8),
+                lambda i: printf('%x', CAST(CAST(substr(rpad(net_bits, 128, '0'), CAST(16 * i + 1 AS INTEGER), 16) AS BIT) AS INTEGER))), ':')
+            END || '/' || length(net_bits) AS cidr FROM cover""",
+)
+ORACLES["trust_label_short_prefixes"] = _with(
+    *LOG,
+    _GOOD,
+    f"""long_list AS (
+        SELECT DISTINCT {_ADDRESS.format(ip="split_part(cidr, '/', 1)")} AS low,
+            CAST(pow(2, 32 - CAST(split_part(cidr, '/', 2) AS INTEGER)) AS BIGINT) AS size
+        FROM (SELECT cidr FROM ({inputs.duckdb_select(inputs.SUPPLIER_RANGE, 'supplier')})
+            UNION ALL SELECT unnest({[c for c in inputs.SHORT_PREFIXES if ":" not in c]})))""",
+    _labelled("long_list", "24"),
+    select="SELECT line_no, remote_ip, bytes, trusted FROM labelled",
+)
+# The log's IPv6 addresses have nothing in common with a range but its first two groups.
+ORACLES["trust_as_of"] = _with(
+    *LOG,
+    _api(inputs.LOG_SNAPSHOT),
+    f"""asked AS (
+        SELECT line_no, remote_ip, ts, {inputs.THROUGH} AS source, {_ADDRESS.format(ip="remote_ip")} AS address FROM parsed),
+    moments AS (SELECT DISTINCT source, fetched_at FROM valid WHERE fetched_at IS NOT NULL),
+    latest AS (
+        SELECT a.line_no, max(m.fetched_at) AS fetched_at FROM asked a
+        JOIN moments m ON m.source IS NOT DISTINCT FROM a.source AND m.fetched_at <= a.ts GROUP BY a.line_no),
+    hits AS (
+        SELECT DISTINCT a.line_no FROM asked a JOIN latest l USING (line_no)
+        JOIN ranges r ON r.source IS NOT DISTINCT FROM a.source AND r.fetched_at = l.fetched_at
+        WHERE CASE WHEN r.family = 128 THEN starts_with(a.remote_ip, replace(r.cidr, ':/32', ''))
+            ELSE a.address // CAST(pow(2, 32 - CAST(split_part(r.cidr, '/', 2) AS INTEGER)) AS BIGINT)
+                = {_ADDRESS.format(ip="split_part(r.cidr, '/', 1)")} // CAST(pow(2, 32 - CAST(split_part(r.cidr, '/', 2) AS INTEGER)) AS BIGINT) END)""",
+    select="SELECT line_no, remote_ip, ts, source, line_no IN (SELECT line_no FROM hits) AS trusted FROM asked",
+)
 ORACLES["report_stored"] = ORACLES["report_compacted"] = ORACLES["report_ranked"]
 ORACLES["star_roundtrip_shuffled"] = ORACLES["star_roundtrip"]
 ORACLES["resume_stored"] = ORACLES["resume_after"]

@@ -336,6 +336,13 @@ def etag_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_changes.etag_changes(_snapshots(spark, sf_dir), scratch_path(spark, "etags"))
 
 
+@query
+def cidr_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fewest ranges that hold all that each source has ever published."""
+    ranges = trusted_ranges.snapshot_ranges(_snapshots(spark, sf_dir)).select("source", "cidr")
+    return range_changes.minimal_cover(ranges, ["source"], scratch_path(spark, "cover"))
+
+
 # Trust
 
 
@@ -356,6 +363,22 @@ def trust_label_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.label_trusted(_requests(spark, sf_dir), ranges, folder=scratch_path(spark, "addresses"))
 
 
+@query
+def trust_label_short_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ranges that hold a large part of all addresses."""
+    ranges = inputs.ranges_with_short_prefixes(spark, sf_dir)
+    return trust.label_trusted(_requests(spark, sf_dir), ranges, folder=scratch_path(spark, "addresses"))
+
+
+@query
+def trust_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request against the ranges that its source had published last at its time."""
+    through = F.expr(inputs.THROUGH).alias("source")
+    requests = _parsed(spark, sf_dir).select("line_no", "remote_ip", "ts", through)
+    snapshots = trusted_ranges.valid_snapshots(inputs.responses(spark, sf_dir, inputs.LOG_SNAPSHOT))
+    return trust.label_trusted_then(requests, snapshots, scratch_path(spark, "then"))
+
+
 @query
 def trusted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.trusted_requests(_requests(spark, sf_dir), inputs.supplier_ranges(spark, sf_dir))

@@ -123,7 +123,7 @@ def test_labels_agree_with_brute_force(spark, tmp_path, join):
     no = trust.untrusted_requests(rows, ranges, folder=next(folders)).count()
     assert (yes, no) == (sum(wanted.values()), len(ips) - sum(wanted.values()))
     blocked = {r["family"]: (r["requests"], r["bytes"]) for r in
-               trust.block_counters(rows, ranges, join=join).collect()}
+               trust.block_counters(rows, ranges, folder=next(folders)).collect()}
     for family, is_v6 in ((32, False), (128, True)):
         mine = [i for i, ip in enumerate(ips) if not wanted[i] and (":" in (ip or "")) == is_v6]
         assert blocked[family] == (len(mine), sum(i % 7 for i in mine))
@@ -157,3 +157,69 @@ def test_files_of_ranges(spark, tmp_path):
     (landed / "r.json").write_text(body("e1\n"))
     (got,) = valid_snapshots(read_responses(spark, str(tmp_path / "api"))).collect()
     assert (got["source"], got["fetched_at"], got["ipv4_cidrs"]) == ("edge", T0, ["10.0.0.0/14"])
+
+
+def test_short_prefixes_in_a_long_list(spark, tmp_path):
+    ips = ["0.0.0.0", "255.255.255.255", "10.1.2.3", "::", "ffff::1", "2001:db8::1", "x", None]
+    rows = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "n int, remote_ip string")
+    for number, (listed, wanted) in enumerate(
+        [(["0.0.0.0/0", "10.0.0.0/8"], {0, 1, 2}), (["::/0"], {3, 4, 5}), (["128.0.0.0/1", "8000::/1"], {1, 4}), (["10.0.0.0/9", "10.128.0.0/9"], {2}), ([], set())]
+    ):
+        ranges = spark.createDataFrame([(r,) for r in listed], "cidr string")
+        got = trust.label_trusted(rows, ranges, folder=str(tmp_path / str(number))).filter("trusted").collect()
+        assert {r["n"] for r in got} == wanted
+
+
+def test_minimal_cover_by_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [("b", "0.0.0.0/1"), ("b", "128.0.0.0/1"), ("c", "2001:db8::/33"), ("c", "2001:db8:8000::/33"), ("c", "::/128"), ("c", "junk"), (None, "1.2.3.4")]
+    rows += [("e", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:fffe/127"), ("e", "255.255.255.255"), ("e", "255.255.255.254/32")]
+    for key in ("hot", "hot", "hot", "a"):
+        for _ in range(40):
+            rows.append((key, f"10.0.0.{rng.randrange(256)}/{rng.choice([32, 32, 31, 30, 28])}"))
+    df = spark.createDataFrame(rows, "source string, cidr string")
+    found = {}
+    for r in range_changes.minimal_cover(df, ["source"], str(tmp_path / "c")).collect():
+        net = ipaddress.ip_network(r["cidr"])
+        assert net.prefixlen == r["len"] == len(r["net_bits"]) and net.max_prefixlen == r["family"]
+        assert format(int(net.network_address), f"0{r['family']}b")[: r["len"]] == r["net_bits"]
+        found.setdefault(r["source"], []).append(net)
+    for key in {k for k, _ in rows}:
+        nets = [ipaddress.ip_network(c, strict=False) for k, c in rows if k == key and c != "junk"]
+        wanted = [n for version in (4, 6) for n in ipaddress.collapse_addresses(x for x in nets if x.version == version)]
+        assert sorted(map(str, found[key])) == sorted(map(str, wanted))
+
+
+def test_trust_at_the_time_of_the_request(spark, tmp_path):
+    rng = random.Random(12)
+    hour = datetime.timedelta(hours=1)
+    lists = [["10.0.0.0/14"], ["10.1.0.0/16", "2400:cb00::/32"], [], ["10.0.0.0/8"], ["10.1.1.0/24", "0.0.0.0/0"], ["bad"]]
+    snapshots = []
+    for source in ("main", "edge", None):
+        for k in range(12):
+            if rng.random() < 0.8:
+                cidrs = rng.choice(lists)
+                snapshots.append((source, T0 + k * hour, [c for c in cidrs if ":" not in c], [c for c in cidrs if ":" in c]))
+    snapshots += [("main", None, ["0.0.0.0/0"], []), snapshots[0], ("edge", snapshots[0][1], ["9.9.9.9"], [])]
+    ips = ["10.1.1.1", "10.2.1.1", "9.9.9.9", "2400:cb00::7", "junk", "", None]
+    rows = []
+    for i in range(400):
+        source = rng.choice(["main", "main", "edge", None, "other"])
+        rows.append((i, source, rng.choice(ips), rng.choice([None, T0 + rng.randrange(-3, 28) * hour / 2])))
+
+    def trusted(source, ip, at):
+        known = [t for s, t, *_ in snapshots if s == source and t is not None and at is not None and t <= at]
+        if not known:
+            return False
+        nets = [c for s, t, *lists in snapshots if s == source and t == max(known) for c in sum(lists, []) if c != "bad"]
+        try:
+            return any(ipaddress.ip_address(ip) in ipaddress.ip_network(n) for n in nets)
+        except ValueError:
+            return False
+
+    requests = spark.createDataFrame(rows, "n int, source string, remote_ip string, ts timestamp_ntz")
+    published = spark.createDataFrame(snapshots, "source string, fetched_at timestamp_ntz, ipv4_cidrs array<string>, ipv6_cidrs array<string>")
+    found = trust.label_trusted_then(requests, published, str(tmp_path / "t")).collect()
+    assert sorted((r["n"], r["trusted"]) for r in found) == [(n, trusted(*rest)) for n, *rest in rows]
+    assert 20 < sum(r["trusted"] for r in found) < 380
+    assert not any(r["trusted"] for r in trust.label_trusted_then(requests, published.limit(0), str(tmp_path / "u")).collect())
