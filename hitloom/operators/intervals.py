@@ -25,6 +25,26 @@ def _key(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("_one"))
 
 
+def _carried(ranged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How far the intervals of each key come in each range of rows; and for each range the last key before it that has
+    intervals, with how far those have come. The second is one row for each range."""
+    by_key = ranged.groupBy("_slot", "_key").agg(F.max("_end").alias("_far"))
+    with_intervals = F.when(F.col("_far").isNotNull(), F.col("_key"))
+    lasts = by_key.groupBy("_slot").agg(F.max_by(F.struct("_key", "_far"), with_intervals).alias("_last"))
+    far = F.max("_last._far").over(Window.partitionBy("_last._key").orderBy("_slot"))
+    lasts = lasts.withColumn("_last", F.when(F.col("_last").isNotNull(), F.struct("_last._key", far.alias("_far"))))
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    return by_key, lasts.select("_slot", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+
+
+def _with_reach(ranged: DataFrame, edges: DataFrame, order: Sequence[str], last: int) -> DataFrame:
+    """Append ``_reach``: how far the intervals of a row's key have come, up to the ``last`` row before or the row itself."""
+    rows = Window.partitionBy("_slot", "_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    inside = ranged.withColumn("_inside", F.max("_end").over(rows)).join(F.broadcast(edges), "_slot")
+    carried = F.when(F.col("_carry._key").eqNullSafe(F.col("_key")), F.col("_carry._far"))
+    return inside.withColumn("_reach", F.greatest("_inside", carried)).drop("_inside", "_carry")
+
+
 def merge_intervals(intervals: DataFrame, keys: Sequence[str], path: str, low: str = "low", end: str = "end") -> DataFrame:
     """``keys``, ``low``, ``end``: the fewest intervals with the same points. Nested, overlapping and touching ones become one.
 
@@ -34,25 +54,12 @@ def merge_intervals(intervals: DataFrame, keys: Sequence[str], path: str, low: s
     columns = [F.col(f"`{k}`") for k in keys]
     wanted = intervals.select(*columns, F.col(f"`{low}`").alias("_low"), F.col(f"`{end}`").alias("_end")).filter("_low < _end")
     ranged = _ranged(wanted, (*keys, "_low", "_end"), f"{path}/intervals").withColumn("_key", _key(keys))
-
-    # One row for each range of rows: its last key, and how far that key's intervals have come so far.
-    by_key = ranged.groupBy("_slot", "_key").agg(F.max("_end").alias("_far"))
-    ends = by_key.groupBy("_slot").agg(F.max_by(F.struct("_key", "_far"), "_key").alias("_last"))
-    so_far = Window.partitionBy("_last._key").orderBy("_slot")
-    ends = ends.select("_slot", F.col("_last._key").alias("_last_key"), F.max("_last._far").over(so_far).alias("_far"))
-    across = Window.orderBy("_slot")
-    edges = ends.select("_slot", F.lag("_last_key").over(across).alias("_last_key"), F.lag("_far").over(across).alias("_last_far"))
-
-    earlier = Window.partitionBy("_slot", "_key").orderBy("_low", "_end").rowsBetween(Window.unboundedPreceding, -1)
-    seen = ranged.withColumn("_inside", F.max("_end").over(earlier))
-    seen = seen.join(F.broadcast(edges), "_slot")
-    before = F.greatest("_inside", F.when(F.col("_last_key").eqNullSafe(F.col("_key")), F.col("_last_far")))
-    starts = seen.withColumn("_came", before).filter("_came is null or _low > _came")
-    # An interval ends where the one before the next start had come; behind the last start of a key, where all of it ends.
-    near = with_neighbors(starts.select(*keys, "_low", "_key", "_came"), (*keys, "_low"), ("_key", "_came"), f"{path}/starts")
+    by_key, edges = _carried(ranged)
+    starts = _with_reach(ranged, edges, ("_low", "_end"), -1).filter("_reach is null or _low > _reach")
+    # An interval ends where those before the next start had come; behind the last start of a key, where all of them end.
+    near = with_neighbors(starts.select(*keys, "_low", "_key", "_reach"), (*keys, "_low"), ("_key", "_reach"), f"{path}/starts")
     furthest = by_key.groupBy("_key").agg(F.max("_far").alias("_far")).withColumnRenamed("_key", "_of")
-    follows = F.col("after._key").eqNullSafe(F.col("_key"))
-    closed = near.withColumn("_closed", F.when(follows, F.col("after._came")))
+    closed = near.withColumn("_closed", F.when(F.col("after._key").eqNullSafe(F.col("_key")), F.col("after._reach")))
     inner = closed.filter("_closed is not null").select(*columns, "_low", "_closed")
     last = closed.filter("_closed is null").join(furthest, F.col("_key") == F.col("_of")).select(*columns, "_low", F.col("_far").alias("_closed"))
     return inner.unionByName(last).select(*columns, F.col("_low").alias(low), F.col("_closed").alias(end))
@@ -61,28 +68,18 @@ def merge_intervals(intervals: DataFrame, keys: Sequence[str], path: str, low: s
 def points_inside(
     points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, path: str, low: str = "low", end: str = "end"
 ) -> DataFrame:
-    """The rows of ``points`` whose ``point`` lies in an interval of the same ``keys``.
+    """The rows of ``points`` whose ``point`` lies in an interval of the same ``keys``: those that intervals begun before them reach beyond.
 
-    ``intervals`` must be disjoint within a key, as :func:`merge_intervals` makes them. NULL is a key value like others; a NULL
+    Intervals may overlap, be empty or lack a low or an end, which makes them count for nothing. NULL is a key value like others; a NULL
     point lies nowhere. Repeated rows stay. ``path``, shared by all executors, takes a table.
     """
     columns = [F.col(f"`{k}`") for k in keys]
     row = F.struct(*[F.col(f"`{c}`") for c in points.columns])
     asked = points.select(*columns, F.col(f"`{point}`").alias("_at"), F.lit(1).alias("_kind"), row.alias("_row")).filter("_at is not null")
-    row_type = asked.schema["_row"].dataType
     given = intervals.select(*columns, F.col(f"`{low}`").alias("_at"), F.lit(0).alias("_kind"), F.col(f"`{end}`").alias("_end"))
-    both = asked.withColumn("_end", F.lit(None).cast(given.schema["_end"].dataType)).unionByName(given.withColumn("_row", F.lit(None).cast(row_type)))
+    given = given.filter("_at < _end").withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType))
+    both = asked.withColumn("_end", F.lit(None).cast(given.schema["_end"].dataType)).unionByName(given)
     ranged = _ranged(both, (*keys, "_at", "_kind"), path).withColumn("_key", _key(keys))
-
-    opened = F.when(F.col("_kind") == 0, F.struct("_key", "_end"))
-    place = F.struct(*columns, "_at")
-    lasts = ranged.filter("_kind = 0").groupBy("_slot").agg(F.max_by(F.struct("_key", "_end"), place).alias("_last"))
-    slots = ranged.select("_slot").distinct().join(lasts, "_slot", "left")
-    # One row for each range of rows.
-    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    edges = slots.select("_slot", F.last("_last", ignorenulls=True).over(before).alias("_edge"))
-    so_far = Window.partitionBy("_slot").orderBy(*columns, "_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    known = ranged.withColumn("_open", F.last(opened, ignorenulls=True).over(so_far)).filter("_kind = 1")
-    known = known.join(F.broadcast(edges), "_slot").withColumn("_open", F.coalesce("_open", "_edge"))
-    inside = F.col("_open._key").eqNullSafe(F.col("_key")) & (F.col("_at") < F.col("_open._end"))
-    return known.filter(inside).select("_row.*")
+    _, edges = _carried(ranged)
+    reached = _with_reach(ranged, edges, ("_at", "_kind"), 0)
+    return reached.filter("_kind = 1 and _at < _reach").select("_row.*")

@@ -2,7 +2,7 @@
 
 Nothing here compares every address with every range. The caller chooses between two ways. Short lists become hash sets of
 bit prefixes inside the filter itself: rows, of a stream too, are labelled where they are read, without a shuffle; a list that is
-too long is refused. With a folder for tables, lists of any length are merged to disjoint intervals, and the distinct addresses
+too long is refused. With a folder for tables, lists of any length become intervals, and the distinct addresses
 of a batch are passed along them in order, so that a range with most of the addresses is spread like any other; labels are looked up in a way
 that hot addresses cannot skew. Trust can also be asked as of the time of a request.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.functions.addresses import IPV4, IPV6, family, interval_of, point_of, with_address_bits, with_cidr_parts
-from hitloom.operators.intervals import merge_intervals, points_inside
+from hitloom.operators.intervals import points_inside
 from hitloom.operators.lookups import skew_proof_lookup
 from hitloom.operators.neighbors import with_neighbor
 
@@ -63,10 +63,9 @@ def label_addresses(addresses: DataFrame, known: DataFrame, path: str, address:
     """Append ``trusted``, true or NULL, to ``addresses``, which has one row per address. ``path`` takes tables."""
     low, end = interval_of(F.col("net_bits"), F.col("family"))
     ranges = known.select("family", low.alias("low"), end.alias("end"))
-    merged = merge_intervals(ranges, ["family"], f"{path}/ranges")
     valid = with_address_bits(addresses.select(address), address).filter(F.col("bits").isNotNull())
     points = valid.select(address, F.length("bits").alias("family"), point_of(F.col("bits")).alias("_point"))
-    inside = points_inside(points, merged, ["family"], "_point", f"{path}/points").select(address)
+    inside = points_inside(points, ranges, ["family"], "_point", f"{path}/points").select(address)
     return addresses.join(inside.withColumn("trusted", F.lit(True)), address, "left")
 
 
@@ -164,7 +163,7 @@ def label_trusted_then(
 
     A snapshot holds from its time until the next of its source; of one time, all count together, and one with empty lists trusts nobody.
     Snapshots without a time never hold. Requests before the first snapshot, without a time or a valid address are untrusted. A NULL source is a source like others.
-    Each prefix gets the stretches of time in which it was listed, merged; a request is looked up among those of its own prefixes, one for each
+    Each prefix gets the stretches of time in which it was listed; a request is looked up among those of its own prefixes, one for each
     length in use, in order of time, so that a hot source or prefix is spread. ``path``, shared by all executors, takes tables.
     """
     spark = requests.sparkSession
@@ -177,7 +176,7 @@ def label_trusted_then(
     until = F.coalesce("_until", F.lit("9999-12-31 23:59:59").cast(kind))
     listed = followed.select("source", F.col("fetched_at").alias("low"), until.alias("end"), F.explode("_cidrs").alias("cidr"))
     known = with_cidr_parts(listed).filter("net_bits is not null").select("source", "family", "net_bits", "low", "end")
-    merge_intervals(known, ["source", "family", "net_bits"], f"{path}/times").write.parquet(f"{path}/listed")
+    known.write.parquet(f"{path}/listed")
     held = spark.read.parquet(f"{path}/listed")
     # At most 33 and 129 rows.
     lengths = held.select("family", F.length("net_bits").alias("_len")).distinct()
