@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A text file has no line numbers. Lines of all segments are ordered without a shuffle by a struct:
@@ -51,6 +51,42 @@ def read_log_lines(spark: SparkSession, path: str, position: bool = False) -> Da
     return usable_lines(with_sequence(_with_block(lines)) if position else lines)
 
 
+# Above as many blocks, of 128 MB each by default, their counts are joined with the lines instead of being broadcast.
+MOST_BROADCAST = 100_000
+
+
+def read_numbered_lines(spark: SparkSession, path: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``segment, line_no, log_line_no, value``: lines with their number in their file, from 1, as all lines count, and in the whole log.
+
+    Segments follow each other by age and name. Blocks are counted first, a row each; the counts are added up in order of the
+    blocks, and a line's number is that of its block's first line and its place in the block. Lines themselves aren't
+    sorted. Blank lines count and are then dropped. The files must not change meanwhile.
+    """
+    lines = with_sequence(_with_block(spark.read.option("lineSep", "\n").text(path)))
+    block = [F.col(f"line_pos.{name}").alias(name) for name in _BLOCK]
+    seq = F.col("line_pos.seq")
+    counted = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_first"))
+    before = Window.partitionBy("segment").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # One row for each segment.
+    sizes = counted.groupBy("segment").agg(F.sum("_n").alias("_size"), F.min("segment_time").alias("_time"))
+    earlier = Window.orderBy("_time", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("segment").alias("_of"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_log_before"))
+    placed = placed.join(sizes, F.col("segment") == F.col("_of"))
+    places = placed.select(
+        F.col("segment").alias("_segment"), F.col("block").alias("_block"), (F.col("_before") - F.col("_first") + 1).alias("_shift"), "_log_before"
+    )
+    known = places.limit(most_broadcast + 1).collect()
+    if len(known) <= most_broadcast:
+        places = F.broadcast(spark.createDataFrame(known, places.schema))
+    same = (F.col("line_pos.segment") == F.col("_segment")) & (F.col("line_pos.block") == F.col("_block"))
+    numbered = usable_lines(lines).join(places, same)
+    number = seq + F.col("_shift")
+    return numbered.select(
+        F.col("line_pos.segment").alias("segment"), number.alias("line_no"), (number + F.col("_log_before")).alias("log_line_no"), "value"
+    )
+
+
 def stream_log_lines(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """The same as a stream over a folder of closed segments.
 

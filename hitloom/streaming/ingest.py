@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hitloom.operators.records import parse_lines, without_assets
 from hitloom.plans.star_tables import write_batch
 from hitloom.sources.access_log import stream_log_lines, with_sequence
+from hitloom.sources.growing_log import follow_log_lines
 
 DEFAULT_INTERVAL = "10 seconds"
 
@@ -23,6 +24,11 @@ def stream_records(
     return without_assets(parse_lines(lines, omit=omit))
 
 
+def follow_records(spark: SparkSession, logs: str, omit: str = "") -> DataFrame:
+    """The same for lines that are appended to logs, which needn't be closed."""
+    return without_assets(parse_lines(follow_log_lines(spark, logs), omit=omit))
+
+
 def _triggered(writer, interval: str | None):
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 

@@ -7,6 +7,9 @@ the tables.
 
 from __future__ import annotations
 
+import os
+
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,6 +188,27 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed_once(parts, ["line_no"], value=F.expr(LINE))
 
 
+def append_lines(lines: DataFrame, folder: str) -> None:
+    """Add lines to the end of the files in a shared folder, as a server does with its log: each task has a file of its
+    own. A task that runs again starts from the size that the file had before.
+    """
+    names = sorted(name for name in os.listdir(folder) if not name.startswith((".", "_")))
+    sizes = [(f"{folder}/{name}", os.path.getsize(f"{folder}/{name}")) for name in names]
+
+    def write(batches):
+        path, size = sizes[TaskContext.get().partitionId()]
+        with open(path, "r+b") as file:
+            file.truncate(size)
+            file.seek(size)
+            for batch in batches:
+                for line in batch.column(0).to_pylist():
+                    file.write(line.encode() + b"\n")
+                yield batch
+
+    dealt = lines.repartition(len(sizes), "line_no").select("value")
+    dealt.mapInArrow(write, "value string").write.format("noop").mode("overwrite").save()
+
+
 def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(requests(spark, sf_dir), LEGACY_ROW)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hitloom.schema import FACT_FIELDS
 from hitloom.workloads import inputs
-from hitloom.workloads.queries import AS_OF, OMITTED, SECOND_BATCH, TOP_N
+from hitloom.workloads.queries import AS_OF, NUMBERED_SEGMENTS, OMITTED, SECOND_BATCH, TOP_N
 
 FIELDS = (
     "date, remote_ip, http_method, request_uri, status_code, response_size, referrer, user_agent,"
@@ -406,6 +406,13 @@ ORACLES["trust_as_of"] = _with(
                 = {_ADDRESS.format(ip="split_part(r.cidr, '/', 1)")} // CAST(pow(2, 32 - CAST(split_part(r.cidr, '/', 2) AS INTEGER)) AS BIGINT) END)""",
     select="SELECT line_no, remote_ip, ts, source, line_no IN (SELECT line_no FROM hits) AS trusted FROM asked",
 )
+ORACLES["numbered_log"] = _with(
+    _lines(),
+    f"""numbered AS (SELECT line_no % {NUMBERED_SEGMENTS} AS segment, line AS value,
+        row_number() OVER (PARTITION BY line_no % {NUMBERED_SEGMENTS} ORDER BY line_no) AS line_no FROM lines)""",
+    select="SELECT * FROM numbered WHERE value <> ''",
+)
+ORACLES["stream_growing_log"] = _DIM_COUNTS
 ORACLES["report_stored"] = ORACLES["report_compacted"] = ORACLES["report_ranked"]
 ORACLES["star_roundtrip_shuffled"] = ORACLES["star_roundtrip"]
 ORACLES["resume_stored"] = ORACLES["resume_after"]

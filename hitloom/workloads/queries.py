@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,7 @@ from hitloom.operators import counts, range_changes, records, star, trust
 from hitloom.plans import jobs, migration, reports, star_tables
 from hitloom.schema import DIMENSIONS, FACT_FIELDS
 from hitloom.session import scratch_path
-from hitloom.sources import access_log, legacy, trusted_ranges
+from hitloom.sources import access_log, growing_log, legacy, trusted_ranges
 from hitloom.streaming import ingest
 from hitloom.workloads import inputs
 
@@ -26,6 +27,8 @@ OMITTED = "self.example"
 # Where the stored part ends when the log is taken as two batches.
 SECOND_BATCH = "2024-01-20 00:00:00"
 
+NUMBERED_SEGMENTS = 16
+
 RECORD = ("line_no", *DIMENSIONS, "ts", "status_int", "bytes")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +73,18 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access_log.read_log_lines(spark, path)
 
 
+@query
+def numbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments in order of their lines, read back with numbers that count each segment's lines."""
+    path = scratch_path(spark, "segments")
+    lines = inputs.log_lines(spark, sf_dir).withColumn("segment", F.col("line_no") % NUMBERED_SEGMENTS)
+    ordered = lines.repartition("segment").sortWithinPartitions("segment", "line_no")
+    ordered.select("segment", "value").write.partitionBy("segment").text(path, lineSep="\n")
+    numbered = access_log.read_numbered_lines(spark, f"{path}/*")
+    segment = F.regexp_extract("segment", "/segment=([0-9]+)/", 1).cast("bigint")
+    return numbered.select(segment.alias("segment"), "line_no", "value")
+
+
 @query
 def parse_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select(*RECORD)
@@ -448,3 +463,21 @@ def stream_late_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         incoming = ingest.stream_records(spark, f"{segments}/*", max_files_per_trigger=_files_per_trigger(spark))
         ingest.start_star_stream(incoming, path, f"{path}-checkpoint", interval=None).awaitTermination()
     return star_tables.stored_totals(spark, path)
+
+
+@query
+def stream_growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that grow between two runs of a stream, one of them renamed meanwhile; totals over both runs."""
+    logs, path = scratch_path(spark, "logs"), scratch_path(spark, "star")
+    lines = inputs.log_lines(spark, sf_dir)
+    later = F.col("line_no") % 3 == 0
+    access_log.land_lines(lines.filter(~later), logs)
+    for run in range(2):
+        if run:
+            folder = growing_log.local_path(logs)
+            inputs.append_lines(lines.filter(later), folder)
+            first = min(name for name in os.listdir(folder) if not name.startswith((".", "_")))
+            os.rename(f"{folder}/{first}", f"{folder}/{first}.1")
+        incoming = ingest.follow_records(spark, logs)
+        ingest.start_star_stream(incoming, path, f"{path}-checkpoint", interval=None).awaitTermination()
+    return star_tables.stored_totals(spark, path)
