@@ -29,7 +29,7 @@ def follow_records(spark: SparkSession, logs: str, omit: str = "") -> DataFrame:
     return without_assets(parse_lines(follow_log_lines(spark, logs), omit=omit))
 
 
-def _triggered(writer, interval: str | None):
+def triggered(writer, interval: str | None):
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
@@ -38,7 +38,7 @@ def start_record_stream(
 ) -> StreamingQuery:
     """Append records to Parquet. ``interval`` None takes what is there and ends."""
     writer = records.writeStream.format("parquet").option("path", path)
-    return _triggered(writer.option("checkpointLocation", checkpoint), interval).start()
+    return triggered(writer.option("checkpointLocation", checkpoint), interval).start()
 
 
 def run_of(spark: SparkSession, checkpoint: str) -> str:
@@ -70,4 +70,4 @@ def start_star_stream(
         write_batch(with_sequence(batch), path, batch_id, order="line_pos", run=run)
 
     writer = records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return _triggered(writer, interval).start()
+    return triggered(writer, interval).start()

@@ -406,6 +406,20 @@ ORACLES["trust_as_of"] = _with(
                 = {_ADDRESS.format(ip="split_part(r.cidr, '/', 1)")} // CAST(pow(2, 32 - CAST(split_part(r.cidr, '/', 2) AS INTEGER)) AS BIGINT) END)""",
     select="SELECT line_no, remote_ip, ts, source, line_no IN (SELECT line_no FROM hits) AS trusted FROM asked",
 )
+ORACLES["stream_range_changes"] = _with(
+    _API,
+    """sorted AS (
+        SELECT source, fetched_at, etag, list_sort(list_distinct(
+            CAST(body->'$.result.ipv4_cidrs' AS VARCHAR[]) || CAST(body->'$.result.ipv6_cidrs' AS VARCHAR[]))) AS nets FROM valid),
+    listed AS (
+        SELECT source, fetched_at, etag, min(CASE WHEN len(nets) > 0 THEN sha256(array_to_string(nets, chr(10))) ELSE '' END) AS digest
+        FROM sorted GROUP BY ALL),
+    stepped AS (
+        SELECT source, fetched_at, etag, coalesce(lag(etag) OVER w, '') AS previous_etag, digest, coalesce(lag(digest) OVER w, '') AS previous_digest
+        FROM listed WINDOW w AS (PARTITION BY source ORDER BY fetched_at NULLS FIRST, etag))""",
+    select="""SELECT source, fetched_at, etag, previous_etag, etag <> previous_etag AS etag_changed, digest <> previous_digest AS set_changed
+        FROM stepped WHERE etag <> previous_etag OR digest <> previous_digest""",
+)
 ORACLES["numbered_log"] = _with(
     _lines(),
     f"""numbered AS (SELECT line_no % {NUMBERED_SEGMENTS} AS segment, line AS value,

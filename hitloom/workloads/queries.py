@@ -17,6 +17,7 @@ from hitloom.schema import DIMENSIONS, FACT_FIELDS
 from hitloom.session import scratch_path
 from hitloom.sources import access_log, growing_log, legacy, trusted_ranges
 from hitloom.streaming import ingest
+from hitloom.streaming import ranges as range_stream
 from hitloom.workloads import inputs
 
 # The test events end in January 2024; this day makes the 30-day filter keep a part of them.
@@ -481,3 +482,17 @@ def stream_growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         incoming = ingest.follow_records(spark, logs)
         ingest.start_star_stream(incoming, path, f"{path}-checkpoint", interval=None).awaitTermination()
     return star_tables.stored_totals(spark, path)
+
+
+@query
+def stream_range_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that land in order of time, in four parts, and one part of them again; changes by a stream that is restarted for each."""
+    landed, path = scratch_path(spark, "responses"), scratch_path(spark, "changes")
+    responses = inputs.responses(spark, sf_dir)
+    year = F.coalesce(F.year("fetched_at"), F.lit(0))
+    for low, end in ((0, 1993), (1993, 1995), (0, 1993), (1995, 1997), (1997, 10_000)):
+        responses.filter((year >= low) & (year < end)).write.mode("append").parquet(landed)
+        incoming = range_stream.stream_responses(spark, landed, _files_per_trigger(spark))
+        changes = range_stream.stream_changes(incoming)
+        range_stream.start_change_stream(changes, path, f"{path}-checkpoint", interval=None).awaitTermination()
+    return spark.read.schema(changes.schema).parquet(path)

@@ -72,3 +72,27 @@ def test_an_interval_stream_goes_on_until_it_is_stopped(spark, tmp_path):
         assert query.isActive and 0 < first < spark.read.parquet(path).count()
     finally:
         query.stop()
+
+
+def test_range_changes_skip_repeats_and_late_snapshots(spark, tmp_path):
+    import datetime
+    import json
+
+    from hitloom.streaming.ranges import RESPONSES, start_change_stream, stream_changes, stream_responses
+
+    day = datetime.datetime(2024, 1, 1)
+    landed, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def land(*rows):
+        made = [(s, day + datetime.timedelta(hours=h) if h is not None else None, json.dumps({"success": ok, "result": {"etag": e, "ipv4_cidrs": nets, "ipv6_cidrs": []}})) for s, h, e, nets, ok in rows]
+        spark.createDataFrame(made, RESPONSES).coalesce(1).write.mode("append").parquet(landed)
+        start_change_stream(stream_changes(stream_responses(spark, landed)), out, checkpoint, interval=None).awaitTermination()
+        found = spark.read.parquet(out).collect()
+        return sorted(((r["source"], r["fetched_at"].hour if r["fetched_at"] else None, r["etag"], r["previous_etag"], r["etag_changed"], r["set_changed"]) for r in found), key=repr)
+
+    first = land(("a", 1, "x", ["1/8", "2/8"], True), ("a", 2, "x", ["2/8", "1/8", "1/8"], True), (None, None, "n", [], True), ("a", 3, "bad", ["3/8"], False))
+    assert first == [("a", 1, "x", "", True, True), (None, None, "n", "", True, False)]
+    # Copies of earlier ones, one that is too late, and a change of the set under the same etag.
+    second = land(("a", 1, "x", ["1/8"], True), ("a", 0, "late", ["9/8"], True), ("a", 5, "x", ["1/8"], True), (None, 4, "m", [], True))
+    assert second == sorted([*first, ("a", 5, "x", "x", False, True), (None, 4, "m", "n", True, False)], key=repr)
+    assert land(("a", 5, "x", ["1/8"], True)) == second
