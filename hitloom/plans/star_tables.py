@@ -30,7 +30,7 @@ def position(records: DataFrame, order: str) -> Column:
     return F.struct(*parts)
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table of the store, without rows if nothing was ever written to it."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -42,13 +42,13 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def commits(spark: SparkSession, path: str) -> list[T.Row]:
     """The committed batches in order. One short row each: compaction keeps the folders to read few."""
-    found = _read(spark, f"{path}/commits", COMMITS).collect()
+    found = read_table(spark, f"{path}/commits", COMMITS).collect()
     return sorted(found, key=lambda row: (row["number"], row["folder"]))
 
 
 def is_committed(spark: SparkSession, path: str, run: str, batch_id: int) -> bool:
     same = (F.col("run") == run) & (F.col("batch_id") == batch_id)
-    return not _read(spark, f"{path}/commits", COMMITS).filter(same).isEmpty()
+    return not read_table(spark, f"{path}/commits", COMMITS).filter(same).isEmpty()
 
 
 def write_batch(records: DataFrame, path: str, batch_id: int = 0, order: str = "line_no", run: str = "batch") -> bool:
@@ -60,7 +60,7 @@ def write_batch(records: DataFrame, path: str, batch_id: int = 0, order: str = "
     spark = records.sparkSession
     if is_committed(spark, path, run, batch_id):
         return False
-    last = _read(spark, f"{path}/commits", COMMITS).agg(F.max("number")).first()[0]
+    last = read_table(spark, f"{path}/commits", COMMITS).agg(F.max("number")).first()[0]
     number = 0 if last is None else last + 1
     folder = f"{number:012d}-{uuid.uuid4().hex}"
     # Whole dimensions, and whole days, end up together in files of even size.
@@ -76,7 +76,7 @@ def write_batch(records: DataFrame, path: str, batch_id: int = 0, order: str = "
 
 
 def _bases(spark: SparkSession, path: str) -> list[T.Row]:
-    return _read(spark, f"{path}/bases", BASES).collect()
+    return read_table(spark, f"{path}/bases", BASES).collect()
 
 
 def stored_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -420,6 +420,12 @@ ORACLES["stream_range_changes"] = _with(
     select="""SELECT source, fetched_at, etag, previous_etag, etag <> previous_etag AS etag_changed, digest <> previous_digest AS set_changed
         FROM stepped WHERE etag <> previous_etag OR digest <> previous_digest""",
 )
+ORACLES["v1_star_chunks"] = _with(
+    *MIGRATED,
+    _counts("migrated"),
+    select="""SELECT dim, value, count FROM counts
+        UNION ALL SELECT 'fact', 'rows', (SELECT count(*) FROM migrated WHERE non_default = '')""",
+)
 ORACLES["numbered_log"] = _with(
     _lines(),
     f"""numbered AS (SELECT line_no % {NUMBERED_SEGMENTS} AS segment, line AS value,

@@ -1,5 +1,9 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+from hitloom.plans import jobs, star_tables
 from hitloom.plans.migration import migrate, quarantined, total_rows
 from hitloom.schema import LEGACY, LEGACY_COLUMNS
 from hitloom.sources.legacy import read_legacy
@@ -42,3 +46,33 @@ def test_the_older_table_as_csv(spark, tmp_path):
     assert sorted(r["userAgent"] for r in legacy.collect()) == ["UA", 'a "quoted", agent']
     assert migrate(legacy).filter("non_default = ''").count() == 2
 
+
+
+def test_chunks_go_on_after_a_failure(spark, tmp_path, monkeypatch):
+    numbers = [*range(40), None, None, 7, 7]
+    rows = [(n, *row(requestURI=f"/{i}")) for i, n in enumerate(numbers)]
+    old = spark.createDataFrame(rows, "row_no bigint, " + ", ".join(f"{c} string" for c in LEGACY_COLUMNS))
+    path, store = str(tmp_path / "star"), jobs.migrate_table
+    calls = []
+
+    def failing(*args, **kwargs):
+        calls.append(args[-1])
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return store(*args, **kwargs)
+
+    monkeypatch.setattr(jobs, "migrate_table", failing)
+    with pytest.raises(RuntimeError):
+        jobs.migrate_in_chunks(old, path, chunk_rows=10)
+    assert 0 < star_tables.stored_fact(spark, path).count() < len(rows)
+    # Other sizes don't matter once chunks are planned.
+    left = jobs.migrate_in_chunks(old, path, chunk_rows=3, most_chunks=1)
+    assert left == 2 and jobs.migrate_in_chunks(old, path) == 0 and jobs.migrate_in_chunks(old, path) == 0
+    assert sorted(calls) == [0, 1, 2, 2, 3, 4]
+    uris = star_tables.stored_totals(spark, path).filter("dim = 'request_uri'").collect()
+    assert sorted((r["value"], r["count"]) for r in uris) == sorted((f"/{i}", 1) for i in range(len(rows)))
+    assert jobs.stored_last_row(spark, path).first()["request_uri"] == "/39"
+    with pytest.raises(ValueError, match="changed"):
+        jobs.migrate_in_chunks(old.filter(F.col("row_no") != 5), path)
+    empty = str(tmp_path / "empty")
+    assert jobs.migrate_in_chunks(old.limit(0), empty) == 0 and star_tables.stored_fact(spark, empty).count() == 0
