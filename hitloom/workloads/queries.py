@@ -307,11 +307,11 @@ def v1_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def v1_star_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in chunks: stopped after three, and gone on with; totals, and the number of facts."""
+    """The same in chunks: stopped after two, and gone on with; totals, and the number of facts."""
     path = scratch_path(spark, "star")
     old = _legacy(spark, sf_dir)
-    chunk_rows = -(-old.count() // 8)
-    jobs.migrate_in_chunks(old, path, chunk_rows=chunk_rows, most_chunks=3)
+    chunk_rows = -(-old.count() // 4)
+    jobs.migrate_in_chunks(old, path, chunk_rows=chunk_rows, most_chunks=2)
     jobs.migrate_in_chunks(old, path, chunk_rows=chunk_rows)
     return star_tables.stored_totals(spark, path).unionByName(_fact_rows(spark, path))
 
