@@ -39,6 +39,10 @@ def with_keys(counts: DataFrame) -> DataFrame:
     return counts.select("dim", value_key(F.col("value")).alias("id"), "value", "count")
 
 
+def _least_and_greatest() -> list[Column]:
+    return [F.min("value").alias("value"), F.max("value").alias("_other")]
+
+
 def checked_dimensions(counts: DataFrame) -> DataFrame:
     """One row per key of ``counts``, with their sum: ``dim, id, value, count``.
 
@@ -46,14 +50,20 @@ def checked_dimensions(counts: DataFrame) -> DataFrame:
     two values: the one grouping compares the least and the greatest value of a key.
     """
     keyed = counts if "id" in counts.columns else with_keys(counts)
-    found = keyed.groupBy("dim", "id").agg(
-        F.min("value").alias("value"), F.max("value").alias("_other"), F.sum("count").alias("count")
-    )
+    found = keyed.groupBy("dim", "id").agg(*_least_and_greatest(), F.sum("count").alias("count"))
     clash = F.raise_error(F.concat(F.lit("two values share a key in "), F.col("dim"))).cast("bigint")
     count = F.when(F.col("value") == F.col("_other"), F.col("count")).otherwise(clash)
     return found.select("dim", "id", "value", count.alias("count"))
 
 
+def _texts_by_key(dimensions: DataFrame) -> DataFrame:
+    """``id, value`` of several dimensions, a key once; checked in the same way."""
+    found = dimensions.groupBy("id").agg(*_least_and_greatest())
+    clash = F.raise_error(F.lit("two values share a key in different dimensions")).cast("string")
+    value = F.when(F.col("value") == F.col("_other"), F.col("value")).otherwise(clash)
+    return found.select("id", value.alias("value"))
+
+
 def fact_rows(records: DataFrame, order: Sequence[str] = ("line_no",)) -> DataFrame:
     """One row of keys per parsed record; an empty value has a NULL key. No join is needed."""
     keys = [
@@ -67,19 +77,27 @@ def read_back(
 ) -> DataFrame:
     """Fact rows with their values again. Give a stored ``dimensions``: it is read per field.
 
-    The sizes of the eleven dimensions are checked first. Those of at most ``small`` bytes, by default
-    ``SMALL_DIMENSION``, are broadcast; the others go through the lookup that splits off hot keys.
+    The sizes of the dimensions are checked first. The smallest ones, of at most ``small`` bytes together, by default
+    ``SMALL_DIMENSION``, are one broadcast table that all their fields look into, as a key stands for the same value in each
+    dimension; the others go through the lookup that splits off hot keys.
     """
     small = SMALL_DIMENSION if small is None else small
     value_bytes = F.octet_length("value") + KEY_BYTES
     sizes = dict(dimensions.groupBy("dim").agg(F.sum(value_bytes)).collect())
+    together, held = [], 0
+    for name in sorted(FACT_FIELDS, key=lambda n: (sizes.get(n, 0), n)):
+        held += sizes.get(name, 0)
+        if held > small:
+            break
+        together.append(name)
+    texts = _texts_by_key(dimensions.filter(F.col("dim").isin(together)))
     rows = fact
     for name in FACT_FIELDS:
-        lookup = dimensions.filter(F.col("dim") == name).select("id", "value", "count")
-        if sizes.get(name, 0) <= small:
-            values = lookup.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(name))
+        if name in together:
+            values = texts.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(name))
             rows = rows.join(F.broadcast(values), f"{name}_id", "left")
         else:
+            lookup = dimensions.filter(F.col("dim") == name).select("id", "value", "count")
             spread = [*order, f"{name}_id"]
             rows = skew_proof_lookup(rows, f"{name}_id", lookup, "id", "value", "count", name, spread)
     return rows.select(*order, *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in FACT_FIELDS])
@@ -95,20 +113,26 @@ def last_row(fact: DataFrame, counts: DataFrame, order: Sequence[str] = ROW_ORDE
     The row is picked first, so the dimension table meets four broadcast keys instead of the fact.
     ``counts`` may list a value more than once: stored counts do as they are, without a sum.
     """
-    complete = F.lit(True)
-    for name in LAST_ROW_FIELDS:
-        complete = complete & F.col(f"{name}_id").isNotNull()
-    last = (
-        fact.filter(complete)
-        .orderBy(*[F.desc(column) for column in order])
-        .limit(1)
-        .select(
-            F.stack(
-                F.lit(len(LAST_ROW_FIELDS)),
-                *[c for n in LAST_ROW_FIELDS for c in (F.lit(n), F.col(f"{n}_id"))],
-            ).alias("dim", "id")
-        )
+    last = last_keys(fact, order).select(
+        F.stack(
+            F.lit(len(LAST_ROW_FIELDS)),
+            *[c for n in LAST_ROW_FIELDS for c in (F.lit(n), F.col(f"{n}_id"))],
+        ).alias("dim", "id")
     )
+    return named_last_row(last, counts)
+
+
+def last_keys(fact: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """The four keys of the last fact row that has all of them; no row if none has. One row a task is shuffled."""
+    keys = [f"{name}_id" for name in LAST_ROW_FIELDS]
+    complete = F.lit(True)
+    for key in keys:
+        complete = complete & F.col(key).isNotNull()
+    return fact.filter(complete).orderBy(*[F.desc(column) for column in order]).limit(1).select(*keys)
+
+
+def named_last_row(last: DataFrame, counts: DataFrame) -> DataFrame:
+    """The texts of the keys of one row, given as ``dim, id``; ``counts`` may list a value more than once."""
     wanted = counts.filter(F.col("dim").isin(*LAST_ROW_FIELDS))
     found = wanted.join(F.broadcast(last), ["dim", "id"])
     picked = [F.max(F.when(F.col("dim") == n, F.col("value"))).alias(n) for n in LAST_ROW_FIELDS]
@@ -121,7 +145,7 @@ def _values_of(counts: DataFrame, name: str) -> DataFrame:
     return values.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(name)).distinct()
 
 
-def _small(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+def held_small(df: DataFrame, texts: Sequence[str]) -> DataFrame:
     """``df``, to be broadcast if its keys and texts take up at most ``SMALL_DIMENSION`` bytes."""
     size = sum((F.octet_length(t) for t in texts), F.lit(KEY_BYTES))
     held = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
@@ -135,7 +159,7 @@ def top_failures(fact: DataFrame, counts: DataFrame, since: Column, n: int, meth
     lookup; keys of failed statuses are broadcast if they are small. All counting is on keys: groups
     that reach the n-th count are found first, and texts are fetched for those only.
     """
-    statuses = _small(_values_of(counts, "status_code").filter(unsuccessful(F.col("status_code"))), ["status_code"])
+    statuses = held_small(_values_of(counts, "status_code").filter(unsuccessful(F.col("status_code"))), ["status_code"])
     failed = fact.filter(
         (F.col("day") >= since)
         & (F.col("http_method_id") == value_key(F.lit(method)))

@@ -10,18 +10,13 @@ from pyspark.sql import types as T
 
 from hitloom.operators.records import parse_lines, without_assets
 from hitloom.operators.resume import resume_after
-from hitloom.operators.star import last_row
 from hitloom.plans import migration, star_tables
 from hitloom.sources.access_log import read_log_lines
 
 
-def stored_last_row(spark: SparkSession, path: str) -> DataFrame:
-    return last_row(star_tables.stored_fact(spark, path), star_tables.stored_counts(spark, path))
-
-
 def unstored_records(spark: SparkSession, records: DataFrame, path: str, order: str = "line_pos") -> DataFrame:
     """Records after the last row that the star at ``path`` holds."""
-    return resume_after(records, stored_last_row(spark, path), order)
+    return resume_after(records, star_tables.stored_last_row(spark, path), order)
 
 
 def ingest_batch(spark: SparkSession, log: str, path: str, batch_id: int, run: str = "log", omit: str = "") -> bool:

@@ -63,16 +63,30 @@ FACT = T.StructType(
     + [T.StructField("commit", T.StringType()), T.StructField("day", T.DateType())]
 )
 
+# Failures of a day by status and URI, with the least of their agents.
+FAILURES = T.StructType(
+    [
+        T.StructField("status_code", T.StringType()),
+        T.StructField("request_uri_id", T.BinaryType()),
+        T.StructField("count", T.LongType()),
+        T.StructField("user_agent", T.StringType()),
+        T.StructField("commit", T.StringType()),
+        T.StructField("day", T.DateType()),
+    ]
+)
+
+# ``last`` holds the keys that identify the last complete row of the batch, if it has one.
 COMMITS = T.StructType(
     [
         T.StructField("run", T.StringType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("number", T.LongType()),
         T.StructField("folder", T.StringType()),
+        T.StructField("last", T.ArrayType(T.BinaryType())),
     ]
 )
 
-# Compacted counts and the batches that they cover.
+# Compacted counts and failures, and the batches that they cover.
 BASES = T.StructType(
     [T.StructField("folder", T.StringType()), T.StructField("covers", T.ArrayType(T.StringType()))]
 )

@@ -436,3 +436,16 @@ ORACLES["stream_growing_log"] = _DIM_COUNTS
 ORACLES["report_stored"] = ORACLES["report_compacted"] = ORACLES["report_ranked"]
 ORACLES["star_roundtrip_shuffled"] = ORACLES["star_roundtrip"]
 ORACLES["resume_stored"] = ORACLES["resume_after"]
+ORACLES["failures_by_day"] = _with(
+    *LOG,
+    select="""SELECT CAST(left(date, 10) AS DATE) AS day, status_code, request_uri, count(*) AS count, min(user_agent) AS user_agent
+        FROM kept
+        WHERE http_method = 'GET' AND date <> '' AND status_int NOT BETWEEN 200 AND 399 AND request_uri <> '' AND user_agent <> ''
+        GROUP BY ALL""",
+)
+ORACLES["last_row_batches"] = _with(
+    *LOG,
+    "odd_lines AS (SELECT * FROM kept WHERE line_no % 2 = 1)",
+    LAST.format(source="odd_lines"),
+    select="SELECT * FROM last",
+)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.addresses import family, with_cidr_parts
 from hitloom.functions.lines import normalize_uri as stripped_uri
-from hitloom.operators import counts, range_changes, records, star, trust
+from hitloom.operators import counts, failures, range_changes, records, star, trust
 from hitloom.plans import jobs, migration, reports, star_tables
 from hitloom.schema import DIMENSIONS, FACT_FIELDS
 from hitloom.session import scratch_path
@@ -217,7 +217,7 @@ def star_migrate_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def last_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.stored_last_row(spark, _stored_star(spark, _kept(spark, sf_dir)))
+    return star_tables.stored_last_row(spark, _stored_star(spark, _kept(spark, sf_dir)))
 
 
 @query
@@ -235,17 +235,42 @@ def report_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_reports(spark, _stored_star(spark, _kept(spark, sf_dir)))
 
 
-@query
-def report_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same where older batches are compacted and later ones aren't."""
-    kept = _kept(spark, sf_dir)
+def _in_three_batches(spark: SparkSession, kept: DataFrame) -> str:
+    """Two batches, compacted, and one after them."""
     path = scratch_path(spark, "star")
     part = F.col("line_no") % 3
     for batch in range(2):
         star_tables.write_batch(kept.filter(part == batch), path, batch)
     star_tables.compact_counts(spark, path)
     star_tables.write_batch(kept.filter(part == 2), path, 2)
-    return _stored_reports(spark, path)
+    return path
+
+
+@query
+def report_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where older batches are compacted and later ones aren't."""
+    return _stored_reports(spark, _in_three_batches(spark, _kept(spark, sf_dir)))
+
+
+@query
+def failures_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of each day as stored with the batches, added up over compacted and later ones."""
+    path = _in_three_batches(spark, _kept(spark, sf_dir))
+    groups = failures.merged(star_tables.stored_failures(spark, path), *failures.GROUP)
+    uris = star_tables.stored_dimensions(spark, path).filter(F.col("dim") == "request_uri")
+    named = groups.join(uris.select(F.col("id").alias("request_uri_id"), F.col("value").alias("request_uri")), "request_uri_id")
+    return named.select("day", "status_code", "request_uri", "count", "user_agent")
+
+
+@query
+def last_row_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row where the newest batch has no complete one, so that an earlier batch gives it."""
+    kept = _kept(spark, sf_dir)
+    path = scratch_path(spark, "star")
+    odd = F.col("line_no") % 2 == 1
+    for batch, part in enumerate((~odd & (F.col("non_default") == ""), odd, ~odd & (F.col("non_default") != ""))):
+        star_tables.write_batch(kept.filter(part), path, batch)
+    return star_tables.stored_last_row(spark, path)
 
 
 def _stored_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_chunks_go_on_after_a_failure(spark, tmp_path, monkeypatch):
     assert sorted(calls) == [0, 1, 2, 2, 3, 4]
     uris = star_tables.stored_totals(spark, path).filter("dim = 'request_uri'").collect()
     assert sorted((r["value"], r["count"]) for r in uris) == sorted((f"/{i}", 1) for i in range(len(rows)))
-    assert jobs.stored_last_row(spark, path).first()["request_uri"] == "/39"
+    assert star_tables.stored_last_row(spark, path).first()["request_uri"] == "/39"
     with pytest.raises(ValueError, match="changed"):
         jobs.migrate_in_chunks(old.filter(F.col("row_no") != 5), path)
     empty = str(tmp_path / "empty")

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from hitloom.operators import counts, star
+from hitloom.operators import counts, failures, star
 from hitloom.operators.lookups import skew_proof_lookup
 from hitloom.operators.records import parse_lines, without_assets
 from hitloom.operators.resume import resume_after
@@ -139,6 +139,71 @@ def test_both_ways_to_the_failure_report_agree(spark, kept, tmp_path):
     assert stored.collect() == direct.collect() != []
 
 
+def test_failures_by_day_add_up_over_batches_and_compaction(spark, kept, tmp_path):
+    path = str(tmp_path)
+    part = F.col("line_no") % 3
+    for batch in range(2):
+        star_tables.write_batch(kept.filter(part == batch), path, batch)
+    star_tables.compact_counts(spark, path)
+    star_tables.write_batch(kept.filter(part == 2), path, 2)
+    wanted = {}
+    for r in kept.filter("ts is not null").collect():
+        digits = re.match(r"\s*([+-]?[0-9]+)", r["status_code"])
+        failed = not 200 <= int(digits[1] if digits else 0) <= 399
+        if r["http_method"] == "GET" and failed and r["request_uri"] and r["user_agent"]:
+            wanted.setdefault((r["ts"].date(), r["status_code"], r["request_uri"]), []).append(r["user_agent"])
+    keys = {r["key"]: r["uri"] for r in kept.select(F.col("request_uri").alias("uri"), star.value_key(F.col("request_uri")).alias("key")).collect()}
+    groups = failures.merged(star_tables.stored_failures(spark, path), *failures.GROUP).collect()
+    got = {(r["day"], r["status_code"], keys[r["request_uri_id"]]): (r["count"], r["user_agent"]) for r in groups}
+    assert got == {group: (len(agents), min(agents)) for group, agents in wanted.items()} and len(got) == len(groups) > 0
+    for n in (1, 3, 1000):
+        report = reports.stored_report(spark, path, "top_unsuccessful", n, "2024-02-10")
+        assert sorted(map(tuple, report.collect())) == sorted(map(tuple, reports.run_report(kept, "top_unsuccessful", n, "2024-02-10").collect()))
+    files = report.inputFiles()
+    assert not any("/fact/" in name for name in files) and any("/failures/" in name for name in files)
+
+
+def test_failures_of_an_empty_batch_and_an_empty_store(spark, kept, tmp_path):
+    path = str(tmp_path)
+    assert star_tables.stored_failures(spark, path).count() == 0
+    star_tables.write_batch(kept.limit(0), path, 0)
+    assert star_tables.compact_counts(spark, path) == 1
+    assert star_tables.stored_failures(spark, path).count() == 0
+    assert reports.stored_report(spark, path, "top_unsuccessful", 3, "2024-02-10").collect() == []
+    assert star_tables.stored_last_row(spark, path).collect() == []
+
+
+def test_the_stored_last_row_reads_one_batch_and_no_fact(spark, kept, tmp_path):
+    path = str(tmp_path)
+    good = kept.filter("non_default = ''")
+    for batch, part in enumerate((good.filter("line_no >= 500"), good.filter("line_no < 500"), kept.filter("non_default <> ''"))):
+        star_tables.write_batch(part, path, batch)
+    last = star_tables.stored_last_row(spark, path)
+    wanted = good.filter("line_no < 500").orderBy(F.desc("line_no")).first()
+    assert [tuple(r) for r in last.collect()] == [tuple(wanted[f] for f in star.LAST_ROW_FIELDS)]
+    counts_read = star.last_row(star_tables.stored_fact(spark, path), star_tables.stored_counts(spark, path))
+    assert counts_read.collect() == last.collect()
+    assert all("/counts/batch=000000000001-" in name for name in last.inputFiles()) and last.inputFiles()
+
+
+def test_a_batch_parses_its_records_once_and_holds_nothing_afterwards(spark, kept, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = kept.count()
+    star_tables.write_batch(kept.mapInPandas(counted, kept.schema), str(tmp_path))
+    assert seen.value == rows
+    held = [r.name() for r in spark.sparkContext._jsc.getPersistentRDDs().values()]
+    broken = kept.withColumn("user_agent", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        star_tables.write_batch(broken, str(tmp_path), 1)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == len(held)
+
+
 def test_the_window_includes_its_first_midnight(spark, lines_of):
     text = '1.1.1.1 - - [{} +0000] "GET /x HTTP/1.1" 500 1 "-" "UA"'
     records = parse_lines(
