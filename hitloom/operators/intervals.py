@@ -53,6 +53,8 @@ def merge_intervals(intervals: DataFrame, keys: Sequence[str], path: str, low: s
     """
     columns = [F.col(f"`{k}`") for k in keys]
     wanted = intervals.select(*columns, F.col(f"`{low}`").alias("_low"), F.col(f"`{end}`").alias("_end")).filter("_low < _end")
+    # Bounds between ranges can't part equal rows, and one of them says as much as all.
+    wanted = wanted.distinct()
     ranged = _ranged(wanted, (*keys, "_low", "_end"), f"{path}/intervals").withColumn("_key", _key(keys))
     by_key, edges = _carried(ranged)
     starts = _with_reach(ranged, edges, ("_low", "_end"), -1).filter("_reach is null or _low > _reach")
@@ -77,9 +79,13 @@ def points_inside(
     row = F.struct(*[F.col(f"`{c}`") for c in points.columns])
     asked = points.select(*columns, F.col(f"`{point}`").alias("_at"), F.lit(1).alias("_kind"), row.alias("_row")).filter("_at is not null")
     given = intervals.select(*columns, F.col(f"`{low}`").alias("_at"), F.lit(0).alias("_kind"), F.col(f"`{end}`").alias("_end"))
-    given = given.filter("_at < _end").withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType))
+    # As above, equal intervals count once. Other rows at one point are told apart by a hash.
+    given = given.filter("_at < _end").distinct().withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType))
     both = asked.withColumn("_end", F.lit(None).cast(given.schema["_end"].dataType)).unionByName(given)
-    ranged = _ranged(both, (*keys, "_at", "_kind"), path).withColumn("_key", _key(keys))
+    # Maps have no hash.
+    told = [F.col(f"_row.`{c}`") for c, kind in points.dtypes if "map<" not in kind]
+    both = both.withColumn("_tie", F.xxhash64("_end", *told))
+    ranged = _ranged(both, (*keys, "_at", "_kind", "_tie"), path).withColumn("_key", _key(keys))
     _, edges = _carried(ranged)
     reached = _with_reach(ranged, edges, ("_at", "_kind"), 0)
     return reached.filter("_kind = 1 and _at < _reach").select("_row.*")

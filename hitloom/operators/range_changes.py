@@ -83,10 +83,10 @@ def minimal_cover(ranges: DataFrame, keys: Sequence[str], path: str) -> DataFram
     """``keys``, ``family``, ``len``, ``net_bits``, ``cidr``: for each of ``keys``, the fewest ranges with the same addresses.
 
     Ranges inside others go, and siblings become their parent, at all levels at once: ranges are merged to disjoint
-    intervals, each of which falls into its fewest prefixes. Invalid ranges count for nothing, and a NULL key is a key like others. ``path``
-    takes tables.
+    intervals, each of which falls into its fewest prefixes. Invalid ranges count for nothing, and a NULL key is a key like others. A range
+    that is listed many times is read once. ``path`` takes tables.
     """
-    named = ranges.select(*[F.col(f"`{k}`") for k in keys], F.col("cidr").alias("_cidr"))
+    named = ranges.select(*[F.col(f"`{k}`") for k in keys], F.col("cidr").alias("_cidr")).distinct()
     parts = with_cidr_parts(named, "_cidr").filter("net_bits is not null")
     low, end = interval_of(F.col("net_bits"), F.col("family"))
     merged = merge_intervals(parts.select(*keys, "family", low.alias("low"), end.alias("end")), [*keys, "family"], path)

@@ -19,6 +19,14 @@ def union_of(rows):
     return found
 
 
+@pytest.fixture
+def whole_ranges(spark):
+    """Ranges of small tables stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_intervals_by_brute_force(spark, tmp_path, seed):
     rng = random.Random(seed)
@@ -51,3 +59,22 @@ def test_without_keys_and_without_rows(spark, tmp_path):
     assert [r["at"] for r in points_inside(points, df.filter("low = '1'"), [], "at", str(tmp_path / "d")).collect()] == ["1"]
     assert points_inside(points, df.limit(0), [], "at", str(tmp_path / "e")).count() == 0
     assert points_inside(points.limit(0), df, [], "at", str(tmp_path / "f")).count() == 0
+
+
+def largest_range(spark, path):
+    """The share of the rows of a stored table that lie in its largest range."""
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("_slot").count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_repeated_rows_do_not_pile_up_in_one_range(spark, tmp_path, whole_ranges):
+    df = spark.range(40_000).selectExpr("'a' AS key", "IF(id % 4 = 0, id, 5) AS low", "IF(id % 4 = 0, id + 1, 9) AS end")
+    merged = merge_intervals(df, ["key"], str(tmp_path / "m")).collect()
+    assert len(merged) == 9_999 and ("a", 4, 9) in map(tuple, merged)
+    assert largest_range(spark, str(tmp_path / "m" / "intervals")) < 0.5
+
+    points = spark.range(20_000).selectExpr("'a' AS key", "IF(id % 4 = 0, id, 6) AS at", "id AS n")
+    given = spark.createDataFrame([("a", 6, 7), ("a", 6, 8), ("a", 100, 200)], "key string, low long, end long")
+    found = points_inside(points, given, ["key"], "at", str(tmp_path / "p"))
+    assert found.count() == 15_000 + 25
+    assert largest_range(spark, str(tmp_path / "p")) < 0.5
