@@ -6,8 +6,9 @@ file the classes into buckets. First, all members of a bucket are paired with on
 band, so pairs grow with the bucket and not with its square; pairs pass an estimate that allows for chance collisions of
 registers and then a comparison of full sets. That ties most groups together. Buckets in which more than one component still
 meets are then compared member by member, inside tasks that hold a block of a bucket at a time: on registers,
-and, where both sets are small, on 32 bits of each shingle, which can only overstate what they share. Only pairs that
-pass come out, and full sets are compared again. So no pair that shares a bucket is given up.
+and then on 32 bits of each shingle, which can only overstate what they share. Of pairs that
+pass, those come out that tie components not yet tied in that block, and full sets are compared again. If one of them fails, which takes
+two shingles with equal bits, all pairs that pass come out instead. So no pair that shares a bucket is given up.
 """
 
 from __future__ import annotations
@@ -34,11 +35,12 @@ REGISTERS = BAND_ROWS * BANDS
 MANTISSA = 10
 
 # Sets of at most so many shingles are also kept as the low 32 bits of each. Texts that are mostly one shared passage have
-# such sets, and come close to the threshold in great number.
+# such sets, and come close to the threshold in great number. Larger ones are worked out where they are needed.
 SMALL_SET = 256
 
-# Members of a bucket that are compared with each other in one task at a time.
+# Members of a bucket that are compared with each other in one task at a time, and their shingles.
 BLOCK = 2000
+BLOCK_SHINGLES = 4_000_000
 
 # Estimates may fall short of the threshold by so many standard errors before a pair is given up.
 SLACK = 5
@@ -144,6 +146,14 @@ def _setter(size: int):
     return to_set
 
 
+@F.arrow_udf(T.BinaryType())
+def _low_bits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The sorted low bits of each set."""
+    for column in batches:
+        sets = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in column)
+        yield pa.array([np.sort(x.astype("<u4")).tobytes() for x in sets], pa.binary())
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _band_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
@@ -185,11 +195,15 @@ def _shared(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(found, pa.int64())
 
 
-def _block_pairs(least: float, percent: int):
-    """For rows sorted by bucket and pair of blocks: the pairs of members that may be near enough and have different labels."""
+def _block_pairs(least: float, percent: int, every: bool):
+    """For rows sorted by bucket and pair of blocks: pairs of members that may be near enough and have different labels.
+
+    All of them, or else as many as tie the same labels: labels that a pair has tied are one from then on.
+    """
 
     def pairs_of(ids, labels, sizes, codes, low, blocks, same: bool) -> list[tuple]:
         found = []
+        labels = labels.copy()
         for k in range(len(ids)):
             if same:
                 others = np.arange(k + 1, len(ids))
@@ -200,15 +214,15 @@ def _block_pairs(least: float, percent: int):
             others = others[100 * small >= percent * large]
             if len(others):
                 n = np.full(len(others), float(sizes[k]))
-                near = estimate(codes[others], codes[k][None, :], n, sizes[others].astype(float)) >= least
-                others = others[near]
-                known = np.array([len(low[o]) > 0 for o in others], dtype=bool) & (len(low[k]) > 0)
-                if known.any():
-                    shared = shared_low(low[k], [low[o] for o in others[known]])
-                    enough = np.ones(len(others), dtype=bool)
-                    enough[known] = 100 * shared >= percent * (sizes[others[known]] + sizes[k] - shared)
-                    others = others[enough]
-                found += [(min(ids[k], ids[o]), max(ids[k], ids[o]), k, o) for o in others]
+                others = others[estimate(codes[others], codes[k][None, :], n, sizes[others].astype(float)) >= least]
+            if len(others):
+                shared = shared_low(low[k], [low[o] for o in others])
+                others = others[100 * shared >= percent * (sizes[others] + sizes[k] - shared)]
+            if len(others) and not every:
+                tied, firsts = np.unique(labels[others], return_index=True)
+                others = others[firsts]
+                labels[np.isin(labels, tied)] = labels[k]
+            found += [(min(ids[k], ids[o]), max(ids[k], ids[o]), k, o) for o in others]
         return [(a, b, *((sizes[k], sizes[o]) if ids[k] == a else (sizes[o], sizes[k]))) for a, b, k, o in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +274,17 @@ class _Search:
         both = pairs.join(side["b"], "b").join(side["a"], "a").withColumn("_estimate", _estimates("r_a", "r_b", "n_a", "n_b"))
         return both.filter(F.col("_estimate") >= self.least).select("a", "b", "n_a", "n_b")
 
-    def verified(self, likely: DataFrame, classes: DataFrame, step: int) -> DataFrame:
-        """Of likely pairs those whose full sets are near enough."""
-        wanted = likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))).distinct()
+    def _sets(self, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+        """The sorted ``shingles`` of the classes ``wanted`` (``_id``), from the text of one of their documents."""
         doc = F.col("doc" if "doc" in classes.columns else "id").alias("_doc")
         wanted = wanted.join(classes.select(F.col("id").alias("_id"), doc, F.col("key").alias("_key")), "_id")
         texts = self.docs.join(wanted, F.col("id") == F.col("_doc")).withColumn("_set", _setter(self.size)("text"))
-        texts = texts.filter(F.col("_set.key") == F.col("_key")).groupBy("_id").agg(F.min("_set.shingles").alias("shingles"))
-        texts = self.stored(texts, f"sets{step}")
+        return texts.filter(F.col("_set.key") == F.col("_key")).groupBy("_id").agg(F.min("_set.shingles").alias("shingles"))
+
+    def verified(self, likely: DataFrame, classes: DataFrame, step: int) -> DataFrame:
+        """Of likely pairs those whose full sets are near enough."""
+        wanted = likely.select(F.col("a").alias("_id")).unionByName(likely.select(F.col("b").alias("_id"))).distinct()
+        texts = self.stored(self._sets(wanted, classes), f"sets{step}")
         other = {s: texts.select(F.col("_id").alias(s), F.col("shingles").alias(f"s_{s}")) for s in "ab"}
         compared = likely.join(other["b"], "b").join(other["a"], "a").withColumn("_shared", _shared("s_a", "s_b"))
         union = F.col("n_a") + F.col("n_b") - F.col("_shared")
@@ -289,19 +306,22 @@ class _Search:
         )
         # The smallest id after some of its bits are turned over, as the band's key says: another member in each band.
         turned = F.col("id").bitwiseXOR(F.col("band"))
-        buckets = bands.groupBy("band").agg(F.min(turned).alias("_turned"), F.count("*").alias("_members"))
-        answers = buckets.withColumn("_answer", F.when(F.col("_members") > 1, F.struct("_turned", "_members")))
-        members = skew_proof_lookup(bands, "band", answers, "band", "_answer", "_members", "bucket", ["id"])
-        members = members.filter("bucket is not null").select(
-            "band", "id", F.col("bucket._turned").bitwiseXOR(F.col("band")).alias("centre"), F.col("bucket._members").alias("members")
-        )
+        buckets = bands.groupBy("band").agg(F.min(turned).alias("_turned"), F.count("*").alias("members"))
+        # Stored, so that the join has an exchange on either side and a bucket with very many members is split.
+        buckets = self.stored(buckets.filter("members > 1"), "buckets")
+        members = bands.join(buckets, "band").select("band", "id", F.col("_turned").bitwiseXOR(F.col("band")).alias("centre"), "members")
         members = self.stored(members.filter("id <> centre"), "members")
         pairs = members.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         links = self.verified(self.stored(self.likely(pairs, classes), "likely0"), classes, 0)
         labels = components(self.spark, links, f"{self.folder}/components0")
-        rest = self.stored(self._meeting(members.filter("members > 2").select("band", "id"), labels, classes), "likely1")
+        meeting = members.filter("members > 2").select("band", "id")
+        rest = self.stored(self._meeting(meeting, labels, classes), "likely1")
         if not rest.isEmpty():
             more = self.verified(rest, classes, 1)
+            if more.count() < rest.count():
+                # What failed may have stood for pairs that don't.
+                rest = self.stored(self._meeting(meeting, labels, classes, every=True), "likely2")
+                more = self.verified(rest, classes, 2)
             if not more.isEmpty():
                 labels = components(self.spark, links.unionByName(more), f"{self.folder}/components1")
         named = classes.join(labels, "id", "left").select("key", "id", "doc", F.coalesce("component", "id").alias("component"), "copies")
@@ -312,21 +332,32 @@ class _Search:
         light = signed.select("id", "text_key", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("key")).alias("key"))
         return skew_proof_lookup(light, "key", headed, "key", "head", "copies", "head", ["id"])
 
-    def _meeting(self, members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-        """Likely pairs of different components inside buckets that more than one of them meets in."""
-        labelled = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-        labelled = self.stored(labelled, "labelled")
-        met = labelled.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_members"))
-        met = met.withColumn("_answer", F.when(F.col("_low") != F.col("_high"), F.ceil(F.col("_members") / BLOCK)))
+    def _meeting(self, members: DataFrame, labels: DataFrame, classes: DataFrame, every: bool = False) -> DataFrame:
+        """Likely pairs of different components inside buckets that more than one of them meets in: every one, or as many as tie
+        the same components."""
+        step = 2 if every else 1
+        labelled = members.join(labels, "id", "left").join(classes.select("id", "n"), "id")
+        labelled = self.stored(labelled.select("band", "id", F.coalesce("component", "id").alias("label"), "n"), f"labelled{step}")
+        met = labelled.groupBy("band").agg(
+            F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_members"), F.sum("n").alias("_shingles")
+        )
+        blocks = F.greatest(F.ceil(F.col("_members") / BLOCK), F.ceil(F.col("_shingles") / BLOCK_SHINGLES))
+        met = met.withColumn("_answer", F.when(F.col("_low") != F.col("_high"), blocks))
         open_ones = skew_proof_lookup(labelled, "band", met, "band", "_answer", "_members", "blocks", ["id"])
-        open_ones = open_ones.filter("blocks is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        dealt = open_ones.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        open_ones = self.stored(open_ones.filter("blocks is not null"), f"open{step}")
+        meeting = classes.join(open_ones.select("id").distinct(), "id", "left_semi").select("id", "n", "registers", "low")
+        large = meeting.filter(F.length("low") == 0).select(F.col("id").alias("_id"))
+        bits = self._sets(large, classes).select("_id", _low_bits("shingles").alias("_bits"))
+        meeting = meeting.join(bits, F.col("id") == F.col("_id"), "left")
+        meeting = self.stored(meeting.select("id", "n", "registers", F.coalesce("_bits", "low").alias("low")), f"meeting{step}")
+        dealt = open_ones.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
             "band", F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"), "id", "label", "block"
         )
-        whole = dealt.join(classes.select("id", "n", "registers", "low"), "id")
+        whole = dealt.join(meeting, "id")
         keys = ["band", "first", "second"]
         ordered = whole.select(*keys, "id", "label", "n", "block", "registers", "low").repartition(*keys).sortWithinPartitions(*keys)
-        found = ordered.mapInArrow(_block_pairs(self.least, self.percent), "a long, b long, n_a long, n_b long")
+        found = ordered.mapInArrow(_block_pairs(self.least, self.percent, every), "a long, b long, n_a long, n_b long")
         return found.distinct()
 
 

@@ -276,3 +276,56 @@ def test_odd_markup_and_very_long_pages():
     assert html.page_lines("<" * 100_000 + ">")
     assert html.page_lines("<article><p>x" * 2000)[0] == ("x", True)
     assert html.page_lines("") == []
+
+
+def meeting_of(spark, texts, folder, every=False):
+    """The pairs that one bucket for all gives, and the number of pairs that its tasks give out."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    search = neardup._Search(spark, docs, folder, 2, 80)
+    signed = docs.select("id", neardup._signer(2)("text").alias("_s")).select("id", "_s.n", "_s.key", "_s.registers", "_s.low")
+    classes = search.stored(signed, "c")
+    members = classes.select(F.lit(5).cast("long").alias("band"), "id")
+    return search, classes, search._meeting(members, spark.createDataFrame([], "id long, component long"), classes, every).collect()
+
+
+def passages(share):
+    """Long texts that have a passage in common and no other words."""
+    return [" ".join([f"p{i}" for i in range(int(1000 * share))] + [f"t{k}-{i}" for i in range(int(1000 * (1 - share)))]) for k in range(40)]
+
+
+def test_long_texts_below_the_threshold_stay_in_the_task(spark, tmp_path):
+    """All pairs share three quarters: their registers pass, their sets don't."""
+    assert meeting_of(spark, passages(0.86), str(tmp_path / "m"))[2] == []
+
+
+def test_a_group_in_one_bucket_gives_as_many_pairs_as_tie_it(spark, tmp_path):
+    texts = passages(0.95)
+    search, classes, pairs = meeting_of(spark, texts, str(tmp_path / "m"))
+    assert len(pairs) == len(texts) - 1
+    links = spark.createDataFrame([(r["a"], r["b"]) for r in pairs], "a long, b long")
+    tied = components.components(spark, links, str(tmp_path / "k")).collect()
+    assert {r["id"]: r["component"] for r in tied} == {i: 0 for i in range(1, len(texts))}
+    assert len(meeting_of(spark, texts, str(tmp_path / "e"), every=True)[2]) == len(texts) * (len(texts) - 1) // 2
+
+
+def test_pairs_that_fail_bring_all_pairs_out(spark, tmp_path, monkeypatch):
+    """If what ties a group fails on full sets, the pairs that it stood for are looked at."""
+    asked, real = [], neardup._Search._meeting
+
+    def meeting(self, members, labels, classes, every=False):
+        asked.append(every)
+        found = real(self, members, labels, classes, every)
+        # A pair of texts that have nothing in common, as if their bits were equal.
+        return found if every else found.limit(0).unionByName(wrong(classes))
+
+    def wrong(classes):
+        two = [r["id"] for r in classes.orderBy("doc").select("id").collect()][:2]
+        n = {r["id"]: r["n"] for r in classes.select("id", "n").collect()}
+        return spark.createDataFrame([(min(two), max(two), n[min(two)], n[max(two)])], "a long, b long, n_a long, n_b long")
+
+    monkeypatch.setattr(neardup._Search, "_meeting", meeting)
+    rows = [(0, "a b c d e f g h i j"), (1, "k l m n o p q r s t")] + [(i, t) for i, t in near_rows()[:60]][2:]
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    got = neardup.find(spark, docs, str(tmp_path / "f"), size=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 2, 80)
+    assert asked == [False, True]
