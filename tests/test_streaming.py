@@ -96,3 +96,78 @@ def test_range_changes_skip_repeats_and_late_snapshots(spark, tmp_path):
     second = land(("a", 1, "x", ["1/8"], True), ("a", 0, "late", ["9/8"], True), ("a", 5, "x", ["1/8"], True), (None, 4, "m", [], True))
     assert second == sorted([*first, ("a", 5, "x", "x", False, True), (None, 4, "m", "n", True, False)], key=repr)
     assert land(("a", 5, "x", ["1/8"], True)) == second
+
+
+def changes_in_order(batches):
+    """``source, at, etag, previous_etag, etag_changed, set_changed``, one snapshot after the other."""
+    known, found = {}, []
+    for batch in batches:
+        for source, at, etag, nets in sorted(batch, key=lambda r: (str(r[0]), r[1], r[2], digest_of(r[3]))):
+            last = known.get(source)
+            if last and (at, etag) <= last[:2]:
+                continue
+            before = last or (None, "", "")
+            if etag != before[1] or digest_of(nets) != before[2]:
+                found.append((source, at, etag, before[1], etag != before[1], digest_of(nets) != before[2]))
+            known[source] = (at, etag, digest_of(nets))
+    return found
+
+
+def digest_of(nets):
+    import hashlib
+
+    return hashlib.sha256("\n".join(sorted(set(nets))).encode()).hexdigest() if nets else ""
+
+
+def test_range_changes_by_brute_force(spark, tmp_path):
+    """Most snapshots of one source, many ranges, copies, late ones, and several sets under one time and etag."""
+    import datetime
+    import json
+    import random
+
+    from hitloom.streaming.ranges import RESPONSES, start_change_stream, stream_changes, stream_responses
+
+    rng, day = random.Random(5), datetime.datetime(2024, 1, 1)
+    landed, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    batches = []
+    for number in range(3):
+        batch = [(rng.choice(["hot", "hot", "hot", "hot", "a", None]), rng.randrange(number * 300 - 60, number * 300 + 360), rng.choice("xyz"), rng.sample(["1/8", "2/8", "3/8"], rng.randrange(3))) for _ in range(700)]
+        batches.append(batch + batch[:50])
+        made = [(s, day + datetime.timedelta(hours=h), json.dumps({"success": True, "result": {"etag": e, "ipv4_cidrs": nets, "ipv6_cidrs": []}})) for s, h, e, nets in batches[-1]]
+        spark.createDataFrame(made, RESPONSES).repartition(3).write.mode("append").parquet(landed)
+        start_change_stream(stream_changes(stream_responses(spark, landed)), out, checkpoint, interval=None).awaitTermination()
+    hour = datetime.timedelta(hours=1)
+    got = [(r["source"], (r["fetched_at"] - day) // hour, r["etag"], r["previous_etag"], r["etag_changed"], r["set_changed"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=repr) == sorted(changes_in_order(batches), key=repr)
+
+
+def test_snapshots_of_a_source_pass_by():
+    """Changes come out while snapshots still come in, whatever their order, so a task doesn't hold those of its source."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from hitloom.streaming import ranges
+
+    class State:
+        exists, get = True, (10, "e", "d10")
+
+        def update(self, value):
+            self.get = value
+
+    def snapshots(*moments):
+        rows = [("a", m, "e", f"d{m}") for m in moments]
+        return pa.RecordBatch.from_pylist([dict(zip(("source", "at", "etag", "digest"), r)) for r in rows])
+
+    parts = [b.to_pandas() for moments in ((30, 31, 32, 30), (12, 9, 10, 11), (40,)) for b in ranges._followed(iter([snapshots(*moments)]))]
+    taken = []
+    state = State()
+
+    def batches():
+        for part in parts:
+            taken.append(len(part))
+            yield part
+
+    changes = ranges._changes(("a",), batches(), state)
+    assert next(changes)["at"].tolist() == [31, 32] and len(taken) == 1
+    rest = pd.concat(list(changes))
+    assert sorted(rest["at"]) == [11, 12, 30, 40] and state.get == (40, "e", "d40")
